@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,12 +119,14 @@ class Words:
     ``count[i]`` is the number of words of text i and ``first[i]`` the place of its first word.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        self.buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    def __init__(self, texts: list[bytes], lower: bool = False, gap: int = 1):
+        """gap: spaces before, between and after the texts."""
+        space = b" " * gap
+        self.buf = np.frombuffer(space + space.join(texts) + space, np.uint8)
         if lower:
             self.buf = LOWER[self.buf]
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.base = np.concatenate([[0], np.cumsum(lens + 1)])
+        self.base = gap + np.concatenate([[0], np.cumsum(lens + gap)])
         space = SPACE[self.buf]
         before = np.concatenate([[True], space[:-1]])
         self.starts = np.flatnonzero(before & ~space)

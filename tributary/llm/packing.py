@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 TIERS = (1024, 512, 256, 128)
 #: Bits of a sequence or step number that count within a partition.
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        coder = encoder(sent.value)
         base = TaskContext.get().partitionId() << LOCAL_BITS
         sequences = steps = 0
         names: list = []  # of the block's documents: doc_id, ids
@@ -173,7 +173,7 @@ def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_t
             kind = batch.column(0).type
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids, counts = encoder.encode(part.column(1).to_pylist())
+                ids, counts = coder.encode(part.column(1).to_pylist())
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 tail = np.array([end_id], np.uint32)
                 for name, i, j in zip(part.column(0).to_pylist(), edges[:-1], edges[1:], strict=True):

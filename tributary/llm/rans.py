@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices, written
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 PRECISION = 18
 LANES, BLOCK, CHECK_ROWS = 128, 65_536, 256
@@ -201,7 +201,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     arrow = T.StructType(schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        coder = encoder(sent.value)
         shard, segment, before = TaskContext.get().partitionId(), 0, 0
         names: list[pa.Array] = []
         parts: list[np.ndarray] = []
@@ -220,7 +220,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                ids, n = encoder.encode(part.column(1).to_pylist())
+                ids, n = coder.encode(part.column(1).to_pylist())
                 parts.append(np.insert(ids, np.cumsum(n), end_id))
                 counts.append(n + 1)
                 names.append(part.column(0))

@@ -1,21 +1,70 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of pre-token encodings.
 
-A byte-level BPE encodes each pre-token on its own, so the library is asked once for each distinct pre-token and the ids of a
-text are gathered from the cache.  Texts with characters outside a range in which Unicode classes have long been stable, or
-with a special token's string, are given to the library whole; both ways give the library's own ids.
+A byte-level BPE encodes each pre-token on its own.  Texts are split into pre-tokens by vector operations on their bytes,
+Arrow numbers the distinct ones of a slice, and the library is asked once for each that is not in the cache; a text's ids are
+then gathered by number.  Texts with characters outside a range in which Unicode classes have long been stable, or with a
+special token's string, are given to the library whole; both ways give the library's own ids.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
-from itertools import chain
+import unicodedata
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
-
-#: The split pattern of this family of byte-level vocabularies (fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-STABLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞₠-₵]*")
+import pyarrow as pa
+
+STABLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-⁞₠-₿]*")
+#: Classes of characters: other, letter, number, white space (the space itself being one), end of a text.
+OTHER, LETTER, NUMBER, WHITE, END = range(5)
+
+
+def _classes() -> np.ndarray:
+    kinds = {"L": LETTER, "N": NUMBER}
+    table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x250)], np.uint8)
+    table[[0x09, 0x0A, 0x0D, 0x20]] = WHITE
+    table[0] = END
+    return table
+
+
+CLASSES = _classes()
+_BYTES = np.concatenate([CLASSES[:128], np.full(128, OTHER, np.uint8)])
+
+
+def boundaries(buf: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in a buffer of stable UTF-8 texts that each end in a zero byte (which is one by itself).
+
+    The rule: one of the contractions 's 't 're 've 'm 'll 'd; or a run of letters, of numbers or of other characters, with the
+    space before it if there is one; or white space, whose last character stays apart if more text follows."""
+    kind = _BYTES[buf]
+    wide = np.flatnonzero(buf >= 0xC0)
+    if len(wide):
+        two = wide[buf[wide] < 0xE0]
+        kind[two] = kind[two + 1] = CLASSES[(buf[two].astype(np.int64) & 0x1F) << 6 | buf[two + 1] & 0x3F]
+    before = np.concatenate([[END], kind[:-1]])
+    start = kind != before
+    white = kind == WHITE
+    # The last character of white space before more text: apart from the rest, and joined to the text if it is a space.
+    turn = np.flatnonzero(white[:-1] & (kind[1:] != WHITE) & (kind[1:] != END))
+    start[turn] = True
+    start[turn[buf[turn] == 0x20] + 1] = False
+    start[kind == END] = True
+    start[np.flatnonzero(kind[:-1] == END) + 1] = True
+    # Contractions.
+    at = np.flatnonzero((buf == 0x27) & start)
+    if len(at):
+        padded = np.concatenate([buf, np.zeros(3, np.uint8)])
+        one, two = padded[at + 1], padded[at + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+        for hit, size in ((at[short], 2), (at[long & ~short], 3)):
+            start[hit + 1] = False
+            start[np.minimum(hit + size, len(start) - 1)] = True
+    return np.flatnonzero(start)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
@@ -31,8 +80,8 @@ def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
 class Encoder:
     """encode(texts) -> (ids of all texts one after another, number of ids of each text)."""
 
-    def __init__(self, vocab: str, cache_bytes: int = 48_000_000):
-        import regex
+    def __init__(self, vocab: str, cache_bytes: int = 90_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Python worker has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocab)
@@ -40,7 +89,8 @@ class Encoder:
         self.library.no_padding()
         added = [x["content"] for x in json.loads(vocab).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.split = regex.compile(PATTERN).findall
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.cache_bytes = cache_bytes
         self._clear()
 
@@ -51,37 +101,80 @@ class Encoder:
         self.place = np.zeros((2, 1 << 14), np.int64)  # start and length in flat, by code
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [x.ids for x in self.library.encode_batch(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total, n = int(lens.sum()), len(self.code)
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As _ids for words without inner white space: lines of one text, which the library splits at their ends."""
+        texts = ["\n".join(words[i : i + 100]) + "\n" for i in range(0, len(words), 100)]
+        ids = np.concatenate([x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]).astype(np.uint32)
+        ends = np.flatnonzero(ids == self.line)
+        return (ids[ids != self.line], np.diff(ends, prepend=-1) - 1) if len(ends) == len(words) else None
+
+    def _ids(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one after another, and how many each has."""
+        if plain and self.line is not None and (made := self._lines(words)):
+            return made
+        lists = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.array(x, np.uint32) for x in lists]), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _learn(self, words: list[str], plain: bool) -> None:
+        """Put words that are not in the cache there; plain: no white space but a space before."""
+        for part in (words[i : i + 20_000] for i in range(0, len(words), 20_000)):
+            ids, lens = self._ids(part, plain)
+            n, total = len(self.code), len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) > self.place.shape[1]:
                 self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.flat[self.used : self.used + total] = ids
             self.place[0, n : n + len(part)] = self.used + np.cumsum(lens) - lens
             self.place[1, n : n + len(part)] = lens
             self.code.update(zip(part, range(n, n + len(part)), strict=True))
             self.used += total
-            self.held += sum(map(len, part)) + 110 * len(part) + 4 * total
+            self.held += sum(map(len, part)) + 120 * len(part) + 4 * total
 
-    def pre_tokens(self, text: str) -> list[str]:
-        if (text.isascii() and text.isprintable() or STABLE.fullmatch(text)) and not (self.special and self.special.search(text)):
-            return self.split(text)
+    def _whole(self, text: str) -> list[str]:
+        """The parts in which an unusual text is looked up."""
         return [text]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        words = [self.pre_tokens(x) if x else [] for x in texts]
+    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers in the cache of the pre-tokens of all texts, and how many each text has."""
+        odd = {i: self._whole(x) for i, x in enumerate(texts) if x and (not STABLE.fullmatch(x) or self.special and self.special.search(x))}
+        data = "\0".join(["" if x is None or i in odd else x for i, x in enumerate(texts)] + [""]).encode()
+        buf = np.frombuffer(data, np.uint8)
+        starts = boundaries(buf) if len(buf) else np.zeros(0, np.int64)
+        offsets = np.concatenate([starts, [len(buf)]]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        ends = np.flatnonzero(buf[starts] == 0)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.asarray(words.indices)
         if self.held > self.cache_bytes:
             self._clear()
-        self._learn(list(set(chain.from_iterable(words)).difference(self.code)))
-        each = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64, int(each.sum()))
-        start, n = self.place[0, codes], self.place[1, codes]
+        known = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = [w for w, n in zip(distinct, known.tolist(), strict=True) if n < 0 and w != "\0"]
+        if missing or odd:
+            space = [w for w in missing if w.isspace()]
+            self._learn([w for w in missing if not w.isspace()] if space else missing, True)
+            self._learn(space, False)
+            self._learn(list({w for x in odd.values() for w in x if w not in self.code}), False)
+            known = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        codes, counts = known[number], np.diff(ends, prepend=-1) - 1
+        keep = np.ones(len(codes), bool)
+        keep[ends] = False
+        codes = codes[keep]
+        if odd:
+            edges = np.cumsum(counts)
+            own = [np.array([self.code[w] for w in odd[i]], np.int64) if i in odd else codes[edges[i] - counts[i] : edges[i]] for i in range(len(texts))]
+            codes, counts = np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+        return codes, counts
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = self.codes(texts)
+        n = self.place[1, codes]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
-        edges = np.concatenate([[0], np.cumsum(each)])
-        return ids, np.diff(upto[edges])
+        ids = self.flat[np.repeat(self.place[0, codes] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(counts)])])
+
+
+@lru_cache(1)
+def encoder(vocab: str) -> Encoder:
+    """The worker process's encoder: its cache serves one task after another."""
+    return Encoder(vocab)
