@@ -48,7 +48,7 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     value = own.astype(U) * _PHI
     for j in range(size):
         at = np.minimum(np.arange(n) + j, n - 1)
-        value = value + np.where(j < own, h[at] * _PLACE[j % 5] * U(2 * (j // 5) + 1), U(0))
+        value = value + np.where(j < own, h[at] * (_PLACE[j % 5] + U(2 * (j // 5))), U(0))
     whole = (own == size) | (np.arange(n) == words.first[words.text])  # a short text is one shingle
     key = np.sort(words.text[whole].astype(U) << U(48) | mix(value[whole]) >> U(16))
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -63,10 +63,10 @@ def signatures(n: int, text: np.ndarray, element: np.ndarray, weight: np.ndarray
     held = np.zeros(n * registers, U)
     latest = np.full(n, np.inf)
     seed, at = mix(element * _PHI + U(1)), np.zeros(len(element))
-    step = U(0)
+    step = 0
     while len(element):
-        step += U(1)
-        draw = mix(seed + step * _PLACE[2])
+        step += 1
+        draw = mix(seed + U(step * int(_PLACE[2]) % (1 << 64)))
         at = at - np.log1p(-((draw >> U(11)).astype(np.float64) * 2.0**-53)) / weight
         live = at < latest[text]
         if not live.all():
@@ -75,8 +75,8 @@ def signatures(n: int, text: np.ndarray, element: np.ndarray, weight: np.ndarray
         np.minimum.at(first, cell, at)
         won = first[cell] == at
         held[cell[won]] = element[won]
-        if step < U(8) or step % U(8) == U(0):
-            some = np.unique(text) if step > U(2) else np.arange(n)
+        if step < 8 or step % 8 == 0:
+            some = np.unique(text) if step > 2 else np.arange(n)
             latest[some] = first.reshape(n, registers)[some].max(1)
     return held.reshape(n, registers)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, packing, rans, topk, urlfilter
+from . import bpe_trie, cdc, langid, packing, probminhash, rans, topk, urlfilter, webp
 from .common import table
 
 
@@ -29,8 +29,21 @@ URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op8_hash_prefix_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
+def op5_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document that are repeated in the corpus; documents without any have no row."""
+    return cdc.repeated_passages(table(spark, sf_dir, "documents"))
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_rans_token_files, op3_columnar_branch_and_bound, op6_trie_bpe, op8_hash_prefix_url_filter)}
+def op7_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_rans_token_files, op3_columnar_branch_and_bound, op6_trie_bpe, op8_hash_prefix_url_filter, op5_gear_chunk_dedup, op7_probminhash_classes, op4_string_kernel_langid, op10_lossless_webp)}
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
 

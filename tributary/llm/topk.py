@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Dimensions are accumulated in blocks of these sizes, the last one repeated.
 DIMS = (16, 16, 32)
 
@@ -90,6 +92,7 @@ def quantised(x: Column, scale: float = 256.0) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, groups: int = 64, block: int = 4096, query_block: int = 128) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products of quantised vectors."""
+    ship(vectors.sparkSession)
     x = F.col(vector_col)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == F.lit(float("inf"))))
     good = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(~bad)
