@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, cdc, langid, packing, probminhash, rans, topk, urlfilter, webp
+from . import bloomlm, bpe_trie, cdc, langid, packing, probminhash, rans, topk, urlfilter, webp
 from .common import table
 
 
@@ -42,8 +42,11 @@ def op4_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.round_trip(table(spark, sf_dir, "documents"))
 
+def op9_bloom_filter_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloomlm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_rans_token_files, op3_columnar_branch_and_bound, op6_trie_bpe, op8_hash_prefix_url_filter, op5_gear_chunk_dedup, op7_probminhash_classes, op4_string_kernel_langid, op10_lossless_webp)}
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_rans_token_files, op3_columnar_branch_and_bound, op6_trie_bpe, op8_hash_prefix_url_filter, op5_gear_chunk_dedup, op7_probminhash_classes, op4_string_kernel_langid, op10_lossless_webp, op9_bloom_filter_lm)}
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
 
