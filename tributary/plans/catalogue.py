@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import domain, relational, texts
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "domain", "relational", "texts"]
