@@ -15,7 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
+#: Rows in an Arrow batch where the session has Spark's default, which with long texts makes batches of tens of MB.
+ARROW_ROWS, ARROW_DEFAULT = "2000", "10000"
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **settings: str) -> SparkSession:
@@ -48,7 +51,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once a context, so that their Python workers can import it wherever it lies."""
+    """Send this package's source to the executors, once a context, so that their Python workers can import it wherever it lies;
+    and keep Arrow batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == ARROW_DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_tributary_shipped", False):
         return
