@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import dedup, quality
 from .base import Tables, doubles, longs, money, query
 
-_LATEST = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey)"
+_LATEST = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+
+
+def _order() -> list[Column]:
+    """Amendment number, then everything that makes the order total."""
+    return [F.desc("l_linenumber"), *(F.asc(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))]
 
 
 def _latest_lines(t: Tables) -> DataFrame:
-    return dedup.latest_by(t.lineitem, ["l_orderkey"], [F.desc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")])
+    return dedup.latest_by(t.lineitem, ["l_orderkey"], _order())
 
 
 @query(f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS amendment, l_partkey, l_suppkey, l_extendedprice FROM (SELECT *, {_LATEST} AS rn FROM lineitem) WHERE rn = 1")
@@ -45,7 +50,7 @@ def full_row_dedup(t: Tables) -> DataFrame:
 SELECT l_orderkey, count(*) AS rows_removed, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS dollars_removed
 FROM x WHERE rn > 1 GROUP BY 1 ORDER BY dollars_removed DESC, l_orderkey LIMIT 20""")
 def superseded_impact_top20(t: Tables) -> DataFrame:
-    gone = dedup.duplicate_impact(t.lineitem, ["l_orderkey"], [F.desc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")], money(F.col("l_extendedprice")))
+    gone = dedup.duplicate_impact(t.lineitem, ["l_orderkey"], _order(), money(F.col("l_extendedprice")))
     return doubles(gone.orderBy(F.desc("dollars_removed"), "l_orderkey").limit(20), "dollars_removed")
 
 

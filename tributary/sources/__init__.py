@@ -1 +1 @@
-"""Part of the tributary engine."""
+"""Readers of raw files and registries, and writers."""

@@ -1 +1 @@
-"""Part of the tributary engine."""
+"""Structured Streaming counterparts of batch operators."""
