@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,21 +128,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ).drop("run")
 
 
-@F.pandas_udf(T.StringType())
-def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for t, s in zip(text, spans, strict=True):
-        if t is None or s is None:
-            out.append(t)
-            continue
-        data, at, kept = t.encode(), 0, []
-        for a, b in sorted(zip(s[::2], s[1::2], strict=True)):
-            kept.append(data[at:a])
-            at = b
-        kept.append(data[at:])
-        left = b"".join(x if i == 0 else x.lstrip(b" \t\r") if kept[i - 1][-1:].isspace() else x for i, x in enumerate(kept))
-        out.append(left.decode())
-    return pd.Series(out, dtype=object)
+def without(text: str, spans: list[int]) -> str:
+    """The text without these spans of its bytes (start, end, start, end, ...); white space that a cut leaves at the start of what
+    follows goes, if what precedes it ends in white space."""
+    data, at, kept = text.encode(), 0, []
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return b"".join(x.lstrip(b" \t\r") if i and kept[i - 1][-1:].isspace() else x for i, x in enumerate(kept)).decode()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,6 +146,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     cuts = cuts.select(F.col("doc_id").alias("__cut_id"), F.flatten(F.transform("s", lambda x: F.array(x["start"], x["end"]))).alias("__cut"))
     joined = docs.join(cuts, docs[id_col] == cuts["__cut_id"], "left")
-    text = F.when(F.col("__cut").isNull(), docs[text_col]).otherwise(_cut(F.when(F.col("__cut").isNotNull(), docs[text_col]), F.col("__cut")))
-    done = joined.withColumn("__new", text).where(F.col("__cut").isNull() | (F.trim(F.regexp_replace("__new", r"\s+", " ")) != ""))
-    return done.select(*[F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    schema = docs.schema
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(names))
+            hit = np.flatnonzero(np.asarray(spans.is_valid()))
+            if not len(hit):
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
+                continue
+            texts = batch.column(place)
+            cut = {i: without(texts[i].as_py(), spans[i].as_py()) for i in hit.tolist()}
+            new = pa.array([cut[i] if i in cut else x for i, x in enumerate(texts.to_pylist())], texts.type)
+            keep = pa.array([i not in cut or bool(cut[i].strip()) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([new if i == place else batch.column(i) for i in range(len(names))], schema.names).filter(keep)
+
+    return joined.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], "__cut").mapInArrow(run, schema)

@@ -21,7 +21,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,7 +92,7 @@ class Model:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known, strict=True)], score
 
 
-def _groups(texts: list[bytes], segments: int = 1024) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[bytes], segments: int = 256) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many segments."""
     at, n = 0, 0
     for i, x in enumerate(texts):
@@ -136,10 +135,13 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     ship(docs.sparkSession)
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).where(F.col(text_col).rlike(r"\p{L}"))
     names = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
-    count = max(1, names.select(F.approx_count_distinct("lang")).first()[0])
-    each = max(4, min(per_language, sample // count))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    taken = names.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    # Rows below a hash bound that leaves about twice as many of each language as are taken, so no language's rows meet in one task.
+    counts = names.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    each = max(4, min(per_language, sample // max(1, counts.count())))
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
+    below = names.join(F.broadcast(counts), "lang").where(place < (2.0 * each + 200) / F.col("n") * 1_000_003)
+    order = Window.partitionBy("lang").orderBy(place, "id")
+    taken = below.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
     some = rows.join(F.broadcast(taken), (F.col(id_col) == F.col("__id")) & (F.col(lang_col).cast("string") == F.col("__lang"))).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"), F.xxhash64("__id").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +185,12 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     model = train(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.BooleanType())
-    def known(texts: pd.Series) -> pd.Series:
-        values = [None if x is None else str(x) for x in texts]
-        lang, score = sent.value.predict(values)
-        return pd.Series([name != "und" and s >= least for name, s in zip(lang, score.tolist(), strict=True)], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for a, b in slices(texts):
+                lang, score = sent.value.predict(texts.slice(a, b - a).to_pylist())
+                keep = pa.array([name != "und" and s >= least for name, s in zip(lang, score.tolist(), strict=True)], pa.bool_())
+                yield batch.slice(a, b - a).filter(keep)
 
-    return docs.where(known(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)
