@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices
-from .tokens import encoder, vocabulary
+from .tokens import TOKEN_SLICE, encoder, vocabulary
 
 TIERS = (1024, 512, 256, 128)
 #: Bits of a sequence or step number that count within a partition.
@@ -171,7 +171,7 @@ def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_t
 
         for batch in batches:
             kind = batch.column(0).type
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TOKEN_SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = coder.encode(part.column(1).to_pylist())
                 edges = np.concatenate([[0], np.cumsum(counts)])

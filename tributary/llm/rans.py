@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices, written
-from .tokens import encoder, vocabulary
+from .tokens import TOKEN_SLICE, encoder, vocabulary
 
 PRECISION = 18
 LANES, BLOCK, CHECK_ROWS = 128, 65_536, 256
@@ -193,7 +193,7 @@ def _segments(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("shard", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("before", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("doc_tokens", T.ArrayType(T.LongType())), T.StructField("frame", T.BinaryType())])
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end_id: int = 2, segment_tokens: int = 4_000_000) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end_id: int = 2, segment_tokens: int = 2_000_000) -> DataFrame:
     """Segments (the rows of the file format) of all documents, in ascending doc_id order by shard and segment."""
     source = id_and_text(docs, id_col, text_col)
     schema = _segments(source.schema["doc_id"].dataType)
@@ -218,7 +218,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return pa.RecordBatch.from_arrays(row, arrow.names)
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TOKEN_SLICE):
                 part = batch.slice(a, b - a)
                 ids, n = coder.encode(part.column(1).to_pylist())
                 parts.append(np.insert(ids, np.cumsum(n), end_id))
