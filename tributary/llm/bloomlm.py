@@ -5,9 +5,9 @@ within a slice of texts, then over the corpus in hash buckets that no frequent n
 in the filter once for each level 1 .. 1 + floor(log2 c); its count is read back by probing level after level until one is
 missing, and P(w | v) interpolates the bigram estimate with the smoothed unigram one.
 
-The filter is broadcast, so its size is bound: ``filter_bits``.  Bigrams enter from the least level on at which the filter's
-load stays below ``load`` (at that load a probe of an absent entry passes with probability of about 0.05); rarer ones back off to their unigrams.  Unigrams
-likewise, with a level of their own.  Counts, N and V cover all training texts at any size.
+The filter is broadcast, so its size is bound: ``filter_bits``, half for unigrams and half for bigrams, in a segment for each hash
+bucket.  N-grams enter a segment from the least level on at which its load stays below ``load`` (there an absent entry's probes
+pass with probability of about 0.05); rarer bigrams back off to their unigrams.  Counts, N and V cover all training texts at any size.
 
 The exact base score needs each token's exact count.  A bounded table of frequent tokens is broadcast; all other tokens meet
 their counts in a co-grouped join by hash bucket, and only sums for each text of a slice come back.
@@ -36,7 +36,9 @@ _PHI, _PSI = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 END = np.array([0x5851F42D4C957F2D], U)  # the end token's hash, also what stands before a text's first word
 LEVELS, PROBES = 40, 3
 LAMBDA = 0.6
-UNIGRAM, BIGRAM, TEXTS = 0, 1, 2
+#: Tokens that are counted together before they are shuffled.
+COUNTED = 1_500_000
+UNIGRAM, BIGRAM = 0, 1
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +134,38 @@ def _buckets(docs: DataFrame) -> int:
 
 
 def _count(texts: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, keys, counts: n-grams of each slice of texts, packed by bucket."""
+    """kind, bucket, keys, counts: n-grams of some slices of texts, packed by bucket."""
     shift = U(64 - (buckets.bit_length() - 1))
 
+    def packed(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = counted(np.concatenate(parts))
+        edges = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=U))
+        some = np.flatnonzero(np.diff(edges))
+        low, n = _six(keys), n.astype("<u4")
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array([low[6 * edges[i] : 6 * edges[i + 1]] for i in some], pa.binary()), pa.array([n[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary())], ["kind", "bucket", "keys", "counts"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = 0
         for batch in batches:
-            for a, b in slices(batch.column(0), 8_000_000):
+            for a, b in slices(batch.column(0)):
                 t, _ = tokens(utf8(batch.column(0).slice(a, b - a)))
-                for kind, x in ((UNIGRAM, t), (BIGRAM, bigrams(t))):
-                    keys, n = counted(x)
-                    edges = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=U))
-                    some = np.flatnonzero(np.diff(edges))
-                    packed, n = _six(keys), n.astype("<u4")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array([packed[6 * edges[i] : 6 * edges[i + 1]] for i in some], pa.binary()), pa.array([n[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary())], ["kind", "bucket", "keys", "counts"]
-                    )
+                held[UNIGRAM].append(t)
+                held[BIGRAM].append(bigrams(t))
+                size += len(t)
+                if size >= COUNTED:
+                    yield from (packed(kind, held[kind]) for kind in (UNIGRAM, BIGRAM))
+                    held, size = ([], []), 0
+        if size:
+            yield from (packed(kind, held[kind]) for kind in (UNIGRAM, BIGRAM))
 
     return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
 
 
 def _merge(counts: DataFrame, size: int, load: float, hot: int) -> DataFrame:
-    """By bucket: for unigrams their exact counts; for both kinds the entries at each cut level and the segments that may be used.
-
-    A segment for cut level c holds all entries of n-grams of that level or a higher one; those of too great a load for any use are left out."""
+    """By kind and bucket: sums, the filter's segment, and for unigrams their exact counts and the most frequent of them."""
 
     def run(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -163,57 +174,43 @@ def _merge(counts: DataFrame, size: int, load: float, hot: int) -> DataFrame:
         keys, n = summed(keys, n)
         level = level_of(n)
         by = np.bincount(level, minlength=LEVELS + 1)[1:]
-        entries = np.cumsum((by * np.arange(1, LEVELS + 1))[::-1])[::-1]
-        bits, cuts, segments = np.zeros(size, np.uint8), [], []
-        for cut in range(LEVELS, 0, -1):
-            if entries[cut - 1] * PROBES > 2 * load * size:
-                break
-            own = keys[level == cut]
-            for step in range(1, cut + 1) if len(own) else ():
-                for place in places(own, step, kind, size):
-                    bits[place] = 1
-            cuts.append(cut)
-            segments.append(np.packbits(bits, bitorder="little").tobytes() if len(own) or not segments else segments[-1])
-        own_counts = kind == UNIGRAM
-        top = np.sort(np.argpartition(-n, min(hot, len(n)) - 1)[:hot]) if own_counts and len(n) else np.zeros(0, np.int64)
+        entries = np.cumsum((by * np.arange(1, LEVELS + 1))[::-1])[::-1]  # of n-grams of this level or a higher one
+        fits = np.flatnonzero(entries * PROBES <= load * size)
+        cut = int(fits[0]) + 1 if len(fits) else LEVELS + 1
+        bits = np.zeros(size, np.uint8)
+        for step in range(1, int(level.max(initial=0)) + 1):
+            own = keys[level >= max(step, cut)]
+            for place in places(own, step, kind, size):
+                bits[place] = 1
+        exact = kind == UNIGRAM
+        top = np.argpartition(-n, min(hot, len(n)) - 1)[:hot] if exact and len(n) else np.zeros(0, np.int64)
         rows = {
-            "kind": [kind], "bucket": [bucket], "total": [int(n.sum())], "distinct": [len(n)], "entries": [entries.tolist()], "cuts": [cuts], "segments": [segments],
-            "keys": [_six(keys) if own_counts else b""], "counts": [n.astype("<i8").tobytes() if own_counts else b""], "hot_keys": [_six(keys[top])], "hot_counts": [n[top].astype("<i8").tobytes()],
+            "kind": [kind], "bucket": [bucket], "total": [int(n.sum())], "distinct": [len(n)], "cut": [cut], "segment": [np.packbits(bits, bitorder="little").tobytes()],
+            "keys": [_six(keys) if exact else b""], "counts": [n.astype("<i8").tobytes() if exact else b""], "hot_keys": [_six(keys[top])], "hot_counts": [n[top].astype("<i8").tobytes()],
         }
         return pa.table(rows, schema=made)
 
-    made = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("entries", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int32())), ("segments", pa.list_(pa.binary())), ("keys", pa.binary()), ("counts", pa.binary()), ("hot_keys", pa.binary()), ("hot_counts", pa.binary())])
-    kinds = "kind int, bucket int, total long, distinct long, entries array<long>, cuts array<int>, segments array<binary>, keys binary, counts binary, hot_keys binary, hot_counts binary"
-    return counts.groupBy("kind", "bucket").applyInArrow(run, kinds)
+    made = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("cut", pa.int32()), ("segment", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hot_keys", pa.binary()), ("hot_counts", pa.binary())])
+    return counts.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, total long, distinct long, cut int, segment binary, keys binary, counts binary, hot_keys binary, hot_counts binary")
 
 
 def train(texts: DataFrame, *, buckets: int, filter_bits: int = 1 << 28, load: float = 0.45, hot: int = 1 << 17) -> tuple[Filter, DataFrame]:
     """The filter, and the table of exact unigram counts by bucket (bucket, keys, counts).
 
-    The driver gets one row of sums for each bucket, the chosen segments (filter_bits in all) and ``hot`` frequent tokens."""
+    The driver gets one row for each bucket: sums, the filter's segments (filter_bits in all) and ``hot`` frequent tokens."""
     size = max(64, filter_bits // 2 // buckets // 8 * 8)  # bits of a bucket's segment of each kind
     merged = written(_merge(_count(texts, buckets), size, load, max(1, hot // buckets)), "ngrams")
-    sums = merged.select("kind", "total", "distinct", "entries").collect()
-    cut = {}
-    for kind in (UNIGRAM, BIGRAM):
-        own = [r["entries"] for r in sums if r["kind"] == kind]
-        all_entries = np.sum(own, axis=0) if own else np.zeros(LEVELS)
-        fits = np.flatnonzero(all_entries * PROBES <= load * size * buckets)
-        cut[kind] = int(fits[0]) + 1 if len(fits) else LEVELS
-    chosen = F.when(F.col("kind") == UNIGRAM, cut[UNIGRAM]).otherwise(cut[BIGRAM])
-    segment = F.try_element_at("segments", F.array_position("cuts", chosen).cast("int"))
-    rows = merged.select("kind", "bucket", F.when(F.array_position("cuts", chosen) > 0, segment).alias("segment"), "hot_keys", "hot_counts").collect()
+    rows = merged.select("kind", "bucket", "total", "distinct", "segment", "hot_keys", "hot_counts").collect()
     each = size // 8
     bits = np.zeros((buckets, 2, each), np.uint8)
     keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for r in rows:
-        if r["segment"] is not None:
-            bits[r["bucket"], r["kind"]] = np.frombuffer(r["segment"], np.uint8)[:each]
+        bits[r["bucket"], r["kind"]] = np.frombuffer(r["segment"], np.uint8)[:each]
         if r["kind"] == UNIGRAM:
             keys.append(_whole(_from_six(bytes(r["hot_keys"])), r["bucket"]))
             counts.append(np.frombuffer(r["hot_counts"], "<i8"))
     hot_keys, hot_counts = summed(np.concatenate(keys), np.concatenate(counts))
-    total, distinct = (sum(r[c] for r in sums if r["kind"] == UNIGRAM) for c in ("total", "distinct"))
+    total, distinct = (sum(r[c] for r in rows if r["kind"] == UNIGRAM) for c in ("total", "distinct"))
     # A segment of unigrams and one of bigrams lie side by side for each bucket.
     model = Filter(bits.reshape(-1), size, buckets, total, distinct, hot_keys, hot_counts)
     return model, merged.where(F.col("kind") == UNIGRAM).select("bucket", "keys", "counts")
