@@ -40,6 +40,18 @@ def test_dense_ids(spark):
     assert ids.dense_ids(df.where("id < 0"), ["o"], "n").count() == 0
 
 
+def test_written_tables_can_be_forgotten(spark):
+    import os
+
+    from tributary.session import forget, written
+
+    df = written(spark.range(3), "x")
+    place = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(place)
+    forget(spark)
+    assert not os.path.exists(place)
+
+
 def test_components_against_union_find(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)]

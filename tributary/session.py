@@ -42,14 +42,26 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors.
+
+    The tables stay for as long as results that read them may be used; ``forget`` removes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tributary/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove all tables that this application has written with ``written``; results that still read them are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors, once a context, so that their Python workers can import it wherever it lies;
     and keep Arrow batches small."""
