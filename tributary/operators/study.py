@@ -181,3 +181,13 @@ def exact_pairs(events: DataFrame, links: DataFrame, entities: DataFrame) -> Dat
     exact = links.where("match_method = 'exact_bn'").select("entity_id").distinct().join(entities.select("entity_id", "bn_root"), "entity_id").select("bn_root")
     return events.join(exact, "bn_root", "left_semi")
 
+
+
+def panel(treated: DataFrame, matches: DataFrame, controls: DataFrame, stats: DataFrame, exact: DataFrame) -> DataFrame:
+    """The study's table: treated units and their matched controls, with covariates, window statistics where there are any, the
+    tier of the match, and whether an exact number links the treated unit."""
+    flag = exact.select("bn_root", "Y").distinct().withColumn("exact_bn", F.lit(True))
+    t = treated.withColumns({"arm": F.lit("treated"), "tier": F.lit(None).cast("string"), "matched_to": F.lit(None).cast(treated.schema["bn_root"].dataType)}).join(flag, ["bn_root", "Y"], "left").withColumn("exact_bn", F.coalesce("exact_bn", F.lit(False)))
+    m = matches.select(F.col("control_bn").alias("bn_root"), "Y", "tier", F.col("treated_bn").alias("matched_to"))
+    c = controls.join(m, ["bn_root", "Y"]).withColumns({"arm": F.lit("control"), "exact_bn": F.lit(None).cast("boolean")})
+    return t.unionByName(c).join(stats.select("bn_root", "Y", "pre_mean", "post_mean", "pct"), ["bn_root", "Y"], "left")

@@ -131,3 +131,11 @@ def taxonomy_paths(rows: DataFrame, order: str, levels: list[str]) -> DataFrame:
         here = F.max(F.when(F.col(level).isNotNull(), F.struct(F.col(order).alias("o"), F.col(level).alias("v")))).over(w)
         out = out.withColumn(f"path_{i}", F.when(last.isNull() | (here["o"] >= last), here["v"]))
     return out
+
+
+def disagreements(view: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Benchmark rows that no answered code is related to, by their code and the first answered one, the most frequent first."""
+    rows = benchmark.join(view.select("ref_number", "codes"), "ref_number")
+    hit = F.exists(F.split(F.coalesce("codes", F.lit("")), ","), lambda c: expr.codes_related(c, F.col("code")))
+    first = F.split_part(F.coalesce("codes", F.lit("")), F.lit(","), F.lit(1))
+    return rows.where(~hit).groupBy("code", first.alias("answered")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "code", "answered")

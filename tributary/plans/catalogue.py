@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, relational, texts
+from . import domain, relational, reports, texts
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "domain", "relational", "texts"]
+__all__ = ["ORACLES", "QUERIES", "domain", "relational", "reports", "texts"]
