@@ -66,7 +66,9 @@ def test_a_group_that_only_chains_hold_together(spark):
     for i in range(260, 300):
         docs[i] = " ".join(r.choice(vocabulary) for _ in range(100))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    assert {x.doc_id: x.class_id for x in probminhash.classes(df).collect()} == brute_classes(docs)
+    want = brute_classes(docs)
+    for limit in (probminhash.LIMIT, 10):
+        assert {x.doc_id: x.class_id for x in probminhash.classes(df, limit=limit).collect()} == want
 
 
 def test_odd_documents_have_classes(odd_documents, no_documents):

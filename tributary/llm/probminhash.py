@@ -34,7 +34,7 @@ from .common import Words, id_and_text, mix, slices, utf8, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-ROUNDS, BLOCK = 3, 256
+ROUNDS, BLOCK, LIMIT = 3, 256, 1024
 U = np.uint64
 _PHI = U(0x9E3779B97F4A7C15)
 _PLACE = [U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -186,8 +186,23 @@ def _merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return written(labels.join(found, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), name)
 
 
-def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components in buckets (key, rep, size, comp) that hold several, found exactly, in blocks."""
+def _rest(members: DataFrame, sets: DataFrame, similarity: float, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) between components in buckets (key, rep, size, comp) that hold several.
+
+    Buckets of more than ``limit`` texts, which a passage common to very many texts makes, are refined first: a text goes to one
+    bucket for each two of its large ones, so that texts meet there only if they agree in two bands."""
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n"), "sizes")
+    small = members.join(sizes.where(F.col("n") <= limit).select("key"), "key")
+    large = members.join(sizes.where(F.col("n") > limit).select("key"), "key")
+    own = large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp"), F.sort_array(F.collect_set("key")).alias("keys"))
+    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.lit(BANDS)), lambda other: F.xxhash64(k, other))))
+    refined = own.select(F.explode(twos).alias("key"), "rep", "size", "comp")
+    columns = ["key", "rep", "size", "comp"]
+    return _blocks(written(small.select(*columns).unionByName(refined), "unresolved"), sets, similarity)
+
+
+def _blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """As _rest, for buckets as they are, exactly, in blocks."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     stats = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
     stats = written(stats.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("cols")), "stats")
@@ -232,7 +247,7 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return every.union(odd).groupBy("key", "row", "col").applyInPandas(block, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """doc_id, class_id (the lowest doc_id of its class), text_id (the lowest doc_id with an equal text)."""
     source = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     seen = written(_scan(source.where("text is not null")), "signatures")
@@ -254,7 +269,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         links = written(links, "verified")
         if not links.isEmpty():
             labels = _merged(labels, links, "comps")
-    links = written(_rest(buckets.join(labels, "rep"), sets, similarity), "rest")
+    links = written(_rest(buckets.join(labels, "rep"), sets, similarity, limit), "rest")
     if not links.isEmpty():
         labels = _merged(labels, links, "comps")
 
