@@ -195,11 +195,18 @@ def test_discovery(spark):
 def test_collisions_and_low_confidence(spark):
     df = spark.createDataFrame([(1, "m", 7, 100.0, None), (2, "m", 7, 95.0, None), (3, "m", 8, 95.0, None), (4, "n", 8, 10.0, "x")], "i int, s string, e int, score double, f string")
     got = discovery.reconcile_collisions(df, "s", "m", "e", "f")
-    assert {r.i: (r.s, r.f) for r in got.collect()} == {1: ("needs_review", "multi_claimed_entity"), 2: ("needs_review", "multi_claimed_entity"), 3: ("m", None), 4: ("n", "x")}
+    assert {r.i: (r.s, r.f) for r in got.collect()} == {1: ("needs_review", "grant_entity_claimed_by_multiple_orgs"), 2: ("needs_review", "grant_entity_claimed_by_multiple_orgs"), 3: ("m", None), 4: ("n", "x")}
     low = discovery.reconcile_low_confidence(got, "s", "m", "score", "f")
     assert {r.i: r.s for r in low.collect()}[3] == "needs_review"
 
 
+def test_badges(spark):
+    rows_ = spark.createDataFrame([("non_charity_nonprofit", "federal_grant_match", 1, "req", "A"), ("non_charity_nonprofit", "federal_grant_match", 1, "cc", "A2"), ("registered_charity", "federal_grant_match", 2, "req", "B"), ("non_charity_nonprofit", "needs_review", 3, "req", "C")], "charity_status string, federal_grant_status string, matched_grant_entity_id long, discovery_source string, legal_name string")
+    index = discovery.badge_index(rows_)
+    assert rows(index) == [(1, ["cc", "req"], "A")]
+    assert rows(discovery.by_source(index)) == [("all", 1), ("cc", 1), ("req", 1)]
+
+
 def test_treatment_and_windows(spark):
     receipts = spark.createDataFrame([("a", 2016, 100.0), ("b", 2014, 1.0), ("b", 2016, 500.0), ("c", 2016, 99.0)], "bn_root string, fiscal_year int, amount double")
     assert rows(study.treatment_events(receipts, 100, [2016])) == [("a", 2016)]

@@ -15,7 +15,7 @@ from .dedup import topk_per_group
 
 AUTO, FLOOR = 90.0, 75.0
 NO_KEY = "__no_blocking_key__"
-#: What shows that a programme is social.
+#: What shows that a programme is social.
 SOCIAL_KEYWORDS = ("homelessness", "housing", "social development", "youth", "settlement", "immigrant", "refugee", "community", "poverty", "family violence", "employment insurance", "social innovation", "accessibility", "seniors")
 
 
@@ -112,12 +112,12 @@ def reconcile_collisions(df: DataFrame, status: str, accepted: str, entity: str,
     claims = df.where((F.col(status) == accepted) & F.col(entity).isNotNull()).groupBy(F.col(entity).alias("__e")).agg(F.count("*").alias("__n")).where("__n > 1")
     out = df.join(claims, F.col(entity) == F.col("__e"), "left")
     hit = (F.col(status) == accepted) & F.col("__n").isNotNull()
-    return out.withColumn(flag, F.when(hit, "multi_claimed_entity").otherwise(F.col(flag))).withColumn(status, F.when(hit, "needs_review").otherwise(F.col(status))).drop("__e", "__n")
+    return out.withColumn(flag, F.when(hit, "grant_entity_claimed_by_multiple_orgs").otherwise(F.col(flag))).withColumn(status, F.when(hit, "needs_review").otherwise(F.col(status))).drop("__e", "__n")
 
 
 def reconcile_low_confidence(df: DataFrame, status: str, accepted: str, score: str, flag: str, least: float = 100.0) -> DataFrame:
     hit = (F.col(status) == accepted) & (F.col(score) < least)
-    return df.withColumn(flag, F.when(hit, "low_confidence_score").otherwise(F.col(flag))).withColumn(status, F.when(hit, "needs_review").otherwise(F.col(status)))
+    return df.withColumn(flag, F.when(hit, "low_confidence_fuzzy_match").otherwise(F.col(flag))).withColumn(status, F.when(hit, "needs_review").otherwise(F.col(status)))
 
 
 def grant_recipients(entities: DataFrame, grants: DataFrame, kinds: tuple[str, ...] = ("other_org",), province: str | None = None) -> DataFrame:
@@ -159,7 +159,7 @@ def discover(records: DataFrame, charities: DataFrame, recipients: DataFrame | N
     return out
 
 
-#: The columns of the discovery output, in order.
+#: The columns of the discovery output, in order.
 OUTPUT_FIELDS = (
     "source_id", "jurisdiction", "discovery_source", "legal_name", "trade_names", "address", "postal", "city", "legal_form", "charity_status", "matched_bn", "matched_cra_name",
     "charity_match_score", "charity_runner_up_score", "charity_match_method", "social_status", "social_signal", "social_match_score", "federal_grant_status", "matched_grant_entity_id",
@@ -185,9 +185,9 @@ def output_rows(found: DataFrame, **constants: str) -> DataFrame:
     return found.select(*cols)
 
 
-def badge_index(rows: DataFrame, statuses: tuple[str, ...] = ("registered_charity", "federal_grant_match")) -> DataFrame:
-    """Confirmed rows by entity, with the set of sources that confirm it."""
-    good = rows.where(F.col("federal_grant_status").isin(*statuses) & F.col("matched_grant_entity_id").isNotNull())
+def badge_index(rows: DataFrame) -> DataFrame:
+    """Non-charities with a confirmed grant match by entity, with the set of sources that confirm it."""
+    good = rows.where("charity_status = 'non_charity_nonprofit' and federal_grant_status = 'federal_grant_match' and matched_grant_entity_id is not null")
     return good.groupBy(F.col("matched_grant_entity_id").alias("entity_id")).agg(F.array_sort(F.collect_set("discovery_source")).alias("sources"), F.min("legal_name").alias("legal_name"))
 
 
@@ -198,10 +198,10 @@ def by_source(index: DataFrame, total: str = "all") -> DataFrame:
 
 
 def latest_registry(idents: DataFrame) -> DataFrame:
-    """The latest row of each number, "registered" if it is of the last year there is, else "revoked"."""
+    """The latest row of each number, "active" if it is of the last year there is, else "revoked_or_inactive"."""
     from .resolve import charities
 
     last = idents.agg(F.max("source_year").alias("last"))
-    return charities(idents).crossJoin(F.broadcast(last)).withColumn("registry_status", F.when(F.col("source_year") == F.col("last"), "active").otherwise("revoked")).drop("last")
+    return charities(idents).crossJoin(F.broadcast(last)).withColumn("registry_status", F.when(F.col("source_year") == F.col("last"), "active").otherwise("revoked_or_inactive")).drop("last")
 
 

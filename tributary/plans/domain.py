@@ -272,7 +272,7 @@ def merge_remap(t: Tables) -> DataFrame:
 
 @query("""WITH c AS (SELECT doc_id % 50 AS entity, quality, doc_id FROM labels),
 n AS (SELECT entity, count(*) AS n FROM c WHERE quality = 1 GROUP BY 1)
-SELECT c.doc_id, CASE WHEN quality = 1 AND n.n > 1 THEN 'needs_review' WHEN quality = 1 THEN 'match' ELSE 'no_match' END AS status, CASE WHEN quality = 1 AND n.n > 1 THEN 'multi_claimed_entity' END AS flag
+SELECT c.doc_id, CASE WHEN quality = 1 AND n.n > 1 THEN 'needs_review' WHEN quality = 1 THEN 'match' ELSE 'no_match' END AS status, CASE WHEN quality = 1 AND n.n > 1 THEN 'grant_entity_claimed_by_multiple_orgs' END AS flag
 FROM c LEFT JOIN n ON c.entity = n.entity""")
 def collision_downgrade(t: Tables) -> DataFrame:
     rows = t.labels.select("doc_id", (F.col("doc_id") % 50).alias("entity"), F.when(F.col("quality") == 1, "match").otherwise("no_match").alias("status"), F.lit(None).cast("string").alias("flag"))
