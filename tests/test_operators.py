@@ -286,8 +286,10 @@ def test_search_tiers_and_promotion(spark):
     ents = marts.with_search_name(ents)
     roles = spark.createDataFrame([(1, 10.0, 0.0), (2, 99.0, 0.0), (3, 5000.0, 0.0), (5, 1.0, 0.0)], "entity_id long, total_given double, total_received double")
     got = search.search_orgs(ents, roles, "ecole").collect()
-    assert [r.entity_id for r in got] == [3, 1, 2, 5] and got[0].total == 4
-    assert [r.entity_id for r in search.search_orgs(ents, roles, "ecole", limit=2, offset=2).collect()] == [2, 5]
+    assert [r.entity_id for r in got] == [1, 2, 5, 3] and got[0].total == 4  # 5,000 is less than a hundred times 99
+    more = roles.where("entity_id <> 3").union(spark.createDataFrame([(3, 9901.0, 0.0)], roles.schema))
+    assert [r.entity_id for r in search.search_orgs(ents, more, "ecole").collect()] == [1, 3, 2, 5]
+    assert [r.entity_id for r in search.search_orgs(ents, roles, "ecole", limit=2, offset=2).collect()] == [5, 3]
     assert [r.entity_id for r in search.search_orgs(ents, roles, "100%").collect()] == [5]
     flags = spark.createDataFrame([(2, True), (3, False)], "entity_id long, f boolean")
     assert [r.entity_id for r in search.search_orgs(ents, roles, "ecole", flags=flags, required=["f"]).collect()] == [2]
@@ -305,8 +307,8 @@ def test_lookup_and_receipts(spark):
 
 
 def test_slugs(spark):
-    ents = spark.createDataFrame([(1, "Étoile"), (2, "etoile"), (3, "???"), (4, "A | B")], "entity_id long, canonical_name string")
-    assert rows(search.slug_manifest(ents)) == [(1, "etoile"), (2, "etoile-2"), (3, "org"), (4, "a")]
+    ents = spark.createDataFrame([(1, "Étoile"), (2, "etoile"), (3, "???"), (4, "A | B"), (5, "A / B")], "entity_id long, canonical_name string")
+    assert rows(search.slug_manifest(ents)) == [(1, "toile"), (2, "etoile"), (3, "org"), (4, "a"), (5, "a-5")]
 
 
 def test_gateway(spark):
@@ -322,20 +324,24 @@ RAW = "owner_org string, ref_number string, amendment_number string, agreement_v
 
 
 def test_quality_reports(spark):
-    good = ("d1", "R-1", "0", "$1,000", "Org", "132162041RR0001", "N", "ON", "CA", "X", "H2X1Y4", "2020-05-01", "2022-03-31", "P", "text", "texte", "res")
-    bad = ("d2", "R-2", "x", "n/a", " ", None, "Z", "Ontario", "ca", "X", None, "1900-01-01", None, "P", "", None, None)
-    raw = spark.createDataFrame([good, bad], RAW)
+    good = ("d1", "R-1", "0", "$1,000", "Org", "132162041RR0001", "N", "ON", "CA", "X", "H2X1Y4", "2020-05-01", "2022-03-31", "P", "t" * 60, "texte", "res", "G")
+    bad = ("d2", "R-2", "x", "-5", " ", None, "Z", "Ontario", "ca", "X", None, "1899-12-30", None, "P", "", None, None, "grant")
+    late = ("d2", "R-3", "0", "n/a", "Org", None, None, "NY", "CA", "X", None, "2026-01-01", None, None, "short", None, None, None)
+    raw = spark.createDataFrame([good, bad, late], RAW + ", agreement_type string")
     m = {r.dept: r for r in quality.compliance(quality.parse_agreements(raw)).collect()}
     assert all(m["d1"][i] == 0 for i in quality.ISSUES)
-    assert (m["d2"].no_recipient, m["d2"].no_bn, m["d2"].dirty_type, m["d2"].bad_province, m["d2"].bad_country, m["d2"].bad_value, m["d2"].bad_start, m["d2"].no_description) == (1,) * 8
+    d2 = m["d2"]
+    assert (d2.missing_desc_en, d2.missing_desc_fr, d2.dirty_type, d2.short_desc, d2.zero_neg, d2.post_dec_total) == (1, 2, 1, 1, 1, 1)
+    assert (d2.pd_recipient_type, d2.pd_biz_num, d2.pd_postal, d2.pd_riding, d2.pd_prog_name, d2.pd_end_date, d2.pd_exp_results) == (1,) * 7
+    assert quality.post_policy(quality.compliance(quality.parse_agreements(raw))).first().pct_biz_num == 0
     kinds = {r.anomaly for r in quality.anomalies(quality.parse_agreements(raw)).collect()}
-    assert {"spreadsheet null date", "before 1990", "lower-case country", "invalid province"} <= kinds
+    assert kinds == {"spreadsheet null date", "lower-case country", "invalid province", "foreign province"}
     assert [r.dept for r in quality.exemplary(quality.compliance(quality.parse_agreements(raw)), 1).collect()] == ["d1"]
     tables = quality.profile(raw)
     assert tables["money"].first().unreadable == 1 and tables["dates"].first().multi_year == 1
     assert {r["column"]: r.missing for r in tables["completeness"].collect()}["recipient_legal_name"] == 1
-    assert quality.quality_by_department(raw, 1).count() == 2 and quality.dashboard(raw)["totals"].first().agreements == 2
-    assert quality.markdown(quality.value_counts(quality.parse_agreements(raw), "rtype")).count("\n") == 3
+    assert quality.quality_by_department(raw, 1).count() == 2 and quality.dashboard(raw)["totals"].first().agreements == 3
+    assert quality.markdown(quality.value_counts(quality.parse_agreements(raw), "rtype")).count("\n") == 4
 
 
 def test_text_classification(spark):

@@ -125,7 +125,8 @@ def name_variants(x: Column) -> Column:
 
 
 def slugify(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(x)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Lower case, with runs of anything but ASCII letters and digits as one hyphen; "org" if nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), F.lit("")), F.lit("org"))
 
 
 def english_name(x: Column) -> Column:
@@ -178,9 +179,9 @@ def bn_reject_shape(raw: Column) -> Column:
 
 
 def valid_crn(raw: Column) -> Column:
-    """A registration number that is just nine digits, or those and RR with four; null otherwise."""
+    """The root of a registration number that is just nine digits, or those and RR with four; null otherwise."""
     x = strip(raw)
-    return F.when(x.rlike(r"^[0-9]{9}(RR[0-9]{4})?$"), x)
+    return F.when(x.rlike(r"^[0-9]{9}(RR[0-9]{4})?$"), F.substring(x, 1, 9))
 
 
 def normalize_postal(raw: Column) -> Column:
@@ -298,8 +299,8 @@ def fiscal_year(day: Column, cutover: int = 4) -> Column:
 
 
 def fiscal_year_of_label(x: Column) -> Column:
-    """The first year of a label such as "2019-2020" or "FY2019/20"."""
-    return F.regexp_extract(F.coalesce(x, F.lit("")), r"((?:19|20)[0-9]{2})", 1).try_cast("int")
+    """The year that a label such as "2019-2020" begins with."""
+    return F.regexp_extract(F.coalesce(x, F.lit("")), r"^([0-9]{4})", 1).try_cast("int")
 
 
 def net_amount(awarded: Column, rescinded: Column) -> Column:
@@ -326,15 +327,16 @@ def pct_change(before: Column, after: Column) -> Column:
 
 
 def fmt_money(v: Column) -> Column:
-    """$1.2B, $3.4M, $5.6K or $78."""
+    """$12B, $1.2B, $3.4M or $5,678; a dash for null."""
     a = F.abs(v)
-    part = lambda d, s: F.concat(F.lit("$"), F.format_number(v / d, 1), F.lit(s))
-    return F.when(a >= 1e9, part(1e9, "B")).when(a >= 1e6, part(1e6, "M")).when(a >= 1e3, part(1e3, "K")).otherwise(F.concat(F.lit("$"), F.format_number(v, 0)))
+    part = lambda d, places, s: F.concat(F.lit("$"), F.format_number(v / d, places), F.lit(s))
+    return F.when(v.isNull(), "—").when(a >= 1e10, part(1e9, 0, "B")).when(a >= 1e9, part(1e9, 1, "B")).when(a >= 1e6, part(1e6, 1, "M")).otherwise(F.concat(F.lit("$"), F.format_number(v, 0)))
 
 
 def fmt_pct(identified: Column, declared: Column) -> Column:
-    share = F.when(declared > 0, 100.0 * identified / declared)
-    return F.when(share > 999, ">999%").otherwise(F.concat(F.format_number(share, 0), F.lit("%")))
+    """How much of a declared amount is identified; a dash if nothing is declared."""
+    share = F.when(declared != 0, 100.0 * identified / declared)
+    return F.when(share.isNull(), "—").when(share > 999, ">999%").otherwise(F.concat(F.format_number(share, 0), F.lit("%")))
 
 
 # --- taxonomy -------------------------------------------------------------------------------------------------------------

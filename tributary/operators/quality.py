@@ -14,26 +14,39 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from .dedup import latest_amendment, positional_percentile, topk_per_group
 
+#: Provinces and territories, agreement types, and the day from which more fields are mandatory.
 PROVINCES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
-TYPES = ("A", "F", "G", "I", "N", "O", "P", "S")
+TYPES = ("C", "G", "O")
 POLICY_DATE = "2025-12-01"
+#: What a spreadsheet writes for an empty date.
+SPREADSHEET_NULL = "1899-12-30"
+
+
+def _day(text: str) -> Column:
+    return F.lit(text).cast("date")
 
 
 def parse_agreements(raw: DataFrame) -> DataFrame:
-    """The cleaning block: trimmed values with blanks as nulls, value, dates, amendment number and fiscal year."""
-    c = lambda n: expr.blank_to_null(F.col(n))
+    """The cleaning block: trimmed values with blanks as nulls, value, dates, amendment number and fiscal year.  Columns that the
+    raw table lacks are null."""
+    have = set(raw.columns)
+    c = lambda n: expr.blank_to_null(F.col(n)) if n in have else F.lit(None).cast("string")
     out = raw.select(
-        c("owner_org").alias("dept"), c("ref_number").alias("ref"), F.coalesce(expr.to_int(F.col("amendment_number")), F.lit(0)).alias("amendment"), c("recipient_legal_name").alias("recipient"), c("recipient_business_number").alias("bn"), c("recipient_type").alias("rtype"), c("recipient_province").alias("prov"),
-        c("recipient_country").alias("country"), c("recipient_city").alias("city"), c("recipient_postal_code").alias("postal"), F.trim("agreement_value").alias("value_raw"), expr.money(F.col("agreement_value")).alias("value"), c("agreement_start_date").alias("sd_raw"), expr.any_date(F.col("agreement_start_date")).alias("sd"),
-        c("agreement_end_date").alias("ed_raw"), expr.any_date(F.col("agreement_end_date")).alias("ed"), c("prog_name_en").alias("program"), F.nullif(F.substring(F.trim("description_en"), 1, 200), F.lit("")).alias("desc_en"), c("description_fr").alias("desc_fr"), c("expected_results_en").alias("results_en"),
+        c("owner_org").alias("dept"), c("owner_org_title").alias("title"), c("ref_number").alias("ref"), F.coalesce(expr.to_int(F.col("amendment_number")), F.lit(0)).alias("amendment"), c("recipient_legal_name").alias("recipient"), c("recipient_business_number").alias("bn"), c("recipient_type").alias("rtype"),
+        c("recipient_province").alias("prov"), c("recipient_country").alias("country"), c("recipient_city").alias("city"), c("recipient_postal_code").alias("postal"), c("federal_riding_number").alias("riding"), c("agreement_type").alias("atype"), F.trim("agreement_value").alias("value_raw"),
+        expr.money(F.col("agreement_value")).alias("value"), c("agreement_start_date").alias("sd_raw"), expr.any_date(c("agreement_start_date")).alias("sd"), c("agreement_end_date").alias("ed_raw"), expr.any_date(c("agreement_end_date")).alias("ed"), c("prog_name_en").alias("program"), c("description_en").alias("desc_en"),
+        c("description_fr").alias("desc_fr"), c("expected_results_en").alias("results_en"),
     )
     return out.withColumns({"fy": expr.fiscal_year(F.col("sd")), "norm_bn": expr.normalize_bn(F.col("bn")), "multi_year": expr.multi_year(F.col("sd"), F.col("ed"))})
 
 
 def flags(parsed: DataFrame) -> DataFrame:
-    """badvalue, baddate, badprov, badcountry, dirtytype; null where there is nothing to judge."""
+    """baddate (null without a date); badprov, badcountry, dirtytype, short_desc, zero_neg (false without a value)."""
+    sd, given = F.col("sd"), lambda c: F.col(c).isNotNull()
     return parsed.withColumns({
-        "badvalue": F.col("value").isNull() | (F.col("value") <= 0), "baddate": (F.col("sd") < F.lit("1990-01-01").cast("date")) | (F.col("sd") > F.lit("2026-12-31").cast("date")), "badprov": ~F.col("prov").isin(*PROVINCES), "badcountry": F.col("country") != F.upper("country"), "dirtytype": ~F.col("rtype").isin(*TYPES),
+        "baddate": (sd == _day(SPREADSHEET_NULL)) | (sd < _day("1990-01-01")) | (sd > _day("2026-12-31")), "badprov": given("prov") & ~F.coalesce(F.col("prov").isin(*PROVINCES), F.lit(True)),
+        "badcountry": given("country") & ((F.col("country") != F.upper("country")) | (F.length("country") != 2)), "dirtytype": given("atype") & ~F.coalesce(F.col("atype").isin(*TYPES), F.lit(True)),
+        "short_desc": given("desc_en") & (F.length("desc_en") < 50), "zero_neg": given("value") & (F.col("value") <= 0),
     })
 
 
@@ -74,53 +87,73 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+#: Fields that are mandatory from the policy's day on, by the name of their count.
+MANDATORY = {"pd_recipient_type": "rtype", "pd_biz_num": "bn", "pd_postal": "postal", "pd_riding": "riding", "pd_prog_name": "program", "pd_end_date": "ed_raw", "pd_exp_results": "results_en"}
+
+
 def compliance(parsed: DataFrame) -> DataFrame:
-    """One fused aggregate by department over all rows."""
-    rows = flags(parsed)
-    after = F.coalesce(F.col("sd") >= F.lit(POLICY_DATE).cast("date"), F.lit(False))
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    null = lambda c: F.col(c).isNull()
-    return rows.groupBy("dept").agg(
-        F.count("*").alias("n_rows"), F.sum("value").alias("total_value"), n(null("recipient")).alias("no_recipient"), n(null("bn")).alias("no_bn"), n(F.col("bn").isNotNull() & null("norm_bn")).alias("bad_bn"), n(null("rtype")).alias("no_type"), n(F.col("dirtytype")).alias("dirty_type"), n(null("prov")).alias("no_province"), n(F.col("badprov")).alias("bad_province"), n(null("country")).alias("no_country"),
-        n(F.col("badcountry")).alias("bad_country"), n(F.col("badvalue")).alias("bad_value"), n(null("sd")).alias("no_start"), n(F.col("baddate")).alias("bad_start"), n(null("desc_en")).alias("no_description"), n(null("results_en")).alias("no_results"), n(after).alias("after_policy"), n(after & null("results_en")).alias("after_policy_no_results"),
+    """One fused aggregate of 17 measures by department over all rows."""
+    after = F.coalesce(F.col("sd") >= _day(POLICY_DATE), F.lit(False))
+    return flags(parsed).groupBy("dept").agg(
+        F.max("title").alias("title"), F.count("*").alias("total"), F.coalesce(F.sum("value"), F.lit(0)).alias("value_sum"), F.count_if(F.col("desc_en").isNull()).alias("missing_desc_en"), F.count_if(F.col("desc_fr").isNull()).alias("missing_desc_fr"),
+        F.count_if("dirtytype").alias("dirty_type"), F.count_if("short_desc").alias("short_desc"), F.count_if("zero_neg").alias("zero_neg"), F.count_if(after).alias("post_dec_total"), *[F.count_if(after & F.col(c).isNull()).alias(n) for n, c in MANDATORY.items()],
     )
 
 
-ISSUES = ("no_recipient", "no_bn", "bad_bn", "no_type", "dirty_type", "no_province", "bad_province", "no_country", "bad_country", "bad_value", "no_start", "bad_start", "no_description", "no_results")
+ISSUES = ("missing_desc_en", "missing_desc_fr", "dirty_type", "short_desc", "zero_neg")
+
 
+def post_policy(matrix: DataFrame) -> DataFrame:
+    """Shares of filled mandatory fields, of departments with agreements since the policy's day."""
+    n = F.col("post_dec_total")
+    return matrix.where(n > 0).select("dept", "title", "post_dec_total", *[(100.0 * (n - F.col(c)) / n).alias(c.replace("pd_", "pct_")) for c in MANDATORY])
 
-def worst_offenders(matrix: DataFrame, issue: str, n: int = 10) -> DataFrame:
-    return matrix.where(F.col(issue) > 0).orderBy(F.desc(issue), "dept").limit(n).select("dept", issue, "n_rows")
+
+def worst_offenders(matrix: DataFrame, issue: str, n: int = 10, total: str = "total") -> DataFrame:
+    """The departments with most rows of an issue, and their share."""
+    return matrix.where(F.col(issue) > 0).orderBy(F.desc(issue), "dept").limit(n).select("dept", issue, total, (F.lit(100.0) * F.col(issue) / F.col(total)).alias("pct"))
 
 
 def exemplary(matrix: DataFrame, least: int = 50) -> DataFrame:
     """Departments with enough rows and not one issue."""
     total = sum((F.col(i) for i in ISSUES), F.lit(0))
-    return matrix.where((F.col("n_rows") >= least) & (total == 0)).select("dept", "n_rows").orderBy(F.desc("n_rows"), "dept")
+    return matrix.where((F.col("total") >= least) & (total == 0)).select("dept", "total").orderBy(F.desc("total"), "dept")
 
 
 def anomalies(parsed: DataFrame) -> DataFrame:
-    """Counts of odd dates, countries and provinces: anomaly, value, n."""
-    sd, prov = F.col("sd"), F.col("prov")
+    """Odd dates, countries and provinces of each department: dept, anomaly, value, n.  Province values of two capitals are taken
+    for foreign ones, others for invalid."""
+    sd, prov, empty = F.col("sd"), F.col("prov"), F.col("sd") == _day(SPREADSHEET_NULL)
+    odd = ~prov.isin(*PROVINCES)
+    foreign = (F.length(prov) == 2) & (F.upper(prov) == prov)
+    one = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("anomaly"), value.alias("value")))
     kinds = F.array_compact(F.array(
-        F.when(sd == F.lit("1900-01-00").try_cast("date"), F.struct(F.lit("spreadsheet null date").alias("anomaly"), sd.cast("string").alias("value"))), F.when(F.col("sd_raw").isin("1899-12-30", "1900-01-01", "1900-01-00"), F.struct(F.lit("spreadsheet null date").alias("anomaly"), F.col("sd_raw").alias("value"))),
-        F.when(sd < F.lit("1990-01-01").cast("date"), F.struct(F.lit("before 1990").alias("anomaly"), F.year(sd).cast("string").alias("value"))), F.when(sd > F.lit("2026-12-31").cast("date"), F.struct(F.lit("after 2026").alias("anomaly"), F.year(sd).cast("string").alias("value"))),
-        F.when(F.col("country").rlike("[a-z]"), F.struct(F.lit("lower-case country").alias("anomaly"), F.col("country").alias("value"))),
-        F.when(~prov.isin(*PROVINCES) & prov.rlike("^[A-Z]{2}$"), F.struct(F.lit("foreign province").alias("anomaly"), prov.alias("value"))), F.when(~prov.isin(*PROVINCES) & ~prov.rlike("^[A-Z]{2}$"), F.struct(F.lit("invalid province").alias("anomaly"), prov.alias("value"))),
+        one(empty, "spreadsheet null date", F.col("sd_raw")), one((sd < _day("1990-01-01")) & ~empty, "before 1990", F.col("sd_raw")), one(sd > _day("2026-12-31"), "after 2026", F.col("sd_raw")),
+        one(F.col("country") != F.upper("country"), "lower-case country", F.col("country")), one(odd & foreign, "foreign province", prov), one(odd & ~foreign, "invalid province", prov),
     ))
-    return parsed.select(F.explode(kinds).alias("k")).select("k.*").groupBy("anomaly", "value").agg(F.count("*").alias("n"))
+    return parsed.select("dept", F.explode(kinds).alias("k")).select("dept", "k.*").groupBy("dept", "anomaly", "value").agg(F.count("*").alias("n"))
 
 
 def latest(raw: DataFrame) -> DataFrame:
     return latest_amendment(raw, "owner_org", "ref_number", "amendment_number", [F.col("agreement_value").asc_nulls_last(), F.col("recipient_legal_name").asc_nulls_last()])
 
 
+FAULTS = ("nodesc_en", "nodesc_fr", "short", "dirty", "zeroneg", "baddate", "badgeo", "nobn")
+
+
 def quality_by_department(raw: DataFrame, least: int = 100) -> DataFrame:
-    """Latest: shares of eight faults, for departments with enough agreements."""
+    """Latest: number, dollars and shares of eight faults, for departments with enough agreements."""
     rows = flags(parse_agreements(latest(raw)))
-    null = lambda c: F.col(c).isNull()
-    out = rows.groupBy("dept").agg(F.count("*").alias("n_rows"), *[_pct(c).alias(f"pct_{n}") for n, c in (("no_bn", null("norm_bn")), ("no_type", null("rtype")), ("dirty_type", F.col("dirtytype")), ("bad_province", F.col("badprov")), ("bad_country", F.col("badcountry")), ("bad_date", F.col("baddate")), ("no_description", null("desc_en")), ("no_results", null("results_en")))])
-    return out.where(F.col("n_rows") >= least)
+    faults = (F.col("desc_en").isNull(), F.col("desc_fr").isNull(), F.col("short_desc"), F.col("dirtytype"), F.col("zero_neg"), F.col("baddate"), F.col("badprov") | F.col("badcountry"), F.col("bn").isNull())
+    out = rows.groupBy("dept").agg(F.max("title").alias("title"), F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0))).alias("dollars"), *[_pct(c).alias(f"pct_{n}") for n, c in zip(FAULTS, faults, strict=True)])
+    return out.where(F.col("n") >= least)
+
+
+def mandatory_fields(raw: DataFrame, least: int = 10) -> DataFrame:
+    """Latest, since the policy's day: shares of missing riding, business number and postal code by department."""
+    rows = parse_agreements(latest(raw)).where(F.col("sd") >= _day(POLICY_DATE))
+    out = rows.groupBy("dept").agg(F.coalesce(F.max("title"), F.col("dept")).alias("title"), F.count("*").alias("n"), *[_pct(F.col(c).isNull()).alias(f"pct_{c}") for c in ("riding", "bn", "postal")])
+    return out.where(F.col("n") >= least)
 
 
 def dirty_values(raw: DataFrame, flag: str, column: str, k: int = 3) -> DataFrame:
@@ -136,12 +169,16 @@ def specimens(raw: DataFrame, condition: Column, order: Sequence[Column], n: int
 
 
 def dashboard(raw: DataFrame) -> dict[str, DataFrame]:
-    """Latest: hero totals, series by fiscal year, departments, the biggest and the most amended."""
-    p = parse_agreements(latest(raw))
-    per = parse_agreements(raw).groupBy("dept", "ref").agg(F.count("*").alias("versions"))
+    """Latest: hero totals, series by fiscal year, departments, facts, the biggest and the most amended."""
+    p, every = flags(parse_agreements(latest(raw))), parse_agreements(raw)
+    v, sd = F.col("value"), F.col("sd")
+    years = p.where(sd.between(_day("2005-04-01"), _day("2027-03-31"))).groupBy("fy").agg(F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0))).alias("total"))
+    hero = p.agg(F.count("*").alias("agreements"), F.sum("value").alias("dollars"), F.countDistinct("dept").alias("departments"), F.min(F.when(sd >= _day("2000-01-01"), sd)).alias("first"), F.max(F.when(sd <= _day("2027-12-31"), sd)).alias("last"))
     return {
-        "totals": p.agg(F.count("*").alias("agreements"), F.sum("value").alias("dollars"), F.countDistinct("dept").alias("departments"), F.countDistinct("recipient").alias("recipients")), "series": p.where(F.col("fy").between(2005, 2026)).groupBy("fy").agg(F.count("*").alias("n"), F.sum("value").alias("total")),
-        "departments": p.groupBy("dept").agg(F.count("*").alias("n"), F.sum("value").alias("total")).where("n >= 20"), "biggest": p.orderBy(F.desc_nulls_last("value"), "dept", "ref").limit(5).select("dept", "ref", "recipient", "value"), "most_amended": per.orderBy(F.desc("versions"), "dept", "ref").limit(5),
+        "totals": hero.crossJoin(F.broadcast(every.agg(F.count("*").alias("__all")))).withColumn("superseded", F.col("__all") - F.col("agreements")).drop("__all"), "series": years,
+        "departments": p.groupBy("dept").agg(F.max("title").alias("title"), F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0))).alias("dollars"), _pct(F.col("desc_en").isNull()).alias("pct_nodesc"), _pct(F.col("short_desc")).alias("pct_short"), _pct(F.col("dirtytype")).alias("pct_dirty"), _pct(F.col("zero_neg")).alias("pct_zeroneg")).where("n >= 100"),
+        "facts": p.agg(F.count_if(v == 1.0).alias("one_dollar"), F.count_if((v > 0) & (v < 100)).alias("tiny"), F.count_if(v < 0).alias("neg_n"), F.coalesce(F.sum(F.when(v < 0, v)), F.lit(0.0)).alias("neg_sum"), F.count_if(sd == _day(SPREADSHEET_NULL)).alias("excel"), F.count_if(F.col("ed") >= _day("2040-01-01")).alias("farfuture")),
+        "most_amended": every.groupBy("ref").agg(F.max("amendment").alias("amendment"), F.max("recipient").alias("recipient")).orderBy(F.desc("amendment"), "ref").limit(1), "biggest": p.where("value is not null").orderBy(F.desc("value"), "dept", "ref").limit(5).select("recipient", "dept", "value", F.year("sd").alias("year")),
     }
 
 

@@ -28,10 +28,10 @@ def with_total(page: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def search_orgs(entities: DataFrame, roles: DataFrame, query: str, *, flags: DataFrame | None = None, required: Sequence[str] = (), limit: int = 50, offset: int = 0, ids: DataFrame | None = None) -> DataFrame:
-    """Entities whose folded name has the query at a word start: tier 1 if it is the name, 2 if the name begins with it, 3 else.
+    """Entities whose folded name has the query at a word start: tier 0 if it is the name, 1 if the name begins with it, 2 else.
 
-    Within the order tier, flow, id, a lower-tier entity with at least a hundred times the flow of the best exact match is
-    promoted to the first tier.  Flags are AND-ed; ``ids`` restricts to some entities.  Columns: entity_id, canonical_name,
+    The order is tier, flow, id; an entity of tier 2 with more than a hundred times the greatest flow of tier 1 is ranked in
+    tier 1.  Flags are AND-ed; ``ids`` restricts to some entities.  Columns: entity_id, canonical_name,
     entity_kind, total_flow, tier, total."""
     q = fold_query(query)
     name = F.col("search_name")
@@ -41,11 +41,11 @@ def search_orgs(entities: DataFrame, roles: DataFrame, query: str, *, flags: Dat
     if ids is not None:
         hits = hits.join(ids.select("entity_id"), "entity_id", "left_semi")
     flow = roles.select("entity_id", (F.col("total_given") + F.col("total_received")).alias("total_flow"))
-    tier = F.when(name == q, 1).when(F.startswith(name, F.lit(q)), 2).otherwise(3)
+    tier = F.when(name == q, 0).when(F.startswith(name, F.lit(q)), 1).otherwise(2)
     rows = hits.join(flow, "entity_id", "left").select("entity_id", "canonical_name", "entity_kind", F.coalesce("total_flow", F.lit(0.0)).alias("total_flow"), tier.alias("tier"))
     facts = rows.agg(F.count("*").alias("total"), F.max(F.when(F.col("tier") == 1, F.col("total_flow"))).alias("top_flow"))
     ranked = rows.crossJoin(F.broadcast(facts))
-    rank = F.when((F.col("top_flow") > 0) & (F.col("tier") > 1) & (F.col("total_flow") >= PROMOTION * F.col("top_flow")), 1).otherwise(F.col("tier"))
+    rank = F.when((F.col("tier") > 1) & (F.col("total_flow") > PROMOTION * F.coalesce("top_flow", F.lit(0.0))), 1).otherwise(F.col("tier"))
     return ranked.withColumn("rank_tier", rank).orderBy("rank_tier", F.desc("total_flow"), "entity_id").offset(offset).limit(limit).select("entity_id", "canonical_name", "entity_kind", "total_flow", "tier", "total")
 
 
@@ -142,7 +142,7 @@ def amendment_chain(rows: DataFrame, key: Sequence[str], number: str, value: str
 
 def slug_manifest(entities: DataFrame, name: str = "canonical_name", key: str = "entity_id") -> DataFrame:
     """A unique page name for each entity: its slug, with the id after it from the second entity of the slug on."""
-    slug = F.coalesce(expr.blank_to_null(expr.slugify(expr.english_name(F.col(name)))), F.lit("org"))
+    slug = expr.slugify(F.split_part(expr.english_name(F.col(name)), F.lit("/"), F.lit(1)))
     first = Window.partitionBy("base").orderBy(key)
     out = entities.withColumn("base", slug).withColumn("__n", F.row_number().over(first))
     return out.select(key, F.when(F.col("__n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col(key).cast("string"))).alias("slug"))

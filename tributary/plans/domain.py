@@ -378,4 +378,4 @@ m AS (SELECT dept, count(*) AS n_rows, count(*) FILTER (st IS NULL) AS bad FROM
 SELECT dept, bad, n_rows FROM m WHERE bad > 0 ORDER BY bad DESC, dept LIMIT 3""")
 def worst_offenders(t: Tables) -> DataFrame:
     m = t.orders.groupBy(F.col("o_orderpriority").alias("dept")).agg(F.count("*").alias("n_rows"), F.count_if(F.nullif("o_orderstatus", F.lit("P")).isNull()).alias("bad"))
-    return quality.worst_offenders(m, "bad", 3)
+    return quality.worst_offenders(m, "bad", 3, "n_rows").drop("pct")

@@ -16,14 +16,14 @@ raw AS (SELECT ' ' || o_orderpriority || ' ' AS owner_org, 'R-' || k AS ref_numb
   CASE WHEN k % 23 = 0 THEN 'n/a' ELSE '$' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS agreement_value, CASE WHEN k % 29 = 0 THEN ' ' ELSE 'Org ' || o_custkey END AS recipient_legal_name,
   CASE WHEN k % 4 = 0 THEN NULL WHEN k % 31 = 0 THEN '12345' ELSE lpad(CAST(o_custkey AS VARCHAR), 9, '1') || 'RR0001' END AS recipient_business_number,
   CASE WHEN k % 7 = 0 THEN NULL WHEN k % 37 = 0 THEN 'Z' ELSE 'N' END AS recipient_type, CASE WHEN c_nationkey = 3 THEN 'Ontario' WHEN c_nationkey = 5 THEN 'NY' WHEN c_nationkey = 7 THEN NULL ELSE 'ON' END AS recipient_province,
-  CASE WHEN c_nationkey = 11 THEN 'ca' WHEN c_nationkey = 13 THEN '' ELSE 'CA' END AS recipient_country,
-  CASE WHEN k % 41 = 0 THEN '1900-01-01' WHEN k % 43 = 0 THEN NULL WHEN k % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS agreement_start_date,
-  CASE WHEN k % 3 = 1 THEN '' ELSE c_mktsegment END AS description_en, CASE WHEN k % 5 = 1 THEN NULL ELSE 'results' END AS expected_results_en, a, k FROM v),
-p AS (SELECT trim(owner_org) AS dept, ref_number AS ref, nullif(trim(recipient_legal_name), '') AS recipient, nullif(recipient_business_number, '') AS bn, recipient_type AS rtype, recipient_province AS prov, nullif(recipient_country, '') AS country,
+  CASE WHEN c_nationkey = 11 THEN 'ca' WHEN c_nationkey = 13 THEN '' WHEN c_nationkey = 17 THEN 'CAN' ELSE 'CA' END AS recipient_country, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 37 = 0 THEN 'X' ELSE 'G' END AS agreement_type,
+  CASE WHEN k % 41 = 0 THEN '1899-12-30' WHEN k % 43 = 0 THEN NULL WHEN k % 47 = 0 THEN '2026-01-15' WHEN k % 53 = 0 THEN '1985-02-03' WHEN k % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS agreement_start_date,
+  CASE WHEN k % 3 = 1 THEN '' WHEN k % 2 = 0 THEN repeat(c_mktsegment || ' ', 8) ELSE c_mktsegment END AS description_en, CASE WHEN k % 5 = 1 THEN NULL ELSE 'results' END AS expected_results_en, a, k FROM v),
+p AS (SELECT trim(owner_org) AS dept, ref_number AS ref, nullif(trim(recipient_legal_name), '') AS recipient, nullif(recipient_business_number, '') AS bn, recipient_type AS rtype, agreement_type AS atype, recipient_province AS prov, nullif(recipient_country, '') AS country,
   TRY_CAST(replace(replace(agreement_value, '$', ''), ',', '') AS DECIMAL(18,2)) AS value, coalesce(try_strptime(agreement_start_date, '%Y-%m-%d'), try_strptime(agreement_start_date, '%d/%m/%Y')) AS sd,
-  agreement_start_date AS sd_raw, nullif(description_en, '') AS desc_en, expected_results_en AS results_en, a, k FROM raw),
-f AS (SELECT *, value IS NULL OR value <= 0 AS badvalue, coalesce(sd < TIMESTAMP '1990-01-01' OR sd > TIMESTAMP '2026-12-31', false) AS baddate, coalesce(prov NOT IN ('ON'), false) AS badprov, coalesce(country <> upper(country), false) AS badcountry, coalesce(rtype NOT IN ('N'), false) AS dirtytype,
-  bn IS NOT NULL AND NOT regexp_matches(bn, '^[0-9]{9}RR0001$') AS bad_bn FROM p),
+  agreement_start_date AS sd_raw, nullif(trim(description_en), '') AS desc_en, expected_results_en AS results_en, a, k FROM raw),
+f AS (SELECT *, coalesce(sd = TIMESTAMP '1899-12-30' OR sd < TIMESTAMP '1990-01-01' OR sd > TIMESTAMP '2026-12-31', false) AS baddate, prov IS NOT NULL AND prov NOT IN ('ON') AS badprov, country IS NOT NULL AND (country <> upper(country) OR length(country) <> 2) AS badcountry,
+  atype IS NOT NULL AND atype NOT IN ('C', 'G', 'O') AS dirtytype, desc_en IS NOT NULL AND length(desc_en) < 50 AS short_desc, value IS NOT NULL AND value <= 0 AS zero_neg FROM p),
 latest AS (SELECT * FROM f WHERE a = CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END)"""
 
 
@@ -44,39 +44,55 @@ def _raw(t: Tables) -> DataFrame:
         F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("owner_org"), F.concat(F.lit("R-"), k.cast("string")).alias("ref_number"), case(((k % 17 == 0) & (a == 0), ""), otherwise=F.concat(a.cast("string"), F.when(k % 5 == 0, ".0").otherwise(""))).alias("amendment_number"),
         case((k % 23 == 0, "n/a"), otherwise=F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))).alias("agreement_value"), case((k % 29 == 0, " "), otherwise=F.concat(F.lit("Org "), F.col("o_custkey").cast("string"))).alias("recipient_legal_name"),
         case((k % 4 == 0, None), (k % 31 == 0, "12345"), otherwise=F.concat(F.lpad(F.col("o_custkey").cast("string"), 9, "1"), F.lit("RR0001"))).alias("recipient_business_number"), case((k % 7 == 0, None), (k % 37 == 0, "Z"), otherwise="N").alias("recipient_type"),
-        case((F.col("c_nationkey") == 3, "Ontario"), (F.col("c_nationkey") == 5, "NY"), (F.col("c_nationkey") == 7, None), otherwise="ON").alias("recipient_province"), case((F.col("c_nationkey") == 11, "ca"), (F.col("c_nationkey") == 13, ""), otherwise="CA").alias("recipient_country"), null.alias("recipient_city"), null.alias("recipient_postal_code"),
-        case((k % 41 == 0, "1900-01-01"), (k % 43 == 0, None), (k % 2 == 0, F.date_format(day, "yyyy-MM-dd")), otherwise=F.date_format(day, "dd/MM/yyyy")).alias("agreement_start_date"), null.alias("agreement_end_date"), F.lit("P").alias("prog_name_en"), null.alias("agreement_title_en"),
-        case((k % 3 == 1, ""), otherwise=F.col("c_mktsegment")).alias("description_en"), null.alias("description_fr"), case((k % 5 == 1, None), otherwise="results").alias("expected_results_en"),
+        case((F.col("c_nationkey") == 3, "Ontario"), (F.col("c_nationkey") == 5, "NY"), (F.col("c_nationkey") == 7, None), otherwise="ON").alias("recipient_province"), case((F.col("c_nationkey") == 11, "ca"), (F.col("c_nationkey") == 13, ""), (F.col("c_nationkey") == 17, "CAN"), otherwise="CA").alias("recipient_country"), case((k % 7 == 0, None), (k % 37 == 0, "X"), otherwise="G").alias("agreement_type"), null.alias("recipient_city"), null.alias("recipient_postal_code"),
+        case((k % 41 == 0, "1899-12-30"), (k % 43 == 0, None), (k % 47 == 0, "2026-01-15"), (k % 53 == 0, "1985-02-03"), (k % 2 == 0, F.date_format(day, "yyyy-MM-dd")), otherwise=F.date_format(day, "dd/MM/yyyy")).alias("agreement_start_date"), null.alias("agreement_end_date"), F.lit("P").alias("prog_name_en"), null.alias("agreement_title_en"),
+        case((k % 3 == 1, ""), (k % 2 == 0, F.repeat(F.concat("c_mktsegment", F.lit(" ")), 8)), otherwise=F.col("c_mktsegment")).alias("description_en"), null.alias("description_fr"), case((k % 5 == 1, None), otherwise="results").alias("expected_results_en"),
     )
 
 
-@query(f"""WITH {_RAW} SELECT dept, count(*) AS n_rows, CAST(sum(value) AS DOUBLE) AS total_value, count(*) FILTER (recipient IS NULL) AS no_recipient, count(*) FILTER (bn IS NULL) AS no_bn, count(*) FILTER (bad_bn) AS bad_bn, count(*) FILTER (rtype IS NULL) AS no_type, count(*) FILTER (dirtytype) AS dirty_type,
-  count(*) FILTER (prov IS NULL) AS no_province, count(*) FILTER (badprov) AS bad_province, count(*) FILTER (country IS NULL) AS no_country, count(*) FILTER (badcountry) AS bad_country, count(*) FILTER (badvalue) AS bad_value, count(*) FILTER (sd IS NULL) AS no_start, count(*) FILTER (baddate) AS bad_start,
-  count(*) FILTER (desc_en IS NULL) AS no_description, count(*) FILTER (results_en IS NULL) AS no_results FROM f GROUP BY 1""")
+_AFTER = "sd >= TIMESTAMP '2025-12-01'"
+
+
+@query(f"""WITH {_RAW} SELECT dept, count(*) AS total, CAST(coalesce(sum(value), 0) AS DOUBLE) AS value_sum, count(*) FILTER (desc_en IS NULL) AS missing_desc_en, count(*) AS missing_desc_fr, count(*) FILTER (dirtytype) AS dirty_type, count(*) FILTER (short_desc) AS short_desc, count(*) FILTER (zero_neg) AS zero_neg,
+  count(*) FILTER ({_AFTER}) AS post_dec_total, count(*) FILTER ({_AFTER} AND rtype IS NULL) AS pd_recipient_type, count(*) FILTER ({_AFTER} AND bn IS NULL) AS pd_biz_num, count(*) FILTER ({_AFTER} AND results_en IS NULL) AS pd_exp_results FROM f GROUP BY 1""")
 def agreement_compliance(t: Tables) -> DataFrame:
     p = quality.parse_agreements(_raw(t)).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    return doubles(quality.compliance(p).drop("after_policy", "after_policy_no_results"), "total_value")
+    names = ("dept", "total", "value_sum", "missing_desc_en", "missing_desc_fr", "dirty_type", "short_desc", "zero_neg", "post_dec_total", "pd_recipient_type", "pd_biz_num", "pd_exp_results")
+    return doubles(quality.compliance(p).select(*names), "value_sum")
 
 
-_PCT = ("no_bn", "bn IS NULL OR bad_bn"), ("no_type", "rtype IS NULL"), ("dirty_type", "dirtytype"), ("bad_province", "badprov"), ("bad_country", "badcountry"), ("bad_date", "baddate"), ("no_description", "desc_en IS NULL"), ("no_results", "results_en IS NULL")
+_PCT = ("nodesc_en", "desc_en IS NULL"), ("nodesc_fr", "true"), ("short", "short_desc"), ("dirty", "dirtytype"), ("zeroneg", "zero_neg"), ("baddate", "baddate"), ("badgeo", "badprov OR badcountry"), ("nobn", "bn IS NULL")
 
 
-@query(f"WITH {_RAW} SELECT dept, count(*) AS n_rows, " + ", ".join(f"round(100.0 * count(*) FILTER ({c})::DOUBLE / count(*), 6) AS pct_{n}" for n, c in _PCT) + " FROM latest GROUP BY 1 HAVING count(*) >= 100")
+@query(f"WITH {_RAW} SELECT dept, count(*) AS n, " + ", ".join(f"round(100.0 * count(*) FILTER ({c})::DOUBLE / count(*), 6) AS pct_{n}" for n, c in _PCT) + " FROM latest GROUP BY 1 HAVING count(*) >= 100")
 def agreement_quality(t: Tables) -> DataFrame:
-    out = quality.quality_by_department(_raw(t))
+    out = quality.quality_by_department(_raw(t)).drop("title", "dollars")
     return out.withColumns({f"pct_{n}": F.round(f"pct_{n}", 6) for n, _ in _PCT})
 
 
-@query(f"""WITH {_RAW} SELECT 'spreadsheet null date' AS anomaly, sd_raw AS value, count(*) AS n FROM p WHERE sd_raw = '1900-01-01' GROUP BY 2 UNION ALL SELECT 'before 1990', CAST(year(sd) AS VARCHAR), count(*) FROM p WHERE sd < TIMESTAMP '1990-01-01' GROUP BY 2
-UNION ALL SELECT 'lower-case country', country, count(*) FROM p WHERE regexp_matches(country, '[a-z]') GROUP BY 2 UNION ALL SELECT CASE WHEN prov = 'NY' THEN 'foreign province' ELSE 'invalid province' END, prov, count(*) FROM p WHERE prov <> 'ON' GROUP BY 1, 2""")
+@query(f"WITH {_RAW} SELECT dept, count(*) AS n, 100.0 AS pct_riding, round(100.0 * count(*) FILTER (bn IS NULL)::DOUBLE / count(*), 6) AS pct_bn FROM latest WHERE {_AFTER} GROUP BY 1 HAVING count(*) >= 10".replace("100.0 AS pct_riding", "CAST(100 AS DOUBLE) AS pct_riding"))
+def agreement_mandatory_fields(t: Tables) -> DataFrame:
+    return quality.mandatory_fields(_raw(t)).select("dept", "n", "pct_riding", F.round("pct_bn", 6).alias("pct_bn"))
+
+
+@query(f"""WITH {_RAW} SELECT dept, 'spreadsheet null date' AS anomaly, sd_raw AS value, count(*) AS n FROM p WHERE sd = TIMESTAMP '1899-12-30' GROUP BY 1, 3 UNION ALL SELECT dept, 'before 1990', sd_raw, count(*) FROM p WHERE sd < TIMESTAMP '1990-01-01' AND sd <> TIMESTAMP '1899-12-30' GROUP BY 1, 3
+UNION ALL SELECT dept, 'lower-case country', country, count(*) FROM p WHERE country <> upper(country) GROUP BY 1, 3 UNION ALL SELECT dept, CASE WHEN prov = 'NY' THEN 'foreign province' ELSE 'invalid province' END, prov, count(*) FROM p WHERE prov <> 'ON' GROUP BY 1, 2, 3""")
 def agreement_anomalies(t: Tables) -> DataFrame:
     return quality.anomalies(quality.parse_agreements(_raw(t)))
 
 
-@query(f"""WITH {_RAW} SELECT CAST(year(sd) - CASE WHEN month(sd) < 4 THEN 1 ELSE 0 END AS BIGINT) AS fy, count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM latest WHERE year(sd) - CASE WHEN month(sd) < 4 THEN 1 ELSE 0 END BETWEEN 2005 AND 2026 OR year(sd) - CASE WHEN month(sd) < 4 THEN 1 ELSE 0 END BETWEEN 1994 AND 2004 GROUP BY 1""")
+@query(f"""WITH {_RAW}, y AS (SELECT year(sd) - CASE WHEN month(sd) < 4 THEN 1 ELSE 0 END AS fy, value FROM latest WHERE sd BETWEEN TIMESTAMP '2005-04-01' AND TIMESTAMP '2027-03-31')
+SELECT CAST(fy AS BIGINT) AS fy, count(*) AS n, round(CAST(coalesce(sum(value), 0) AS DOUBLE), 2) AS total FROM y GROUP BY 1""")
 def agreement_series(t: Tables) -> DataFrame:
-    p = quality.parse_agreements(quality.latest(_raw(t))).where(F.col("fy").between(1994, 2026))
-    return doubles(longs(p.groupBy("fy").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")), "fy"), "total")
+    return longs(quality.dashboard(_raw(t))["series"].withColumn("total", F.round(F.col("total").cast("double"), 2)), "fy")
+
+
+@query(f"""WITH {_RAW} SELECT count(*) FILTER (value = 1) AS one_dollar, count(*) FILTER (value > 0 AND value < 5000) AS small, count(*) FILTER (sd = TIMESTAMP '1899-12-30') AS excel, (SELECT count(*) FROM f) - count(*) AS superseded, count(DISTINCT dept) AS departments FROM latest""")
+def agreement_facts(t: Tables) -> DataFrame:
+    raw = _raw(t)
+    d = quality.dashboard(raw)
+    small = quality.parse_agreements(quality.latest(raw)).agg(F.count_if((F.col("value") > 0) & (F.col("value") < 5000)).alias("small"))
+    return d["facts"].select("one_dollar", "excel").crossJoin(small).crossJoin(d["totals"].select("superseded", "departments"))
 
 
 @query(f"""WITH {_RAW}, c AS (SELECT dept, prov AS value, count(*) AS n FROM latest WHERE badprov GROUP BY 1, 2) SELECT dept, value, n FROM (SELECT *, row_number() OVER (PARTITION BY dept ORDER BY n DESC, value) AS rn FROM c) WHERE rn <= 3""")
