@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, SPACE, Words, id_and_text, slices, spans_hash, utf8, written
+from .common import BYTE_KEYS, SPACE, id_and_text, release, slices, spans_hash, utf8, written, Words
 
 WINDOW, MIN_WORDS, REACH = 12, 20, 32
 #: Shorter chunks of a passage must come from where a neighbour comes from, or lie between longer ones.
@@ -95,6 +95,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("seq", "start", "end", "words")), T.StructField("digest", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -113,23 +114,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("doc_id", "start")
     seen = every.groupBy("digest").agg(F.min(place).alias("keeper"), F.max(place).alias("other"), F.count("*").alias("copies"))
     repeated = written(seen.where(F.col("keeper") != F.col("other")).select("digest", "keeper", "copies"), "digests")
-    hits = every.join(repeated, "digest").withColumn("first", place == F.col("keeper"))
-    # Where the digest first occurs, relative to here: the same for all chunks of a copied passage.
-    hits = hits.withColumn("source", F.struct(F.col("keeper.doc_id").alias("d"), (F.col("keeper.start") - F.col("start")).alias("o"))).drop("digest")
+    hits = every.join(repeated, "digest").drop("digest")
     order = Window.partitionBy("doc_id").orderBy("seq")
     hits = hits.withColumn("before", F.lag("seq").over(order)).where("before is null or before <> seq")
     near = lambda f, step, c: F.when(f("seq").over(order) == F.col("seq") + step, f(c).over(order))
-    beside = {f"{side}_{c}": near(f, step, c) for side, f, step in (("last", F.lag, -1), ("next", F.lead, 1)) for c in ("source", "keeper", "words")}
+    beside = {f"{side}_{c}": near(f, step, c) for side, f, step in (("last", F.lag, -1), ("next", F.lead, 1)) for c in ("keeper", "start", "words")}
     hits = hits.withColumns({"run": F.col("seq") - F.row_number().over(order), **beside})
     total = F.sum("words").over(Window.partitionBy("doc_id", "run"))
     long = hits.withColumn("run_words", total).where(F.col("run_words") >= min_words)
-    # A short chunk that comes from elsewhere than either neighbour is a common phrase beside the passage, unless long ones enclose it
-    # or it is the same over and over.
-    same = [F.col(c).eqNullSafe(F.col(f"{side}_{c}")) for side in ("last", "next") for c in ("source", "keeper")]
-    alike = same[0] | same[1] | same[2] | same[3]
+    # A short chunk that comes from elsewhere than either neighbour (another document, or another distance) is a common phrase
+    # beside the passage, unless long ones enclose it or it is the same over and over.
+    alike = F.lit(False)
+    for side in ("last", "next"):
+        other, there = F.col(f"{side}_keeper"), F.col(f"{side}_start")
+        distance = (F.col("keeper.start") - F.col("start")).eqNullSafe(other["start"] - there)
+        alike = alike | (there.isNotNull() & F.col("keeper.doc_id").eqNullSafe(other["doc_id"]) & (distance | (F.col("keeper.start") == other["start"])))
     enclosed = F.coalesce(F.least("last_words", "next_words") >= STRAY_WORDS, F.lit(False)) & F.col("last_words").isNotNull() & F.col("next_words").isNotNull()
     stray = (F.col("words") < STRAY_WORDS) & ~alike & ~enclosed
-    return long.where(~stray).select("doc_id", "seq", "start", "end", "words", "copies", "run", "first")
+    return long.where(~stray).select("doc_id", "seq", "start", "end", "words", "copies", "run", (place == F.col("keeper")).alias("first"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -164,6 +166,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             spans = batch.column(len(names))
             hit = np.flatnonzero(np.asarray(spans.is_valid()))

@@ -6,6 +6,10 @@ a small multiple of that (or of the single longest text) whatever the size of an
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship, written
 
-__all__ = ["Words", "id_and_text", "mix", "shared_dir", "slices", "spans_hash", "table", "utf8", "written"]
+__all__ = ["Words", "id_and_text", "mix", "release", "shared_dir", "slices", "spans_hash", "table", "utf8", "written"]
 
 SLICE_BYTES = 2_000_000
 
@@ -31,6 +35,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def release() -> None:
+    """Give back what the token operators keep in this Python worker for their own later tasks: called by tasks of other operators,
+    since workers serve one stage after another."""
+    held = ((sys.modules.get(f"{__package__}.{module}"), name) for module, name in (("tokens", "encoder"), ("bpe_trie", "_encoder")))
+    kept = [f for module, name in held if (f := getattr(module, name, None)) and f.cache_info().currsize]
+    if not kept:
+        return
+    for f in kept:
+        f.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` bytes of text each (one row at least)."""
     if not len(texts):
