@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices
-from .tokens import Encoder, vocabulary
+from .tokens import TOKEN_SLICE, Encoder, vocabulary
 
 
 def byte_symbols() -> dict[str, int]:
@@ -147,6 +147,12 @@ class TrieEncoder(Encoder):
         self.listed: list[str] = []  # a word's ids in decimal, joined by commas
         self.decoded: list[bytes] = []
 
+    def _trim(self) -> np.ndarray:
+        listed, decoded = self.listed, self.decoded
+        keep = super()._trim()
+        self.listed, self.decoded = [listed[i] for i in keep.tolist()], [decoded[i] for i in keep.tolist()]
+        return keep
+
     def _whole(self, text: str) -> list[str]:
         at, out = 0, []
         for m in self.special.finditer(text) if self.special else ():
@@ -191,7 +197,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         encoder = _encoder(sent.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TOKEN_SLICE):
                 part = batch.slice(a, b - a)
                 codes, counts = encoder.codes(part.column(1).to_pylist())
                 edges, sizes = np.concatenate([[0], np.cumsum(counts)]).tolist(), encoder.place[1, codes]

@@ -101,8 +101,33 @@ class Encoder:
         self.held = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.place = np.zeros((2, 1 << 14), np.int64)  # start and length in flat, by code
+        self.uses = np.zeros(1 << 14, np.int32)  # slices that had the word since the cache was last trimmed, by code
         self.used = 0
 
+    def _trim(self) -> np.ndarray:
+        """Keep the words that more than one slice had, unless those are most of the cache; returns their former codes."""
+        n = len(self.code)
+        keep = np.flatnonzero(self.uses[:n] > 1)
+        if 2 * len(keep) > n:
+            keep = keep[:0]
+        words, start, lens = list(self.code), self.place[0, keep], self.place[1, keep]
+        flat = self.flat[np.repeat(start - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())]
+        held = self.held * len(keep) // max(1, n)
+        self._clear()
+        self.code = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self._room(len(keep), len(flat))
+        self.flat[: len(flat)] = flat
+        self.place[0, : len(keep)], self.place[1, : len(keep)] = np.cumsum(lens) - lens, lens
+        self.used, self.held = len(flat), held
+        return keep
+
+    def _room(self, words: int, ids: int) -> None:
+        while ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while words > self.place.shape[1]:
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+
     def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """As _ids for words without inner white space: lines of one text, which the library splits at their ends."""
         texts = ["\n".join(words[i : i + 100]) + "\n" for i in range(0, len(words), 100)]
@@ -122,10 +147,7 @@ class Encoder:
         for part in (words[i : i + 20_000] for i in range(0, len(words), 20_000)):
             ids, lens = self._ids(part, plain)
             n, total = len(self.code), len(ids)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > self.place.shape[1]:
-                self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
+            self._room(n + len(part), self.used + total)
             self.flat[self.used : self.used + total] = ids
             self.place[0, n : n + len(part)] = self.used + np.cumsum(lens) - lens
             self.place[1, n : n + len(part)] = lens
@@ -149,7 +171,7 @@ class Encoder:
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = np.asarray(words.indices)
         if self.held > self.cache_bytes:
-            self._clear()
+            self._trim()
         known = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = [w for w, n in zip(distinct, known.tolist(), strict=True) if n < 0 and w != "\0"]
         if missing or odd:
@@ -158,6 +180,7 @@ class Encoder:
             self._learn(space, False)
             self._learn(list({w for x in odd.values() for w in x if w not in self.code}), False)
             known = np.fromiter(map(self.code.get, distinct, repeat(-1)), np.int64, len(distinct))
+        self.uses[known[known >= 0]] += 1
         codes, counts = known[number], np.diff(ends, prepend=-1) - 1
         keep = np.ones(len(codes), bool)
         keep[ends] = False
