@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import Words, mix, slices, utf8, written
+from .common import mix, release, slices, utf8, written, Words
 
 U = np.uint64
 _PHI, _PSI = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -147,6 +147,7 @@ def _count(texts: DataFrame, buckets: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: tuple[list, list] = ([], [])
         size = 0
         for batch in batches:

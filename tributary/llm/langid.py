@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import slices
+from .common import release, slices
 
 BITS = 14
 DIMS, GRAMS, SEGMENT, LANDMARKS = 1 << BITS, 4, 2048, 256
@@ -145,6 +145,7 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     some = rows.join(F.broadcast(taken), (F.col(id_col) == F.col("__id")) & (F.col(lang_col).cast("string") == F.col("__lang"))).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"), F.xxhash64("__id").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 x, _, length = presence([normalised(batch.column(1)[i].as_py())])
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 part = batch.slice(a, b - a)
@@ -186,6 +188,7 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for a, b in slices(texts):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, id_and_text, mix, slices, utf8, written
+from .common import id_and_text, mix, release, slices, utf8, written, Words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -96,6 +96,7 @@ def _scan(source: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -116,6 +117,7 @@ def _sets(source: DataFrame) -> DataFrame:
     """rep, set: the sorted 48-bit shingle ids of each text, six bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -151,6 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     schema = T.StructType([rows.schema["a"], rows.schema["b"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             last, a = None, None
             keep = []

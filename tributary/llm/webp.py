@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import id_and_text, slices, utf8, written
+from .common import id_and_text, release, slices, utf8, written
 
 WIDTH, TILE = 64, 8192
 #: Fixed values of the format: the order in which code length code lengths are stored.
@@ -709,6 +709,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -728,6 +729,7 @@ def read_documents(stored: DataFrame, *, with_samples: bool = False) -> DataFram
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 part = batch.slice(a, b - a)
