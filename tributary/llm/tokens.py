@@ -82,7 +82,7 @@ def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> str:
 class Encoder:
     """encode(texts) -> (ids of all texts one after another, number of ids of each text)."""
 
-    def __init__(self, vocab: str, cache_bytes: int = 70_000_000):
+    def __init__(self, vocab: str, cache_bytes: int = 50_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Python worker has one core
         from tokenizers import Tokenizer
 
