@@ -181,6 +181,19 @@ def test_a_full_filter_keeps_the_frequent(spark):
     assert (model.counts(other, bloomlm.BIGRAM) > 0).mean() < 0.12
 
 
+def test_no_ngram_is_left_out(spark):
+    """Far more n-grams than the least filter could hold: each is read back with the count of its level or a higher one."""
+    words = [f"w{i}" for i in range(20_000)]
+    text = " ".join(words + words[:100] * 3)
+    model, _ = bloomlm.train(spark.createDataFrame([(text,)], "text string"), buckets=128, filter_bits=1 << 15)
+    t, _ = bloomlm.tokens([text.encode()])
+    for kind, x in ((bloomlm.UNIGRAM, t), (bloomlm.BIGRAM, bloomlm.bigrams(t))):
+        key, n = bloomlm.counted(x)
+        assert (model.counts(key, kind) >= np.floor(1.5 * 2.0 ** (bloomlm.level_of(n) - 1))).all()
+    other = np.random.default_rng(0).integers(1, 2**63, 20_000).astype(np.uint64)
+    assert (model.counts(other, bloomlm.BIGRAM) > 0).mean() < 0.12
+
+
 # --- WebP -----------------------------------------------------------------------------------------------------------------
 
 _R = np.random.default_rng(0)

@@ -5,12 +5,12 @@ within a slice of texts, then over the corpus in hash buckets that no frequent n
 in the filter once for each level 1 .. 1 + floor(log2 c); its count is read back by probing level after level until one is
 missing, and P(w | v) interpolates the bigram estimate with the smoothed unigram one.
 
-The filter is broadcast, so its size is bound: ``filter_bits``, half for unigrams and half for bigrams, in a segment for each hash
-bucket.  N-grams enter a segment from the least level on at which its load stays below ``load`` (there an absent entry's probes
-pass with probability of about 0.05); rarer bigrams back off to their unigrams.  Counts, N and V cover all training texts at any size.
+The filter is a segment of bits for each kind and hash bucket, and each segment's size follows from the entries that were counted for it,
+so that its load stays below ``load`` (there an absent entry's probes pass with probability of about 0.05) and no n-gram is left out at any
+size of corpus.  ``filter_bits`` is only the least size of all segments together.
 
-The exact base score needs each token's exact count.  A bounded table of frequent tokens is broadcast; all other tokens meet
-their counts in a co-grouped join by hash bucket, and only sums for each text of a slice come back.
+Neither filter nor counts are gathered: each slice of texts sends its distinct n-grams to their buckets, where a co-grouped join reads their
+levels and the exact counts of tokens, and gets them back.  Only a bounded table of frequent tokens is broadcast, which spares their way.
 
 Edge cases: a null text is an empty one (an end token only); null ids are not held out and are learned from; repeated rows
 are learned from and scored once each; texts may be of any length; without training texts N and V are 0 and every token is unknown; an empty
@@ -36,6 +36,7 @@ _PHI, _PSI = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 END = np.array([0x5851F42D4C957F2D], U)  # the end token's hash, also what stands before a text's first word
 LEVELS, PROBES = 40, 3
 LAMBDA = 0.6
+LOW48 = U((1 << 48) - 1)
 #: Tokens that are counted together before they are shuffled.
 COUNTED = 1_500_000
 UNIGRAM, BIGRAM = 0, 1
@@ -95,37 +96,47 @@ def places(key: np.ndarray, level: int, kind: int, size: int) -> list[np.ndarray
     return [(((a + U(i) * step) & U(0xFFFFFFFF)) * U(size) >> U(32)).astype(np.int64) for i in range(PROBES)]
 
 
-class Filter:
-    """The filter: a segment of bits for each bucket (the top bits of an n-gram's hash), and what scoring needs beside it."""
+def read(segment: bytes, low: np.ndarray, kind: int) -> np.ndarray:
+    """The level at which a segment holds each n-gram (by the lower 48 bits of its hash), 0 if it doesn't."""
+    bits, level, at = np.frombuffer(segment, np.uint8), np.zeros(len(low), np.uint8), np.arange(len(low))
+    for step in range(1, LEVELS + 1):
+        held = np.ones(len(at), bool)
+        for p in places(low, step, kind, 8 * len(bits)):
+            held &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        at, low = at[held], low[held]
+        if not len(at):
+            break
+        level[at] = step
+    return level
 
-    def __init__(self, bits: np.ndarray, size: int, buckets: int, total: int, distinct: int, hot: np.ndarray, hot_counts: np.ndarray):
-        self.bits, self.size, self.shift = bits, size, U(64 - (buckets.bit_length() - 1))
-        self.total, self.distinct, self.hot, self.hot_counts = total, distinct, hot, hot_counts
+
+def stands_for(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range, 0 if the n-gram isn't held."""
+    return np.where(level > 0, np.floor(1.5 * 2.0 ** (level.astype(np.int64) - 1)), 0.0)
+
+
+class Model:
+    """Sums over the corpus and the frequent tokens with their counts and levels; the segments stay in a table."""
+
+    def __init__(self, ngrams: DataFrame, buckets: int, total: int, distinct: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.ngrams, self.shift = ngrams, U(64 - (buckets.bit_length() - 1))
+        self.total, self.distinct, self.hot = total, distinct, hot
 
     def counts(self, key: np.ndarray, kind: int) -> np.ndarray:
-        """The count that each n-gram's level stands for: the middle of its range, 0 if it isn't held."""
-        level = np.zeros(len(key), np.int64)
-        low, base = key & U((1 << 48) - 1), ((key >> self.shift).astype(np.int64) * 2 + kind) * self.size
-        at = np.arange(len(key))
-        for step in range(1, LEVELS + 1):
-            held = np.ones(len(at), bool)
-            for place in places(low, step, kind, self.size):
-                p = place + base
-                held &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            at, low, base = at[held], low[held], base[held]
-            if not len(at):
-                break
-            level[at] = step
-        return np.where(level > 0, np.floor(1.5 * 2.0 ** (level - 1)), 0.0)
-
-    def log10(self, t: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
-        distinct, where = np.unique(t, return_inverse=True)
-        one = self.counts(distinct, UNIGRAM)[where]
-        before = np.concatenate([one[-1:] if len(one) else one, one[:-1]])
-        two = np.minimum(self.counts(bigrams(t), BIGRAM), before)
-        uni = (one + 1) / (self.total + self.distinct + 1)
-        return np.log10(np.where(before > 0, LAMBDA * two / np.maximum(before, 1) + (1 - LAMBDA) * uni, uni))
+        """The counts of some n-grams as the filter holds them, looked up from the driver, a bucket at a time."""
+        bucket, out = (key >> self.shift).astype(np.int64), np.zeros(len(key))
+        for r in self.ngrams.where(F.col("kind") == kind).select("bucket", "segment").toLocalIterator():
+            mine = np.flatnonzero(bucket == r["bucket"])
+            out[mine] = stands_for(read(r["segment"], key[mine] & LOW48, kind))
+        return out
+
+
+def log10(one: np.ndarray, two: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 P of each token after the one before it, by the counts of the tokens and of the bigrams that end in them."""
+    before = np.concatenate([one[-1:], one[:-1]])
+    two = np.minimum(two, before)
+    uni = (one + 1) / (total + distinct + 1)
+    return np.log10(np.where(before > 0, LAMBDA * two / np.maximum(before, 1) + (1 - LAMBDA) * uni, uni))
 
 
 def _buckets(docs: DataFrame) -> int:
@@ -165,8 +176,9 @@ def _count(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
 
 
-def _merge(counts: DataFrame, size: int, load: float, hot: int) -> DataFrame:
-    """By kind and bucket: sums, the filter's segment, and for unigrams their exact counts and the most frequent of them."""
+def _merge(counts: DataFrame, least: int, load: float, hot: int) -> DataFrame:
+    """By kind and bucket: sums, the filter's segment (of ``least`` bits or as many as its entries need), and for unigrams their exact
+    counts and the most frequent of them."""
 
     def run(group: pa.Table) -> pa.Table:
         kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
@@ -174,52 +186,42 @@ def _merge(counts: DataFrame, size: int, load: float, hot: int) -> DataFrame:
         n = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"].to_pylist()]).astype(np.int64)
         keys, n = summed(keys, n)
         level = level_of(n)
-        by = np.bincount(level, minlength=LEVELS + 1)[1:]
-        entries = np.cumsum((by * np.arange(1, LEVELS + 1))[::-1])[::-1]  # of n-grams of this level or a higher one
-        fits = np.flatnonzero(entries * PROBES <= load * size)
-        cut = int(fits[0]) + 1 if len(fits) else LEVELS + 1
+        size = max(least, -(-int(np.ceil(int(level.sum()) * PROBES / load)) // 8) * 8)
         bits = np.zeros(size, np.uint8)
         for step in range(1, int(level.max(initial=0)) + 1):
-            own = keys[level >= max(step, cut)]
-            for place in places(own, step, kind, size):
+            for place in places(keys[level >= step], step, kind, size):
                 bits[place] = 1
         exact = kind == UNIGRAM
         top = np.argpartition(-n, min(hot, len(n)) - 1)[:hot] if exact and len(n) else np.zeros(0, np.int64)
+        segment = np.packbits(bits, bitorder="little").tobytes()
         rows = {
-            "kind": [kind], "bucket": [bucket], "total": [int(n.sum())], "distinct": [len(n)], "cut": [cut], "segment": [np.packbits(bits, bitorder="little").tobytes()],
-            "keys": [_six(keys) if exact else b""], "counts": [n.astype("<i8").tobytes() if exact else b""], "hot_keys": [_six(keys[top])], "hot_counts": [n[top].astype("<i8").tobytes()],
+            "kind": [kind], "bucket": [bucket], "total": [int(n.sum())], "distinct": [len(n)], "segment": [segment], "keys": [_six(keys) if exact else b""], "counts": [n.astype("<i8").tobytes() if exact else b""],
+            "hot_keys": [_six(keys[top])], "hot_counts": [n[top].astype("<i8").tobytes()], "hot_levels": [read(segment, keys[top], kind).tobytes()],
         }
         return pa.table(rows, schema=made)
 
-    made = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("cut", pa.int32()), ("segment", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hot_keys", pa.binary()), ("hot_counts", pa.binary())])
-    return counts.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, total long, distinct long, cut int, segment binary, keys binary, counts binary, hot_keys binary, hot_counts binary")
-
-
-def train(texts: DataFrame, *, buckets: int, filter_bits: int = 1 << 28, load: float = 0.45, hot: int = 1 << 17) -> tuple[Filter, DataFrame]:
-    """The filter, and the table of exact unigram counts by bucket (bucket, keys, counts).
-
-    The driver gets one row for each bucket: sums, the filter's segments (filter_bits in all) and ``hot`` frequent tokens."""
-    size = max(64, filter_bits // 2 // buckets // 8 * 8)  # bits of a bucket's segment of each kind
-    merged = written(_merge(_count(texts, buckets), size, load, max(1, hot // buckets)), "ngrams")
-    rows = merged.select("kind", "bucket", "total", "distinct", "segment", "hot_keys", "hot_counts").collect()
-    each = size // 8
-    bits = np.zeros((buckets, 2, each), np.uint8)
-    keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for r in rows:
-        bits[r["bucket"], r["kind"]] = np.frombuffer(r["segment"], np.uint8)[:each]
-        if r["kind"] == UNIGRAM:
-            keys.append(_whole(_from_six(bytes(r["hot_keys"])), r["bucket"]))
-            counts.append(np.frombuffer(r["hot_counts"], "<i8"))
-    hot_keys, hot_counts = summed(np.concatenate(keys), np.concatenate(counts))
-    total, distinct = (sum(r[c] for r in rows if r["kind"] == UNIGRAM) for c in ("total", "distinct"))
-    # A segment of unigrams and one of bigrams lie side by side for each bucket.
-    model = Filter(bits.reshape(-1), size, buckets, total, distinct, hot_keys, hot_counts)
-    return model, merged.where(F.col("kind") == UNIGRAM).select("bucket", "keys", "counts")
-
-
-def _whole(low: np.ndarray, bucket: int) -> np.ndarray:
+    made = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), *((c, pa.binary()) for c in ("segment", "keys", "counts", "hot_keys", "hot_counts", "hot_levels"))])
+    return counts.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, total long, distinct long, segment binary, keys binary, counts binary, hot_keys binary, hot_counts binary, hot_levels binary")
+
+
+def train(texts: DataFrame, *, buckets: int, filter_bits: int = 1 << 28, load: float = 0.45, hot: int = 1 << 17) -> tuple[Model, DataFrame]:
+    """The model, and the table of segments and exact unigram counts (kind, bucket, segment, keys, counts).
+
+    The driver gets one row for each bucket: sums and its share of ``hot`` frequent tokens."""
+    least = max(64, filter_bits // 2 // buckets // 8 * 8)
+    merged = written(_merge(_count(texts, buckets), least, load, max(1, hot // buckets)), "ngrams")
+    rows = merged.where(F.col("kind") == UNIGRAM).select("bucket", "total", "distinct", "hot_keys", "hot_counts", "hot_levels").collect()
+    keys = np.concatenate([np.zeros(0, U), *(_whole(_from_six(r["hot_keys"]), r["bucket"]) for r in rows)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["hot_counts"], "<i8") for r in rows)])
+    levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["hot_levels"], np.uint8) for r in rows)])
+    order = np.argsort(keys)
+    model = Model(merged, buckets, sum(r["total"] for r in rows), sum(r["distinct"] for r in rows), (keys[order], counts[order], levels[order]))
+    return model, merged.select("kind", "bucket", "segment", "keys", "counts")
+
+
+def _whole(low: np.ndarray, bucket: int | np.ndarray) -> np.ndarray:
     """What identifies a token: its bucket and the lower 48 bits of its hash."""
-    return low | U(bucket) << U(48)
+    return low | np.asarray(bucket).astype(U) << U(48)
 
 
 def _held(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -232,87 +234,95 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
     ship(spark)
     source = _held(docs, id_col, text_col, held_out)
     buckets = _buckets(source)
-    model, exact = train(source.where(~F.col("held_out")).select("text"), buckets=buckets, **options)
-    sent = spark.sparkContext.broadcast(model)
+    model, ngrams = train(source.where(~F.col("held_out")).select("text"), buckets=buckets, **options)
+    total, all_distinct = model.total, model.distinct
+    sent = spark.sparkContext.broadcast(model.hot)
     kind = source.schema["doc_id"].dataType
     shift = U(64 - (buckets.bit_length() - 1))
-    low48 = U((1 << 48) - 1)
+    names_of = ["slice", "bucket", "doc_ids", "held", "a", "b", "c"]
     scanned_schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType())])
 
+    def frequent(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are in the broadcast table, and where."""
+        hot, key = sent.value[0], _whole(distinct & LOW48, distinct >> shift)
+        at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+        return (hot[at] == key if len(hot) else np.zeros(len(key), bool)), at
+
+    def cut(values: np.ndarray, width: int, edges: np.ndarray) -> pa.Array:
+        """Binary values of some bytes of each entry, as the entries lie between edges."""
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4").tobytes()), pa.py_buffer(values)])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each slice one row of its texts (sizes, sums over frequent tokens, scores) and rows of the other tokens, by bucket."""
-        m = sent.value
+        """For each slice one row of its texts (lengths, distinct tokens, which token stands where) and rows of n-grams, by bucket."""
+        release()
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
-            arrow = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(batch.column(0).type)), ("held", pa.list_(pa.bool_())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+            ids, flags = pa.list_(batch.column(0).type), pa.list_(pa.bool_())
             for a, b in slices(batch.column(2)):
                 rows = batch.slice(a, b - a)
                 t, n = tokens(utf8(rows.column(2)))
-                text = np.repeat(np.arange(b - a), n)
                 distinct, where = np.unique(t, return_inverse=True)
-                bucket = (distinct >> shift).astype(np.int64)
-                key = distinct & low48 | bucket.astype(U) << U(48)
-                at = np.minimum(np.searchsorted(m.hot, key), max(0, len(m.hot) - 1))
-                found = m.hot[at] == key if len(m.hot) else np.zeros(len(key), bool)
-                known = np.where(found, m.hot_counts[at] if len(m.hot) else 0, 0)
-                sums = np.bincount(text, np.log10(known + 1.0)[where], b - a)
-                hits = np.bincount(text, found[where], b - a)
-                logs = np.bincount(text, m.log10(t), b - a)
-                rare = ~found[where]
-                # The rest: (token, text, times), sorted by bucket.
-                pair, times = counted(where[rare].astype(U) << U(32) | text[rare].astype(U))
-                token, who = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype("<u4")
-                edges = np.searchsorted(bucket[token], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(edges)).tolist()
-                packed, times = _six(distinct[token]), times.astype("<u4")
+                token, pair = distinct[~frequent(distinct)[0]], np.unique(bigrams(t))
+                one, two = (np.searchsorted(x >> shift, np.arange(buckets + 1, dtype=U)) for x in (token, pair))
+                some = pa.array((np.diff(one) > 0) | (np.diff(two) > 0))
                 at_slice = part << 32 | nth
                 nth += 1
-                one = {
-                    "slice": [at_slice] * (1 + len(some)), "bucket": [-1, *some], "doc_ids": [rows.column(0).to_pylist()] + [None] * len(some), "held": [rows.column(1).to_pylist()] + [None] * len(some),
-                    "a": [n.astype("<i8").tobytes(), *(packed[6 * edges[i] : 6 * edges[i + 1]] for i in some)],
-                    "b": [np.stack([sums, hits]).astype("<f8").tobytes(), *(who[edges[i] : edges[i + 1]].tobytes() for i in some)],
-                    "c": [logs.astype("<f8").tobytes(), *(times[edges[i] : edges[i + 1]].tobytes() for i in some)],
-                }
-                yield from pa.table(one, schema=arrow).to_batches()
+                whole = [[at_slice], [-1], [rows.column(0).to_pylist()], [rows.column(1).to_pylist()], [n.astype("<i8").tobytes()], [distinct.astype("<u8").tobytes()], [where.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes()]]
+                kinds = [pa.int64(), pa.int32(), ids, flags, pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds, strict=True)], names_of)
+                sent_out = [pa.array(np.full(buckets, at_slice)), pa.array(np.arange(buckets, dtype=np.int32)), pa.nulls(buckets, ids), pa.nulls(buckets, flags), cut(_six(token), 6, one), cut(_six(pair), 6, two), pa.nulls(buckets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(sent_out, names_of).filter(some)
 
     scanned = written(source.mapInArrow(scan, scanned_schema), "tokens")
+    found_schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums over a bucket's rare tokens for each text that has any."""
+        """What a bucket knows of the n-grams of each slice: exact counts and levels of tokens, levels of bigrams."""
+        segment = dict(zip(right["kind"].to_pylist(), right["segment"].to_pylist(), strict=True))
         keys = np.concatenate([np.zeros(0, U), *(_from_six(x) for x in right["keys"].to_pylist())])
         counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in right["counts"].to_pylist())])
-        out: dict[str, list] = {"slice": [], "bucket": [], "a": [], "b": [], "c": []}
-        for at_slice, a, b, c in zip(*(left[x].to_pylist() for x in ("slice", "a", "b", "c")), strict=True):
-            token, who, times = _from_six(a), np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4")
+
+        def asked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """All n-grams of the rows, and where each row's begin."""
+            parts = values.to_pylist()
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]) // 6
+            return _from_six(b"".join(parts)), edges
+
+        def levels(low: np.ndarray, kind: int) -> np.ndarray:
+            return read(segment[kind], low, kind) if kind in segment else np.zeros(len(low), np.uint8)
+
+        out = []
+        for rows in left.select(["slice", "bucket", "a", "b"]).to_batches(max_chunksize=4000):
+            (token, one), (pair, two) = asked(rows.column(2)), asked(rows.column(3))
             at = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
             n = np.where(keys[at] == token, counts[at], 0) if len(keys) else np.zeros(len(token), np.int64)
-            texts, place = np.unique(who, return_inverse=True)
-            out["slice"].append(at_slice)
-            out["bucket"].append(0)
-            out["a"].append(texts.astype("<u4").tobytes())
-            out["b"].append(np.bincount(place, np.log10(n + 1.0) * times, len(texts)).astype("<f8").tobytes())
-            out["c"].append(np.bincount(place, (n > 0) * times, len(texts)).astype("<f8").tobytes())
-        return pa.table(out, schema=pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
-
-    rare = scanned.where("bucket >= 0").select("slice", "bucket", "a", "b", "c")
-    sums = rare.groupBy("bucket").cogroup(exact.groupBy("bucket")).applyInArrow(look_up, "slice long, bucket int, a binary, b binary, c binary")
+            out.append(pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), cut(n.astype("<i8").tobytes(), 8, one), cut(levels(token, UNIGRAM).tobytes(), 1, one), cut(levels(pair, BIGRAM).tobytes(), 1, two)], schema=found_schema))
+        return pa.Table.from_batches(out, found_schema)
+
+    asks = scanned.where("bucket >= 0").select("slice", "bucket", "a", "b")
+    found = asks.groupBy("bucket").cogroup(ngrams.groupBy("bucket")).applyInArrow(look_up, "slice long, bucket int, a binary, b binary, c binary")
     empty = [F.lit(None).cast(scanned_schema[c].dataType).alias(c) for c in ("doc_ids", "held")]
-    both = scanned.where("bucket < 0").unionByName(sums.select("slice", "bucket", *empty, "a", "b", "c"))
+    both = scanned.where("bucket < 0").unionByName(found.select("slice", "bucket", *empty, "a", "b", "c"))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [kind, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
 
     def finish(group: pa.Table) -> pa.Table:
-        """One slice's texts with all their sums."""
-        m = sent.value
-        bucket = np.asarray(group["bucket"])
-        i = int(np.flatnonzero(bucket < 0)[0])
-        n = np.frombuffer(group["a"][i].as_py(), "<i8")
-        base, known = np.frombuffer(group["b"][i].as_py(), "<f8").reshape(2, -1).copy()
-        for j in np.flatnonzero(bucket >= 0).tolist():
-            who = np.frombuffer(group["a"][j].as_py(), "<u4")
-            base[who] += np.frombuffer(group["b"][j].as_py(), "<f8")
-            known[who] += np.frombuffer(group["c"][j].as_py(), "<f8")
-        cols = [group["doc_ids"][i].values, group["held"][i].values, pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(n), m.total)), pa.array(base - n * np.log10(m.total + m.distinct + 1)), pa.array(np.frombuffer(group["c"][i].as_py(), "<f8"))]
+        """The scores of one slice's texts."""
+        group = group.sort_by("bucket")  # first the slice's own row, then n-grams in the order of their hashes
+        n, distinct = np.frombuffer(group["a"][0].as_py(), "<i8"), np.frombuffer(group["b"][0].as_py(), "<u8")
+        packed = group["c"][0].as_py()
+        where = np.frombuffer(packed, "<u2" if len(distinct) <= 1 << 16 else "<u4").astype(np.int64)
+        count, one, two = (np.frombuffer(b"".join(group[c].to_pylist()[1:]), k) for c, k in (("a", "<i8"), ("b", np.uint8), ("c", np.uint8)))
+        hot, at = frequent(distinct)
+        counts, levels = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.uint8)
+        counts[hot], levels[hot] = sent.value[1][at[hot]], sent.value[2][at[hot]]
+        counts[~hot], levels[~hot] = count, one
+        _, pair = np.unique(bigrams(distinct[where]), return_inverse=True)
+        text = np.repeat(np.arange(len(n)), n)
+        sums = lambda x: np.bincount(text, x, len(n))
+        base, known = sums(np.log10(counts + 1.0)[where]), sums((counts > 0)[where])
+        logs = sums(log10(stands_for(levels)[where], stands_for(two)[pair], total, all_distinct))
+        cols = [group["doc_ids"].combine_chunks()[0].values, group["held"].combine_chunks()[0].values, pa.array(n), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base - n * np.log10(total + all_distinct + 1)), pa.array(logs)]
         return pa.table(cols, names=names)
 
     return both.groupBy("slice").applyInArrow(finish, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
