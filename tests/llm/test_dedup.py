@@ -80,6 +80,21 @@ def test_odd_documents_have_classes(odd_documents, no_documents):
     assert probminhash.classes(no_documents).count() == 0 and probminhash.keep_one(no_documents).count() == 0
 
 
+def test_large_buckets_are_compared_exactly(spark):
+    """Pairs of near-duplicates that share a single large bucket, with a passage that all texts have."""
+    r = random.Random(6)
+    docs = {}
+    common = [f"c{i}" for i in range(40)]
+    for i in range(0, 60, 2):
+        own = [f"w{i}x{j}" for j in range(60)]
+        docs[i], docs[i + 1] = " ".join(common + own), " ".join(common + own[: r.randint(52, 58)])
+    df = spark.createDataFrame(list(docs.items()), "rep long, text string")
+    sets = probminhash._sets(df.withColumnRenamed("rep", "doc_id")).cache()
+    members = df.select(F.lit(1).alias("key"), "rep", F.size(F.split("text", " ")).cast("long").alias("n"), F.col("rep").alias("comp")).select("key", "rep", (F.col("n") - 4).alias("size"), "comp")
+    got = {tuple(sorted(x)) for x in probminhash._rest(members, sets, 0.8, limit=10).collect()}
+    assert got == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 def test_signatures_estimate_weighted_similarity():
     """Agreement of registers against the probability Jaccard similarity, computed from its definition."""
     r = np.random.default_rng(3)

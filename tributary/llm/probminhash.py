@@ -10,8 +10,9 @@
 4. Verification by the exact Jaccard similarity of shingle sets.  Rounds: every text of a bucket is held against the bucket's
    pivot (a random member, another one each round) unless both are connected already.  Buckets that still hold several components
    after these rounds are finished exactly: the texts outside the bucket's largest component are held against all of its texts
-   in blocks of about ``BLOCK`` x ``BLOCK``, and a block gives links of a forest, not pairs.  Thus connectivity is that of all
-   pairs in all buckets, while large groups of copies cost a few rounds.
+   in blocks of about ``BLOCK`` x ``BLOCK``, and a block gives links of a forest, not pairs.  Texts of buckets of more than
+   ``LIMIT`` are first dealt by their rarest shingles, a prefix filter that loses no pair of the similarity.  Thus connectivity is
+   that of all pairs in all buckets, while large groups of copies cost a few rounds.
 5. Connected components by distributed label propagation.  No link, component or digest is collected.
 
 Edge cases: rows with null doc_id are not classified; a null text is in a class of its own; empty texts and texts of white
@@ -192,16 +193,39 @@ def _merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def _rest(members: DataFrame, sets: DataFrame, similarity: float, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between components in buckets (key, rep, size, comp) that hold several.
 
-    Buckets of more than ``limit`` texts, which a passage common to very many texts makes, are refined first: a text goes to one
-    bucket for each two of its large ones, so that texts meet there only if they agree in two bands."""
+    The texts of buckets of more than ``limit`` texts, which a passage common to very many texts makes, meet by prefixes instead
+    of all with all: see _prefixes."""
     sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n"), "sizes")
     small = members.join(sizes.where(F.col("n") <= limit).select("key"), "key")
     large = members.join(sizes.where(F.col("n") > limit).select("key"), "key")
-    own = large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp"), F.sort_array(F.collect_set("key")).alias("keys"))
-    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.lit(BANDS)), lambda other: F.xxhash64(k, other))))
-    refined = own.select(F.explode(twos).alias("key"), "rep", "size", "comp")
+    own = written(large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp")), "large")
     columns = ["key", "rep", "size", "comp"]
-    return _blocks(written(small.select(*columns).unionByName(refined), "unresolved"), sets, similarity)
+    met = own.join(_prefixes(own.select("rep", "size"), sets, similarity), "rep")
+    return _blocks(written(small.select(*columns).unionByName(met.select(*columns)), "unresolved"), sets, similarity)
+
+
+def _prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """key, rep: each of the texts (rep, size) under the rarest of its shingles, so many that two texts of the similarity share one.
+
+    In one order of all shingles (by how many of the texts have them, then by id) the first n - ceil(similarity n) + 1 of n shingles
+    of two such texts have one in common, since otherwise fewer than ceil(similarity n) of one are in the other.  Shingles of a
+    single text come first and meet nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = [_unpack(x) for x in part.column(1).to_pylist()]
+                which = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(np.concatenate(found).astype(np.int64))], ["rep", "key"])
+
+    each = sets.join(texts, "rep", "left_semi").select("rep", "set").mapInArrow(run, T.StructType([T.StructField("rep", sets.schema["rep"].dataType), T.StructField("key", T.LongType())]))
+    common = written(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    ranked = each.join(common, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
+    length = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1 - (F.col("size") - F.size("all"))
+    first = ranked.join(texts, "rep").withColumn("length", length.cast("int")).where("length > 0")
+    return first.select("rep", F.explode(F.slice("all", F.lit(1), F.col("length"))).alias("x")).select("x.key", "rep")
 
 
 def _blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
