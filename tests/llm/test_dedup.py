@@ -112,6 +112,20 @@ def test_band_recall():
     assert 1 - (1 - 0.8**probminhash.ROWS) ** probminhash.BANDS > 0.9999
 
 
+def test_band_recall_with_repeated_lines(spark):
+    """Similar texts of which one has a line fifty times: bands follow the similarity of sets, which verification counts."""
+    r = random.Random(12)
+    some = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for i in range(0, 600, 2):
+        line, base = some(20), some(90)
+        docs[i], docs[i + 1] = " ".join(base + line * 50), " ".join(some(5) + base[5:] + line)
+        a, b = shingle_set(docs[i]), shingle_set(docs[i + 1])
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9
+    keys = {x.doc_id: set(x.bands) for x in probminhash._scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert sum(not keys[i] & keys[i + 1] for i in range(0, 600, 2)) <= 2
+
+
 def test_repeated_passages_are_found_and_others_left(spark):
     r = random.Random(9)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(4000)]

@@ -1,10 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification (operator 7).
 
-1. One scan gives each document a 128-bit digest of its text and a ProbMinHash signature of its weighted word shingles (five
-   words; weight 1 + ln(occurrences)): elements arrive as Poisson processes of the rate of their weights, each arrival falls in
+1. One scan gives each document a 128-bit digest of its text and a ProbMinHash signature of its distinct word shingles (five
+   words; each of weight 1, as verification counts them, whatever its occurrences): elements arrive as Poisson processes of the rate of their weights, each arrival falls in
    a random register, a register keeps its first arrival's element, and an element stops once its next arrival is later than
-   the last register's first one.  Registers of two texts agree with the probability Jaccard similarity, which is at least the
-   plain one if weights are equal.
+   the last register's first one.  Registers of two texts agree with the probability Jaccard similarity, which is the plain
+   one of the sets for weights of 1.
 2. Equal texts are collapsed by digest; the rest goes on over distinct texts.
 3. ``BANDS`` bands of ``ROWS`` registers: texts of similarity 0.8 share a bucket with probability 0.9999.
 4. Verification by the exact Jaccard similarity of shingle sets.  Rounds: every text of a bucket is held against the bucket's
@@ -103,8 +103,8 @@ def _scan(source: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 texts = utf8(part.column(1))
                 n = len(texts)
-                text, element, count = shingles(texts)
-                keys = band_keys(signatures(n, text, element, 1 + np.log(count)))
+                text, element, _ = shingles(texts)
+                keys = band_keys(signatures(n, text, element, np.ones(len(element))))
                 size = np.bincount(text, minlength=n)
                 some = size > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
