@@ -375,3 +375,11 @@ def test_taxonomy_paths(spark):
     df = spark.createDataFrame([(1, "A", None), (2, None, "a1"), (3, None, "a2"), (4, "B", None), (5, None, "b1")], "o int, l0 string, l1 string")
     got = textclass.taxonomy_paths(df, "o", ["l0", "l1"]).orderBy("o").collect()
     assert [(r.path_0, r.path_1) for r in got] == [("A", None), ("A", "a1"), ("A", "a2"), ("B", None), ("B", "b1")]
+
+
+def test_every_part_name_is_a_candidate(spark, sf_dir):
+    """A name with a suffix matches itself best (or the same words in another order), for all names."""
+    from tributary.plans.catalogue import QUERIES
+
+    got = QUERIES["token_sort_best_match"](spark, sf_dir).collect()
+    assert got and all(sorted(r.legal_name.removesuffix(" inc").split()) == sorted(r.best_name.split()) for r in got)

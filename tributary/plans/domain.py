@@ -316,7 +316,7 @@ def token_sort_best_match(t: Tables) -> DataFrame:
     """Discovery's scorer on part names; its ratio isn't a SQL function (tested against the quadratic table)."""
     n = t.part.select("p_name").distinct()
     r = n.select(F.xxhash64("p_name").alias("source_id"), F.concat("p_name", F.lit(" inc")).alias("legal_name"), F.array().cast("array<string>").alias("trade_names"), F.lit("x").alias("city"), F.lit(None).cast("string").alias("postal"))
-    c = n.where(F.xxhash64("p_name") % 2 == 0).select(F.xxhash64("p_name").alias("cand_id"), F.col("p_name").alias("cand_name"), F.lit("x").alias("cand_city"), F.lit(None).cast("string").alias("cand_postal"), F.xxhash64("p_name").alias("ord"))
+    c = n.select(F.xxhash64("p_name").alias("cand_id"), F.col("p_name").alias("cand_name"), F.lit("x").alias("cand_city"), F.lit(None).cast("string").alias("cand_postal"), F.xxhash64("p_name").alias("ord"))
     return discovery.best_match(discovery.block_level(r, c), c).select("legal_name", "best_name", F.round("best_score", 6).alias("best_score"), F.round("runner_up_score", 6).alias("runner_up_score"))
 
 
