@@ -34,9 +34,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; where it is unset (tests), a folder of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.  Only a local session may do without, and gets
+    a folder of its own; on a cluster such a folder would lose data."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -46,14 +49,29 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Spark removes the shuffle files of a write when it is over; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a narrow table for which a file of its own is worth while.
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors.
 
-    The tables stay for as long as results that read them may be used; ``forget`` removes them."""
+    rows: a bound on the rows of a narrow table, where one is known, so that a small one isn't scattered over as many files as there
+    are shuffle partitions.  The tables stay for as long as results that read them may be used; ``forget`` removes them."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:
