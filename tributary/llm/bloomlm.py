@@ -1,16 +1,20 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 9).
 
-Tokens are lower-cased words and an end token.  All training texts are counted: unigrams and bigrams by 64-bit hash, first
-within a slice of texts, then over the corpus in hash buckets that no frequent n-gram can unbalance.  An n-gram that occurs c times is put
-in the filter once for each level 1 .. 1 + floor(log2 c); its count is read back by probing level after level until one is
-missing, and P(w | v) interpolates the bigram estimate with the smoothed unigram one.
-
-The filter is a segment of bits for each kind and hash bucket, and each segment's size follows from the entries that were counted for it,
-so that its load stays below ``load`` (there an absent entry's probes pass with probability of about 0.05) and no n-gram is left out at any
-size of corpus.  ``filter_bits`` is only the least size of all segments together.
-
-Neither filter nor counts are gathered: each slice of texts sends its distinct n-grams to their buckets, where a co-grouped join reads their
-levels and the exact counts of tokens, and gets them back.  Only a bounded table of frequent tokens is broadcast, which spares their way.
+Tokens are lower-cased words and an end token.  Each slice of texts counts its unigrams and bigrams, by 64-bit hash, and sends the
+distinct ones to hash buckets: those of training texts with their counts, those of held-out texts as questions only.  A bucket adds
+the counts up and builds its segment of the filter, in which an n-gram that occurs c times lies once for each level
+1 .. 1 + floor(log2 c).  The segment is probed, level after level until one is missing, for every n-gram that any slice asked
+for, and the levels (and exact counts of tokens) go back to the slices, where P(w | v) interpolates the bigram estimate with
+the smoothed unigram one.
+
+Segments are sized by the entries counted for them, so that their load stays below ``load`` (there an absent entry's probes pass
+with probability of about 0.05): no n-gram is left out at any size of corpus.  ``filter_bits`` is only the least size of all segments
+together.  The filter grows with the corpus, so it isn't broadcast: its segments are probed where they are built, and questions
+travel to them once, in the same shuffle as the counts.  The driver gets one row of sums.
+
+Texts are scanned twice, for the questions and for the scores, in the same slices: what isn't read straight from a table is written
+first.  Buckets grow with the input's partitions up to 2**18.  An n-gram costs at most one entry a slice in its bucket, and
+slices grow with the buckets, so that a bucket gets some entries of each slice.
 
 Edge cases: a null text is an empty one (an end token only); null ids are not held out and are learned from; repeated rows
 are learned from and scored once each; texts may be of any length; without training texts N and V are 0 and every token is unknown; an empty
@@ -37,8 +41,8 @@ END = np.array([0x5851F42D4C957F2D], U)  # the end token's hash, also what stand
 LEVELS, PROBES = 40, 3
 LAMBDA = 0.6
 LOW48 = U((1 << 48) - 1)
-#: Tokens that are counted together before they are shuffled.
-COUNTED = 1_500_000
+#: Tokens in a slice where there are few buckets, and at most (but for a single longer text).
+SLICE, MOST = 800_000, 4_000_000
 UNIGRAM, BIGRAM = 0, 1
 
 
@@ -61,17 +65,15 @@ def bigrams(t: np.ndarray) -> np.ndarray:
     return mix(before * _PHI + mix(t ^ _PSI))
 
 
-def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[at], np.diff(np.concatenate([at, [len(x)]]))
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+def counted(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, the sum of each one's weights, and the place of every x among them."""
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(x) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    where = np.empty(len(x), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ordered[at], np.add.reduceat(weight[order], at) if len(at) else np.zeros(0, np.int64), where
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -115,19 +117,30 @@ def stands_for(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.floor(1.5 * 2.0 ** (level.astype(np.int64) - 1)), 0.0)
 
 
+def segment_of(keys: np.ndarray, counts: np.ndarray, kind: int, least: int, load: float) -> bytes:
+    """The bits that hold these n-grams at all levels of their counts."""
+    keys, level = keys[counts > 0], level_of(counts[counts > 0])
+    size = max(least, -(-int(np.ceil(int(level.sum()) * PROBES / load)) // 8) * 8)
+    bits = np.zeros(size, np.uint8)
+    for step in range(1, int(level.max(initial=0)) + 1):
+        for place in places(keys[level >= step], step, kind, size):
+            bits[place] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 class Model:
-    """Sums over the corpus and the frequent tokens with their counts and levels; the segments stay in a table."""
+    """Sums over the corpus; the segments stay in a table (bucket, one, two: of unigrams and of bigrams)."""
 
-    def __init__(self, ngrams: DataFrame, buckets: int, total: int, distinct: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.ngrams, self.shift = ngrams, U(64 - (buckets.bit_length() - 1))
-        self.total, self.distinct, self.hot = total, distinct, hot
+    def __init__(self, segments: DataFrame, buckets: int, total: int, distinct: int):
+        self.segments, self.shift = segments, U(64 - (buckets.bit_length() - 1))
+        self.total, self.distinct = total, distinct
 
     def counts(self, key: np.ndarray, kind: int) -> np.ndarray:
         """The counts of some n-grams as the filter holds them, looked up from the driver, a bucket at a time."""
         bucket, out = (key >> self.shift).astype(np.int64), np.zeros(len(key))
-        for r in self.ngrams.where(F.col("kind") == kind).select("bucket", "segment").toLocalIterator():
-            mine = np.flatnonzero(bucket == r["bucket"])
-            out[mine] = stands_for(read(r["segment"], key[mine] & LOW48, kind))
+        for r in self.segments.select("bucket", ("one", "two")[kind]).toLocalIterator():
+            mine = np.flatnonzero(bucket == r[0])
+            out[mine] = stands_for(read(r[1], key[mine] & LOW48, kind))
         return out
 
 
@@ -140,184 +153,151 @@ def log10(one: np.ndarray, two: np.ndarray, total: int, distinct: int) -> np.nda
 
 
 def _buckets(docs: DataFrame) -> int:
-    """How many hash buckets: a power of two, at least four for each input partition, between 2**7 and 2**16."""
-    return 1 << min(16, max(7, (4 * max(1, docs.rdd.getNumPartitions()) - 1).bit_length()))
-
+    """How many hash buckets: a power of two, at least four for each input partition, between 2**7 and 2**18."""
+    return 1 << min(18, max(7, (4 * max(1, docs.rdd.getNumPartitions()) - 1).bit_length()))
 
-def _count(texts: DataFrame, buckets: int) -> DataFrame:
-    """kind, bucket, keys, counts: n-grams of some slices of texts, packed by bucket."""
-    shift = U(64 - (buckets.bit_length() - 1))
 
-    def packed(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = counted(np.concatenate(parts))
-        edges = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=U))
-        some = np.flatnonzero(np.diff(edges))
-        low, n = _six(keys), n.astype("<u4")
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array([low[6 * edges[i] : 6 * edges[i + 1]] for i in some], pa.binary()), pa.array([n[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary())], ["kind", "bucket", "keys", "counts"]
-        )
+def _cut(values: bytes, width: int, edges: np.ndarray) -> pa.Array:
+    """Binary values of some bytes of each entry, as the entries lie between edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4").tobytes()), pa.py_buffer(values)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        held: tuple[list, list] = ([], [])
-        size = 0
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                t, _ = tokens(utf8(batch.column(0).slice(a, b - a)))
-                held[UNIGRAM].append(t)
-                held[BIGRAM].append(bigrams(t))
-                size += len(t)
-                if size >= COUNTED:
-                    yield from (packed(kind, held[kind]) for kind in (UNIGRAM, BIGRAM))
-                    held, size = ([], []), 0
-        if size:
-            yield from (packed(kind, held[kind]) for kind in (UNIGRAM, BIGRAM))
 
-    return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
+#: What a slice sends to a bucket: tokens and bigrams (lower 48 bits of their hashes) with their counts in training texts.
+ASKS = "slice long, bucket int, tokens binary, token_counts binary, pairs binary, pair_counts binary"
+#: What a bucket answers each slice, in the order of its questions; and for slice -1 its sums and segments.
+ANSWERS = "slice long, bucket int, counts binary, levels binary, pair_levels binary, total long, distinct long, one binary, two binary"
 
 
-def _merge(counts: DataFrame, least: int, load: float, hot: int) -> DataFrame:
-    """By kind and bucket: sums, the filter's segment (of ``least`` bits or as many as its entries need), and for unigrams their exact
-    counts and the most frequent of them."""
+def _answer(asks: DataFrame, least: int, load: float) -> DataFrame:
+    schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("counts", "levels", "pair_levels")), ("total", pa.int64()), ("distinct", pa.int64()), ("one", pa.binary()), ("two", pa.binary())])
 
     def run(group: pa.Table) -> pa.Table:
-        kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
-        keys = np.concatenate([_from_six(x) for x in group["keys"].to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"].to_pylist()]).astype(np.int64)
-        keys, n = summed(keys, n)
-        level = level_of(n)
-        size = max(least, -(-int(np.ceil(int(level.sum()) * PROBES / load)) // 8) * 8)
-        bits = np.zeros(size, np.uint8)
-        for step in range(1, int(level.max(initial=0)) + 1):
-            for place in places(keys[level >= step], step, kind, size):
-                bits[place] = 1
-        exact = kind == UNIGRAM
-        top = np.argpartition(-n, min(hot, len(n)) - 1)[:hot] if exact and len(n) else np.zeros(0, np.int64)
-        segment = np.packbits(bits, bitorder="little").tobytes()
-        rows = {
-            "kind": [kind], "bucket": [bucket], "total": [int(n.sum())], "distinct": [len(n)], "segment": [segment], "keys": [_six(keys) if exact else b""], "counts": [n.astype("<i8").tobytes() if exact else b""],
-            "hot_keys": [_six(keys[top])], "hot_counts": [n[top].astype("<i8").tobytes()], "hot_levels": [read(segment, keys[top], kind).tobytes()],
-        }
-        return pa.table(rows, schema=made)
-
-    made = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), *((c, pa.binary()) for c in ("segment", "keys", "counts", "hot_keys", "hot_counts", "hot_levels"))])
-    return counts.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, total long, distinct long, segment binary, keys binary, counts binary, hot_keys binary, hot_counts binary, hot_levels binary")
-
-
-def train(texts: DataFrame, *, buckets: int, filter_bits: int = 1 << 28, load: float = 0.45, hot: int = 1 << 17) -> tuple[Model, DataFrame]:
-    """The model, and the table of segments and exact unigram counts (kind, bucket, segment, keys, counts).
-
-    The driver gets one row for each bucket: sums and its share of ``hot`` frequent tokens."""
-    least = max(64, filter_bits // 2 // buckets // 8 * 8)
-    merged = written(_merge(_count(texts, buckets), least, load, max(1, hot // buckets)), "ngrams")
-    rows = merged.where(F.col("kind") == UNIGRAM).select("bucket", "total", "distinct", "hot_keys", "hot_counts", "hot_levels").collect()
-    keys = np.concatenate([np.zeros(0, U), *(_whole(_from_six(r["hot_keys"]), r["bucket"]) for r in rows)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["hot_counts"], "<i8") for r in rows)])
-    levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["hot_levels"], np.uint8) for r in rows)])
-    order = np.argsort(keys)
-    model = Model(merged, buckets, sum(r["total"] for r in rows), sum(r["distinct"] for r in rows), (keys[order], counts[order], levels[order]))
-    return model, merged.select("kind", "bucket", "segment", "keys", "counts")
+        n, bucket = group.num_rows, group["bucket"][0].as_py()
 
+        def merged(keys: str, counts: str, kind: int) -> tuple:
+            rows = group[keys].to_pylist()
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]) // 6
+            key, total, where = counted(_from_six(b"".join(rows)), np.frombuffer(b"".join(group[counts].to_pylist()), "<u4").astype(np.int64))
+            segment = segment_of(key, total, kind, least, load)
+            return total, where, edges, segment, read(segment, key, kind)[where]
 
-def _whole(low: np.ndarray, bucket: int | np.ndarray) -> np.ndarray:
-    """What identifies a token: its bucket and the lower 48 bits of its hash."""
-    return low | np.asarray(bucket).astype(U) << U(48)
+        exact, where, one, segment, levels = merged("tokens", "token_counts", UNIGRAM)
+        _, _, two, other, pair_levels = merged("pairs", "pair_counts", BIGRAM)
+        none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())
+        answers = pa.Table.from_arrays([group["slice"].combine_chunks(), pa.array(np.full(n, bucket, np.int32)), _cut(exact[where].astype("<i8").tobytes(), 8, one), _cut(levels.tobytes(), 1, one), _cut(pair_levels.tobytes(), 1, two), *none], schema=schema)
+        sums = pa.table({"slice": [-1], "bucket": [bucket], "counts": [None], "levels": [None], "pair_levels": [None], "total": [int(exact.sum())], "distinct": [int((exact > 0).sum())], "one": [segment], "two": [other]}, schema=schema)
+        return pa.concat_tables([answers, sums])
 
+    return asks.groupBy("bucket").applyInArrow(run, ANSWERS)
 
-def _held(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+#: What a slice keeps to itself: ids, lengths, distinct tokens, and which token stands where.
+WHOLE = ("slice", "doc_ids", "held", "lengths", "distinct", "codes")
 
-def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    spark = docs.sparkSession
-    ship(spark)
-    source = _held(docs, id_col, text_col, held_out)
-    buckets = _buckets(source)
-    model, ngrams = train(source.where(~F.col("held_out")).select("text"), buckets=buckets, **options)
-    total, all_distinct = model.total, model.distinct
-    sent = spark.sparkContext.broadcast(model.hot)
+
+def _codes(x: np.ndarray, width: int) -> bytes:
+    """The lower bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u4")[:, None].view(np.uint8)[:, :width]).tobytes()
+
+
+def _from_codes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def _width(distinct: int) -> int:
+    return 2 if distinct <= 1 << 16 else 3 if distinct <= 1 << 24 else 4
+
+
+def _scan(source: DataFrame, buckets: int, questions: bool) -> DataFrame:
+    """The slices of (doc_id, held_out, text): their questions to each bucket, or what each keeps to itself."""
+    shift, limit = U(64 - (buckets.bit_length() - 1)), min(MOST, SLICE * max(1, buckets >> 14))
     kind = source.schema["doc_id"].dataType
-    shift = U(64 - (buckets.bit_length() - 1))
-    names_of = ["slice", "bucket", "doc_ids", "held", "a", "b", "c"]
-    scanned_schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType())])
-
-    def frequent(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which tokens are in the broadcast table, and where."""
-        hot, key = sent.value[0], _whole(distinct & LOW48, distinct >> shift)
-        at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
-        return (hot[at] == key if len(hot) else np.zeros(len(key), bool)), at
-
-    def cut(values: np.ndarray, width: int, edges: np.ndarray) -> pa.Array:
-        """Binary values of some bytes of each entry, as the entries lie between edges."""
-        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4").tobytes()), pa.py_buffer(values)])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each slice one row of its texts (lengths, distinct tokens, which token stands where) and rows of n-grams, by bucket."""
+    own = T.StructType([T.StructField("slice", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())), *(T.StructField(c, T.BinaryType()) for c in WHOLE[3:])])
+    schema = T._parse_datatype_string(ASKS) if questions else own
+    bounds = np.arange(buckets + 1, dtype=U)
+
+    def asked(at: int, t: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
+        distinct, token_counts, _ = counted(t, learned)
+        pair, pair_counts, _ = counted(bigrams(t), learned)
+        one, two = (np.searchsorted(x >> shift, bounds) for x in (distinct, pair))
+        some = pa.array((np.diff(one) > 0) | (np.diff(two) > 0))
+        sent = [pa.array(np.full(buckets, at)), pa.array(np.arange(buckets, dtype=np.int32)), _cut(_six(distinct), 6, one), _cut(_codes(token_counts, 4), 4, one), _cut(_six(pair), 6, two), _cut(_codes(pair_counts, 4), 4, two)]
+        return pa.RecordBatch.from_arrays(sent, schema.names).filter(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         part, nth = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal nth
+            t, n = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            flags = [f for x in held for f in x[1]]
+            at = part << 32 | nth
+            nth += 1
+            if questions:
+                return asked(at, t, np.repeat(~np.array(flags, bool), n).astype(np.int64))
+            distinct, where = np.unique(t, return_inverse=True)
+            values = [[at], [[i for x in held for i in x[0]]], [flags], [n.astype("<i8").tobytes()], [distinct.astype("<u8").tobytes()], [_codes(where, _width(len(distinct)))]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int64(), pa.list_(ids), pa.list_(pa.bool_()), *[pa.binary()] * 3), strict=True)], schema.names)
+
         for batch in batches:
-            ids, flags = pa.list_(batch.column(0).type), pa.list_(pa.bool_())
+            ids = batch.column(0).type
             for a, b in slices(batch.column(2)):
                 rows = batch.slice(a, b - a)
-                t, n = tokens(utf8(rows.column(2)))
-                distinct, where = np.unique(t, return_inverse=True)
-                token, pair = distinct[~frequent(distinct)[0]], np.unique(bigrams(t))
-                one, two = (np.searchsorted(x >> shift, np.arange(buckets + 1, dtype=U)) for x in (token, pair))
-                some = pa.array((np.diff(one) > 0) | (np.diff(two) > 0))
-                at_slice = part << 32 | nth
-                nth += 1
-                whole = [[at_slice], [-1], [rows.column(0).to_pylist()], [rows.column(1).to_pylist()], [n.astype("<i8").tobytes()], [distinct.astype("<u8").tobytes()], [where.astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes()]]
-                kinds = [pa.int64(), pa.int32(), ids, flags, pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds, strict=True)], names_of)
-                sent_out = [pa.array(np.full(buckets, at_slice)), pa.array(np.arange(buckets, dtype=np.int32)), pa.nulls(buckets, ids), pa.nulls(buckets, flags), cut(_six(token), 6, one), cut(_six(pair), 6, two), pa.nulls(buckets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(sent_out, names_of).filter(some)
-
-    scanned = written(source.mapInArrow(scan, scanned_schema), "tokens")
-    found_schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What a bucket knows of the n-grams of each slice: exact counts and levels of tokens, levels of bigrams."""
-        segment = dict(zip(right["kind"].to_pylist(), right["segment"].to_pylist(), strict=True))
-        keys = np.concatenate([np.zeros(0, U), *(_from_six(x) for x in right["keys"].to_pylist())])
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in right["counts"].to_pylist())])
-
-        def asked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            """All n-grams of the rows, and where each row's begin."""
-            parts = values.to_pylist()
-            edges = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]) // 6
-            return _from_six(b"".join(parts)), edges
-
-        def levels(low: np.ndarray, kind: int) -> np.ndarray:
-            return read(segment[kind], low, kind) if kind in segment else np.zeros(len(low), np.uint8)
-
-        out = []
-        for rows in left.select(["slice", "bucket", "a", "b"]).to_batches(max_chunksize=4000):
-            (token, one), (pair, two) = asked(rows.column(2)), asked(rows.column(3))
-            at = np.minimum(np.searchsorted(keys, token), max(0, len(keys) - 1))
-            n = np.where(keys[at] == token, counts[at], 0) if len(keys) else np.zeros(len(token), np.int64)
-            out.append(pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), cut(n.astype("<i8").tobytes(), 8, one), cut(levels(token, UNIGRAM).tobytes(), 1, one), cut(levels(pair, BIGRAM).tobytes(), 1, two)], schema=found_schema))
-        return pa.Table.from_batches(out, found_schema)
-
-    asks = scanned.where("bucket >= 0").select("slice", "bucket", "a", "b")
-    found = asks.groupBy("bucket").cogroup(ngrams.groupBy("bucket")).applyInArrow(look_up, "slice long, bucket int, a binary, b binary, c binary")
-    empty = [F.lit(None).cast(scanned_schema[c].dataType).alias(c) for c in ("doc_ids", "held")]
-    both = scanned.where("bucket < 0").unionByName(found.select("slice", "bucket", *empty, "a", "b", "c"))
+                held.append((rows.column(0).to_pylist(), rows.column(1).to_pylist(), *tokens(utf8(rows.column(2)))))
+                if sum(len(x[2]) for x in held) >= limit:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+        release()
+
+    return source.mapInArrow(run, schema)
+
+
+def _rescannable(df: DataFrame) -> DataFrame:
+    """``df`` if it reads a table in place, else a written copy, so that two scans see the same partitions."""
+    return written(df, "texts") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def _learn(asks: DataFrame, buckets: int, filter_bits: int, load: float) -> tuple[Model, DataFrame]:
+    """The model, and what the buckets answer the slices."""
+    least = max(64, filter_bits // 2 // buckets // 8 * 8)
+    found = written(_answer(asks, least, load), "ngrams")
+    segments = found.where("slice < 0")
+    sums = segments.agg(F.sum("total"), F.sum("distinct")).first()
+    return Model(segments.select("bucket", "one", "two"), buckets, sums[0] or 0, sums[1] or 0), found.where("slice >= 0").select("slice", "bucket", "counts", "levels", "pair_levels")
+
+
+def train(texts: DataFrame, *, buckets: int, filter_bits: int = 1 << 28, load: float = 0.45) -> Model:
+    """A model of a column ``text``."""
+    ship(texts.sparkSession)
+    source = texts.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _learn(_scan(source, buckets, True), buckets, filter_bits, load)[0]
+
+
+def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 28, load: float = 0.45) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+    ship(docs.sparkSession)
+    source = _rescannable(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    buckets = _buckets(source)
+    model, found = _learn(_scan(source, buckets, True), buckets, filter_bits, load)
+    total, all_distinct = model.total, model.distinct
+    whole = _scan(source, buckets, False).select("slice", F.lit(-1).alias("bucket"), *WHOLE[1:], *[F.lit(None).cast("binary").alias(c) for c in ("counts", "levels", "pair_levels")])
+    both = whole.unionByName(found, allowMissingColumns=True)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = [kind, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    kinds = [source.schema["doc_id"].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
 
     def finish(group: pa.Table) -> pa.Table:
         """The scores of one slice's texts."""
-        group = group.sort_by("bucket")  # first the slice's own row, then n-grams in the order of their hashes
-        n, distinct = np.frombuffer(group["a"][0].as_py(), "<i8"), np.frombuffer(group["b"][0].as_py(), "<u8")
-        packed = group["c"][0].as_py()
-        where = np.frombuffer(packed, "<u2" if len(distinct) <= 1 << 16 else "<u4").astype(np.int64)
-        count, one, two = (np.frombuffer(b"".join(group[c].to_pylist()[1:]), k) for c, k in (("a", "<i8"), ("b", np.uint8), ("c", np.uint8)))
-        hot, at = frequent(distinct)
-        counts, levels = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.uint8)
-        counts[hot], levels[hot] = sent.value[1][at[hot]], sent.value[2][at[hot]]
-        counts[~hot], levels[~hot] = count, one
-        _, pair = np.unique(bigrams(distinct[where]), return_inverse=True)
+        group = group.sort_by("bucket")  # first the slice's own row, then answers in the order of the hashes
+        n, distinct = np.frombuffer(group["lengths"][0].as_py(), "<i8"), np.frombuffer(group["distinct"][0].as_py(), "<u8")
+        where = _from_codes(group["codes"][0].as_py(), _width(len(distinct)))
+        counts, levels, two = (np.frombuffer(b"".join(group[c].to_pylist()[1:]), k) for c, k in (("counts", "<i8"), ("levels", np.uint8), ("pair_levels", np.uint8)))
+        _, _, pair = counted(bigrams(distinct[where]), np.zeros(len(where), np.int64))
         text = np.repeat(np.arange(len(n)), n)
         sums = lambda x: np.bincount(text, x, len(n))
         base, known = sums(np.log10(counts + 1.0)[where]), sums((counts > 0)[where])
