@@ -7,12 +7,14 @@ place) stays.  Runs of neighbouring repeated chunks count as a repeated passage
 values each passage of 50 words that is repeated exactly is found: of its words the first five or six (32 bytes) and then up to eleven
 at each end may belong to chunks that reach beyond it, and at least 20 are left.
 
-Digests are grouped with partial aggregation (a digest that everyone has costs one row a task), and meet the chunks again in a
-join whose two sides are plain shuffles, which adaptive execution splits if a digest is hot.  Nothing is collected.
-
-Edge cases: rows with null doc_id or null or blank text have no chunks and stay as they are; rows that share a doc_id count as
-one document; text without white space is cut at hashed places about 16 bytes apart instead of words; an empty table gives no
-rows; further columns are carried along unchanged, whatever their names.
+Digests are counted by hash aggregation over plain numbers (a digest that everyone has costs one row a task), and meet the chunks
+again in a join whose two sides are plain shuffles, which adaptive execution splits if a digest is hot.  What comes first within
+a text is seen while it is cut, so only the lowest doc_id of a digest is looked for.  Nothing is collected.
+
+Edge cases: rows with null doc_id or null or blank text have no chunks and stay as they are; rows that share a doc_id are one
+document: what comes first in it stays in each of its rows, and no row is cut by another row's places; text without white space is
+cut at hashed places about 16 bytes apart instead of words; an empty table gives no rows; further columns are carried along
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +31,9 @@ from pyspark.sql import types as T
 from .common import BYTE_KEYS, SPACE, id_and_text, release, slices, spans_hash, utf8, written, Words
 
 WINDOW, MIN_WORDS, REACH = 12, 20, 32
-#: Shorter chunks of a passage must come from where a neighbour comes from, or lie between longer ones.
+#: Bytes of text that are cut at once: a worker's memory is about a hundred times that.
+SLICE = 400_000
+#: Shorter chunks of a passage must come from the document that a neighbour comes from, or lie between longer ones.
 STRAY_WORDS = 8
 #: Words of more bytes than this are cut inside, too.
 LONG_WORD = 64
@@ -89,58 +94,69 @@ def chunk_texts(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, .
     return who, seq, starts - base, stops - base, last - at + 1, spans_hash(buf, starts, stops).view(np.int64)
 
 
+def _again(who: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Which chunks repeat an earlier one of their own text."""
+    order = np.lexsort((np.arange(len(who)), digest, who))
+    same = (who[order][1:] == who[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    out = np.zeros(len(who), bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, seq, start, end (bytes), words, digest of every chunk."""
+    """doc_id, text (a hash that tells texts of one doc_id apart), seq, start, end (bytes), words, digest of every chunk, and again:
+    whether its text has the digest before."""
     source = id_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("seq", "start", "end", "words")), T.StructField("digest", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("text", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("seq", "start", "end", "words")), T.StructField("digest", T.LongType()), T.StructField("again", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 part = batch.slice(a, b - a)
-                who, seq, start, end, words, digest = chunk_texts(utf8(part.column(1)))
+                texts = utf8(part.column(1))
+                who, seq, start, end, words, digest = chunk_texts(texts)
                 small = (pa.array(x.astype(np.int32)) for x in (seq, start, end, words))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), *small, pa.array(digest)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(text_keys(texts)[who]), *small, pa.array(digest), pa.array(_again(who, digest))], schema.names)
+        release()
 
     return source.mapInArrow(run, schema)
 
 
+def text_keys(texts: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t) >> 1 for t in texts), np.int64, len(texts))
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chunks within repeated passages of at least ``min_words`` words: doc_id, seq, start, end, words, copies, run, first.
+    """Chunks within repeated passages of at least ``min_words`` words: doc_id, text, seq, start, end, words, copies, run, first.
 
-    run numbers the passages of a document; first: this is the digest's first occurrence, which stays."""
+    run numbers the passages of a text; first: this is the digest's first occurrence, which stays."""
     every = written(chunks(docs, id_col, text_col), "chunks")
-    place = F.struct("doc_id", "start")
-    seen = every.groupBy("digest").agg(F.min(place).alias("keeper"), F.max(place).alias("other"), F.count("*").alias("copies"))
-    repeated = written(seen.where(F.col("keeper") != F.col("other")).select("digest", "keeper", "copies"), "digests")
+    seen = every.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
+    repeated = written(seen.where("copies > 1"), "digests")
     hits = every.join(repeated, "digest").drop("digest")
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    hits = hits.withColumn("before", F.lag("seq").over(order)).where("before is null or before <> seq")
+    order = Window.partitionBy("doc_id", "text").orderBy("seq")
+    hits = hits.withColumn("before", F.lag("seq").over(order)).where("before is null or before <> seq")  # equal rows
     near = lambda f, step, c: F.when(f("seq").over(order) == F.col("seq") + step, f(c).over(order))
-    beside = {f"{side}_{c}": near(f, step, c) for side, f, step in (("last", F.lag, -1), ("next", F.lead, 1)) for c in ("keeper", "start", "words")}
+    beside = {f"{side}_{c}": near(f, step, c) for side, f, step in (("last", F.lag, -1), ("next", F.lead, 1)) for c in ("keeper", "words")}
     hits = hits.withColumns({"run": F.col("seq") - F.row_number().over(order), **beside})
-    total = F.sum("words").over(Window.partitionBy("doc_id", "run"))
+    total = F.sum("words").over(Window.partitionBy("doc_id", "text", "run"))
     long = hits.withColumn("run_words", total).where(F.col("run_words") >= min_words)
-    # A short chunk that comes from elsewhere than either neighbour (another document, or another distance) is a common phrase
-    # beside the passage, unless long ones enclose it or it is the same over and over.
-    alike = F.lit(False)
-    for side in ("last", "next"):
-        other, there = F.col(f"{side}_keeper"), F.col(f"{side}_start")
-        distance = (F.col("keeper.start") - F.col("start")).eqNullSafe(other["start"] - there)
-        alike = alike | (there.isNotNull() & F.col("keeper.doc_id").eqNullSafe(other["doc_id"]) & (distance | (F.col("keeper.start") == other["start"])))
+    # A short chunk whose first document is neither neighbour's is a common phrase beside the passage, unless long ones enclose it.
+    alike = F.coalesce(F.col("keeper") == F.col("last_keeper"), F.lit(False)) | F.coalesce(F.col("keeper") == F.col("next_keeper"), F.lit(False))
     enclosed = F.coalesce(F.least("last_words", "next_words") >= STRAY_WORDS, F.lit(False)) & F.col("last_words").isNotNull() & F.col("next_words").isNotNull()
     stray = (F.col("words") < STRAY_WORDS) & ~alike & ~enclosed
-    return long.where(~stray).select("doc_id", "seq", "start", "end", "words", "copies", "run", (place == F.col("keeper")).alias("first"))
+    first = (F.col("doc_id") == F.col("keeper")) & ~F.col("again")
+    return long.where(~stray).select("doc_id", "text", "seq", "start", "end", "words", "copies", "run", first.alias("first"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each repeated passage of a document: doc_id, start, end (bytes), words, copies (of its most repeated chunk),
+    """One row for each repeated passage of a text: doc_id, start, end (bytes), words, copies (of its most repeated chunk),
     removed_words (those that dedup removes: all that also occur earlier)."""
     hits = repeated_chunks(docs, id_col, text_col, min_words=min_words)
-    return hits.groupBy("doc_id", "run").agg(
+    return hits.groupBy("doc_id", "text", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.max("copies").alias("copies"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("words"))).alias("removed_words")
-    ).drop("run")
+    ).drop("text", "run")
 
 
 def without(text: str, spans: list[int]) -> str:
@@ -158,25 +174,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     """The documents, with all columns, without the chunks of repeated passages that occur earlier; documents of which nothing
     but white space is left go."""
     spans = repeated_chunks(docs, id_col, text_col, min_words=min_words).where(~F.col("first"))
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
-    cuts = cuts.select(F.col("doc_id").alias("__cut_id"), F.flatten(F.transform("s", lambda x: F.array(x["start"], x["end"]))).alias("__cut"))
-    joined = docs.join(cuts, docs[id_col] == cuts["__cut_id"], "left")
-    schema = docs.schema
-    names = [f"__{i}" for i in range(len(docs.columns))]
+    cuts = spans.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    one = F.struct("text", F.flatten(F.transform("s", lambda x: F.array(x["start"], x["end"]))).alias("spans"))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(one).alias("cuts"))  # more than one only where rows share a doc_id
+    names = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text_col)
+    plain = docs.toDF(*names)  # names of our own, so that none can clash
+    joined = plain.join(cuts.withColumnRenamed("doc_id", "cut_id"), F.col(names[docs.columns.index(id_col)]) == F.col("cut_id"), "left")
+    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            spans = batch.column(len(names))
-            hit = np.flatnonzero(np.asarray(spans.is_valid()))
-            if not len(hit):
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema.names)
-                continue
-            texts = batch.column(place)
-            cut = {i: without(texts[i].as_py(), spans[i].as_py()) for i in hit.tolist()}
-            new = pa.array([cut[i] if i in cut else x for i, x in enumerate(texts.to_pylist())], texts.type)
-            keep = pa.array([i not in cut or bool(cut[i].strip()) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([new if i == place else batch.column(i) for i in range(len(names))], schema.names).filter(keep)
-
-    return joined.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], "__cut").mapInArrow(run, schema)
+            for a, b in slices(batch.column(place), SLICE):
+                part = batch.slice(a, b - a)
+                old = utf8(part.column(place))
+                new: list = part.column(place).to_pylist()
+                keep = np.ones(len(new), bool)
+                cut_here = part.column(len(names))
+                for i in np.flatnonzero(np.asarray(cut_here.is_valid())).tolist():
+                    key = int(text_keys([old[i]])[0])
+                    spans = next((x["spans"] for x in cut_here[i].as_py() if x["text"] == key), None)
+                    if spans and new[i] is not None:
+                        new[i] = without(new[i], spans)
+                        keep[i] = bool(new[i].strip())
+                texts = pa.array(new, part.column(place).type)
+                yield pa.RecordBatch.from_arrays([texts if i == place else part.column(i) for i in range(len(names))], schema.names).filter(pa.array(keep))
+        release()
+
+    return joined.select(*names, "cuts").mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from ..session import shared_dir, ship, written
 
 __all__ = ["Words", "id_and_text", "mix", "release", "shared_dir", "slices", "spans_hash", "table", "utf8", "written"]
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +36,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def release() -> None:
-    """Give back what the token operators keep in this Python worker for their own later tasks: called by tasks of other operators,
-    since workers serve one stage after another."""
-    held = ((sys.modules.get(f"{__package__}.{module}"), name) for module, name in (("tokens", "encoder"), ("bpe_trie", "_encoder")))
-    kept = [f for module, name in held if (f := getattr(module, name, None)) and f.cache_info().currsize]
-    if not kept:
-        return
-    for f in kept:
-        f.cache_clear()
+    """Give back what this Python worker holds but doesn't use, before and after an operator's task: workers serve one stage after
+    another, and the token operators keep a cache for their own later tasks."""
+    for module, name in (("tokens", "encoder"), ("bpe_trie", "_encoder")):
+        f = getattr(sys.modules.get(f"{__package__}.{module}"), name, None)
+        if f and f.cache_info().currsize:
+            f.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
@@ -94,14 +92,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n; kept for the common slice size only."""
+    """R**i and R**-i modulo 2**64 for i < n; kept for common slice sizes only."""
     if n > len(_powers.get("up", ())):
-        m = max(n, SLICE_BYTES + SLICE_BYTES // 8)
+        m = max(n, 1 << 19)
         inverse = U(pow(int(_R), -1, 1 << 64))
         up, down = np.full(m, _R), np.full(m, inverse)
         up[0] = down[0] = 1
-        up, down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-        if m > 4 * SLICE_BYTES:
+        np.cumprod(up, dtype=U, out=up)
+        np.cumprod(down, dtype=U, out=down)
+        if m > 1 << 20:
             return up, down
         _powers.update(up=up, down=down)
     return _powers["up"], _powers["down"]
@@ -113,7 +112,9 @@ def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return np.zeros(0, U)
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U)
-    np.cumsum(BYTE_KEYS[buf] * up[: len(buf)], out=total[1:])
+    keyed = BYTE_KEYS[buf]
+    keyed *= up[: len(buf)]
+    np.cumsum(keyed, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
