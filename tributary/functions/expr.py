@@ -33,6 +33,16 @@ SCORING_STOPWORDS = (
 CORPORATE_SUFFIXES = ("INC", "LTD", "LTEE", "LTÉE", "CORP", "LLC", "LLP", "CO", "LIMITED", "INCORPORATED", "ULC", "SA", "SARL", "SENC")
 #: Letters without a decomposition, as match keys write them.
 TRANSLITERATED = {"Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae", "ß": "ss", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th", "ı": "i", "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "•": "*", "€": "EUR", "«": "<<", "»": ">>", "°": "deg", "№": "No", " ": " "}
+#: Municipalities of one island, as registries write them.
+ISLAND_MUNICIPALITIES = (
+    "MONTREAL", "MONTRÉAL", "BAIE-D'URFE", "BAIE-D'URFÉ", "BEACONSFIELD", "COTE-SAINT-LUC", "CÔTE-SAINT-LUC", "DOLLARD-DES-ORMEAUX",
+    "DORVAL", "HAMPSTEAD", "KIRKLAND", "L'ILE-DORVAL", "L'ÎLE-DORVAL", "MONTREAL-EST", "MONTRÉAL-EST", "MONTREAL-OUEST", "MONTRÉAL-OUEST",
+    "MONT-ROYAL", "TOWN OF MOUNT ROYAL", "POINTE-CLAIRE", "SAINTE-ANNE-DE-BELLEVUE", "SENNEVILLE", "WESTMOUNT",
+)
+ISLAND_FSA_PREFIXES = ("H1", "H2", "H3", "H4", "H8", "H9")
+#: What a word of a person's name looks like, in two kinds of schedules.
+_WORD = r"[A-Za-zÀ-ÿ'\-]+"
+_GIVEN = r"[A-ZÀ-Þ][A-Za-zÀ-ÿ'\-\.]*"
 #: A raw name of just this length was probably cut off.
 TRUNCATED_LENGTH = 60
 
@@ -201,9 +211,6 @@ def name_prefix(norm: Column) -> Column:
     return F.substring(norm, 1, 4)
 
 
-_WORD = r"[A-Za-zÀ-ÿ'\-]+"
-
-
 def individual_donee(name: Column) -> Column:
     """Two words with two or more spaces between, and perhaps a nickname in parentheses: the shape of a person's name in gift schedules."""
     return F.coalesce(strip(name).rlike(rf"^{_WORD}  +{_WORD}(\s*\([^)]*\))?$"), F.lit(False))
@@ -212,10 +219,9 @@ def individual_donee(name: Column) -> Column:
 def individual_comma(name: Column) -> Column:
     """"Last, First": capitalised after the comma, and no corporate suffix there."""
     x = strip(name)
-    given = r"[A-ZÀ-Þ][A-Za-zÀ-ÿ'\-\.]*"
     first = F.regexp_extract(x, r",\s*(\S+)", 1)
     corporate = F.upper(F.regexp_replace(first, r"\.+$", "")).isin(*CORPORATE_SUFFIXES)
-    return F.coalesce(x.rlike(rf"^{_WORD},\s*{given}(\s+{given})?(\s*\([^)]*\))?$") & ~corporate, F.lit(False))
+    return F.coalesce(x.rlike(rf"^{_WORD},\s*{_GIVEN}(\s+{_GIVEN})?(\s*\([^)]*\))?$") & ~corporate, F.lit(False))
 
 
 def digit_tokens(norm: Column, raw_length: Column | None = None) -> Column:
@@ -305,7 +311,7 @@ def fiscal_year_of_label(x: Column) -> Column:
 
 def net_amount(awarded: Column, rescinded: Column) -> Column:
     """Awarded less rescinded, at least 0; null if nothing was awarded."""
-    return F.greatest(awarded - F.coalesce(rescinded, F.lit(0.0)), F.lit(0.0))
+    return F.when(awarded.isNotNull(), F.greatest(awarded - F.coalesce(rescinded, F.lit(0.0)), F.lit(0.0)))
 
 
 def multi_year(start: Column, end: Column) -> Column:
@@ -359,15 +365,6 @@ def codes_related(a: Column, b: Column) -> Column:
 
 # --- regions --------------------------------------------------------------------------------------------------------------
 
-#: Municipalities of one island, as registries write them.
-ISLAND_MUNICIPALITIES = (
-    "MONTREAL", "MONTRÉAL", "BAIE-D'URFE", "BAIE-D'URFÉ", "BEACONSFIELD", "COTE-SAINT-LUC", "CÔTE-SAINT-LUC", "DOLLARD-DES-ORMEAUX",
-    "DORVAL", "HAMPSTEAD", "KIRKLAND", "L'ILE-DORVAL", "L'ÎLE-DORVAL", "MONTREAL-EST", "MONTRÉAL-EST", "MONTREAL-OUEST", "MONTRÉAL-OUEST",
-    "MONT-ROYAL", "TOWN OF MOUNT ROYAL", "POINTE-CLAIRE", "SAINTE-ANNE-DE-BELLEVUE", "SENNEVILLE", "WESTMOUNT",
-)
-ISLAND_FSA_PREFIXES = ("H1", "H2", "H3", "H4", "H8", "H9")
-
-
 def clean_city(x: Column) -> Column:
     """Without a province at the end."""
     return strip(F.regexp_replace(x, r"(?i)\s*(\((?:qu[eé]bec|qc)\)|,?\s+qc)\s*$", ""))

@@ -176,11 +176,12 @@ def threshold_sensitivity(receipts: DataFrame, donations: DataFrame, years: Sequ
     return out
 
 
-def exact_pairs(events: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
-    """Events of units that some exact number links."""
-    exact = links.where("match_method = 'exact_bn'").select("entity_id").distinct().join(entities.select("entity_id", "bn_root"), "entity_id").select("bn_root")
-    return events.join(exact, "bn_root", "left_semi")
-
+def exact_pairs(events: DataFrame, grants: DataFrame, links: DataFrame, entities: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Events of (unit, year) with a grant of these sources that year whose recipient an exact number links in the grant's own source."""
+    exact = links.where("match_method = 'exact_bn'").select(F.col("entity_id").alias("recipient_entity_id"), "source_dataset").distinct()
+    given = grants.where(F.col("source_dataset").isin(*sources)).select("recipient_entity_id", "source_dataset", F.col("fiscal_year").alias("Y")).distinct().join(exact, ["recipient_entity_id", "source_dataset"])
+    own = entities.where("bn_root is not null").select(F.col("entity_id").alias("recipient_entity_id"), "bn_root")
+    return events.join(given.join(own, "recipient_entity_id").select("bn_root", "Y").distinct(), ["bn_root", "Y"], "left_semi")
 
 
 def panel(treated: DataFrame, matches: DataFrame, controls: DataFrame, stats: DataFrame, exact: DataFrame) -> DataFrame:

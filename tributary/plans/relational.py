@@ -201,14 +201,6 @@ def shared_embed_budget(t: Tables) -> DataFrame:
     return out.select("category", F.coalesce("shown", zero).alias("shown"), F.coalesce("rest", zero).alias("rest"), F.round(F.coalesce("rest_amount", F.lit(0.0)), 2).alias("rest_amount"))
 
 
-@query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n, CASE WHEN count(*) = 1 THEN 'found' ELSE 'ambiguous' END AS reason,
-  CASE WHEN count(*) = 1 THEN min(l_partkey) END AS l_partkey FROM lineitem GROUP BY 1, 2""")
-def unique_receipt(t: Tables) -> DataFrame:
-    one = F.col("n") == 1
-    out = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.min("l_partkey").alias("p"))
-    return longs(out.select("l_orderkey", "l_linenumber", "n", F.when(one, "found").otherwise("ambiguous").alias("reason"), F.when(one, F.col("p")).alias("l_partkey")), "l_linenumber")
-
-
 @query("""SELECT l_orderkey, string_agg(l_linenumber || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), ' > ' ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS chain, count(*) AS versions FROM lineitem GROUP BY 1""")
 def amendment_chain(t: Tables) -> DataFrame:
     from ..operators.search import amendment_chain as chain

@@ -25,14 +25,6 @@ def grant_text_rollup(t: Tables) -> DataFrame:
     return t.documents.groupBy("source", norm.alias("norm_text")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).withColumn("text_id", F.substring(F.sha2("norm_text", 256), 1, 16))
 
 
-@query(f"""WITH h AS (SELECT doc_id, source, substr(sha256({_SQUEEZE.format(x='text')}), 1, 16) AS text_id FROM documents), d AS (SELECT text_id FROM h GROUP BY 1 HAVING count(*) > 1)
-SELECT doc_id, source, text_id FROM h WHERE text_id IN (SELECT text_id FROM d)""")
-def grants_for_text(t: Tables) -> DataFrame:
-    h = t.documents.select("doc_id", "source", search.text_id(F.col("text")).alias("text_id"))
-    many = h.groupBy("text_id").agg(F.count("*").alias("n")).where("n > 1").select("text_id")
-    return h.join(many, "text_id", "left_semi").select("doc_id", "source", "text_id")
-
-
 @query(f"""WITH h AS (SELECT {_SQUEEZE.format(x='text')} AS t, source FROM documents), g AS (SELECT t, count(*) AS n, list_sort(list(DISTINCT source)) AS s FROM h GROUP BY 1),
 k AS (SELECT substr(sha256(t), 1, 16) AS text_id, n FROM g WHERE regexp_matches(lower(strip_accents(t)), '(^|[^a-zA-Z0-9])que') AND list_has_any(s, ['src0', 'src3']))
 SELECT text_id, n AS n_grants, (SELECT count(*) FROM k) AS total FROM k ORDER BY n DESC, text_id LIMIT 50""")
@@ -58,30 +50,6 @@ def text_map_distinct(t: Tables) -> DataFrame:
     return textclass.distinct_texts(mapped, 40).select("text_hash", "n_grants")
 
 
-@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY d.n_chars DESC, d.doc_id LIMIT 100""")
-def resume_skip(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels.select("doc_id"), "doc_id", "left_anti").orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id")
-
-
-@query(f"""WITH b AS (SELECT item_id, lower({_SQUEEZE.format(x='text')}) AS q FROM benchmark), w AS (SELECT item_id, array_to_string(list_slice(string_split(q, ' '), 3, 10), ' ') AS q FROM b),
-d AS (SELECT doc_id, lower({_SQUEEZE.format(x='text')}) AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
-SELECT d.doc_id, w.item_id, CASE WHEN q <> '' AND contains(x, q) THEN 'ok' ELSE 'quote_not_verbatim' END AS flag FROM d JOIN w ON d.doc_id % 40 = w.item_id""")
-def quote_enforcement(t: Tables) -> DataFrame:
-    quote = F.array_join(F.slice(F.split(expr.squeezed(F.col("text")), " "), 3, 8), " ")
-    b = t.benchmark.select("item_id", quote.alias("quote"))
-    d = t.documents.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    joined = d.join(b, "item_id")
-    return joined.select("doc_id", "item_id", F.when(expr.verbatim(F.col("quote"), F.col("text")), "ok").otherwise("quote_not_verbatim").alias("flag"))
-
-
-@query("""WITH s AS (SELECT conv_id, turn, upper(substr(role, 1, 1)) || ',' || CASE WHEN length(text) > 400 THEN 'LONG' ELSE 'SHORT' END AS codes FROM conversations),
-e AS (SELECT conv_id, unnest(string_split(codes, ',')) AS code FROM s) SELECT code, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM e GROUP BY 1""")
-def code_list_rollup(t: Tables) -> DataFrame:
-    codes = F.concat_ws(",", F.upper(F.substring("role", 1, 1)), F.when(F.length("text") > 400, "LONG").otherwise("SHORT"))
-    each = t.conversations.select("conv_id", F.explode(F.split(codes, ",")).alias("code"))
-    return each.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations"))
-
-
 @query("""WITH s AS (SELECT doc_id, quality AS v FROM labels), f AS (SELECT doc_id, 2 AS v FROM labels WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id + 1000000, 3 FROM labels WHERE toxic = 1)
 SELECT CAST(v AS BIGINT) AS v, count(*) AS n FROM (SELECT * FROM s WHERE doc_id NOT IN (SELECT doc_id FROM f) UNION ALL SELECT * FROM f) GROUP BY 1""")
 def keyed_upsert(t: Tables) -> DataFrame:

@@ -49,6 +49,11 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 #: Spark removes the shuffle files of a write when it is over; else they stay until the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a narrow table for which a file of its own is worth while.
@@ -61,8 +66,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     rows: a bound on the rows of a narrow table, where one is known, so that a small one isn't scattered over as many files as there
     are shuffle partitions.  The tables stay for as long as results that read them may be used; ``forget`` removes them."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    path, schema = scratch(spark, name), df.schema
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     before = spark.conf.get(_CLEANUP, None)

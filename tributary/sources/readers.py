@@ -23,10 +23,10 @@ def csv_strings(spark: SparkSession, path: str | Sequence[str], encoding: str =
 def csv_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The well-formed rows, with their file, and the number of rejected rows by file.
 
-    Rows with too many or too few fields, or broken quotes, are malformed."""
+    Rows with too many or too few fields, or broken quotes, are malformed; quoted fields may span lines."""
     header = csv_strings(spark, path).schema
     schema = T.StructType([*header.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).option("columnPruning", False)
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).option("columnPruning", False)
     rows = reader.csv(path).withColumn("filename", F.col("_metadata.file_path"))
     good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     # Spark doesn't count corrupt records alone without parsing something: every column is looked at.
