@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -141,11 +141,13 @@ def amendment_chain(rows: DataFrame, key: Sequence[str], number: str, value: str
 
 
 def slug_manifest(entities: DataFrame, name: str = "canonical_name", key: str = "entity_id") -> DataFrame:
-    """A unique page name for each entity: its slug, with the id after it from the second entity of the slug on."""
+    """A unique page name for each entity: its slug, with the id after it for all but the slug's lowest id.
+
+    The lowest ids are an aggregate that is joined back, so a slug that very many names share doesn't meet in one task."""
     slug = expr.slugify(F.split_part(expr.english_name(F.col(name)), F.lit("/"), F.lit(1)))
-    first = Window.partitionBy("base").orderBy(key)
-    out = entities.withColumn("base", slug).withColumn("__n", F.row_number().over(first))
-    return out.select(key, F.when(F.col("__n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col(key).cast("string"))).alias("slug"))
+    own = entities.select(key, slug.alias("base"))
+    out = own.join(own.groupBy("base").agg(F.min(key).alias("__first")), "base")
+    return out.select(key, F.when(F.col(key) == F.col("__first"), F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col(key).cast("string"))).alias("slug"))
 
 
 def department_of(grants: DataFrame) -> DataFrame:

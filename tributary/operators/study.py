@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import pct_change
@@ -86,7 +86,8 @@ def match_controls(treated: DataFrame, controls: DataFrame, max_controls: int =
     """Up to ``max_controls`` controls of the same year and province for each treated unit: those of its decile and tercile; if
     there is none, of its decile; if there is none, of the province.  The nearest in revenue first, then by number.
 
-    Which tier holds is found by counts of cells, not by pairs; then each unit meets the cells of its tier alone."""
+    Which tier holds is found by counts of cells.  Within a cell units are sorted by revenue, and each treated one meets only the
+    controls next to it on either side, and the first of those without a revenue: no pairs of a cell are formed."""
     tiers = (("decile_trend", ["Y", "province", "decile", "tercile"]), ("decile", ["Y", "province", "decile"]), ("province", ["Y", "province"]))
     out = None
     open_ = treated.where("province is not null")
@@ -96,11 +97,31 @@ def match_controls(treated: DataFrame, controls: DataFrame, max_controls: int =
         open_ = open_.join(cells, keys, "left_anti")
         t = here.select(*keys, F.col("bn_root").alias("treated_bn"), F.col("revenue").alias("__r"))
         c = controls.select(*keys, F.col("bn_root").alias("control_bn"), F.col("revenue").alias("__c"))
-        part = t.join(c, keys).select("treated_bn", "Y", "control_bn", F.lit(name).alias("tier"), F.abs(F.col("__r") - F.col("__c")).alias("distance"))
+        part = _nearest(t, c, keys, max_controls).select("treated_bn", "Y", "control_bn", F.lit(name).alias("tier"), F.abs(F.col("__r") - F.col("__c")).alias("distance"))
         out = part if out is None else out.unionByName(part)
     return topk_per_group(out, ["treated_bn", "Y"], [F.col("distance").asc_nulls_last(), F.col("control_bn").asc()], max_controls)
 
 
+def _nearest(t: DataFrame, c: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """(keys, treated_bn, __r, control_bn, __c): a few controls of the cell among which each treated unit's k nearest are."""
+    cell = Window.partitionBy(*keys)
+    some = t.where("__r is not null")
+    sides = None
+    for sign in (1, -1):
+        # In order of revenue (or against it): how many controls come before a treated unit, and each control's place.
+        c_rows = c.where("__c is not null").select(*keys, (F.col("__c") * sign).alias("v"), F.lit(1).alias("is_control"), F.col("control_bn").alias("id"))
+        t_rows = some.select(*keys, (F.col("__r") * sign).alias("v"), F.lit(0).alias("is_control"), F.col("treated_bn").alias("id"))
+        placed = c_rows.unionByName(t_rows).withColumn("at", F.sum("is_control").over(cell.orderBy("v", "is_control", "id").rowsBetween(Window.unboundedPreceding, 0)))
+        wanted = placed.where("is_control = 0").select(*keys, F.col("id").alias("treated_bn"), F.col("v").alias("tv"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + k)).alias("at"))
+        side = wanted.join(placed.where("is_control = 1").select(*keys, "at", F.col("id").alias("control_bn"), F.col("v").alias("cv")), [*keys, "at"])
+        side = side.select(*keys, "treated_bn", (F.col("tv") * sign).alias("__r"), "control_bn", (F.col("cv") * sign).alias("__c"))
+        sides = side if sides is None else sides.unionByName(side)
+    names = [*keys, "treated_bn", "__r", "control_bn", "__c"]
+    bare = some.join(topk_per_group(c.where("__c is null"), keys, [F.col("control_bn").asc()], k), list(keys)).select(*names)
+    blank = t.where("__r is null").join(topk_per_group(c, keys, [F.col("control_bn").asc()], k), list(keys)).select(*names)
+    return sides.unionByName(bare).unionByName(blank).distinct()
+
+
 def matched_contrast(treated: DataFrame, controls: DataFrame, matches: DataFrame) -> DataFrame:
     """By cohort year, the median over treated units of their change less their controls' mean change."""
     c = matches.join(controls.select(F.col("bn_root").alias("control_bn"), "Y", F.col("pct").alias("c_pct")), ["control_bn", "Y"])
@@ -125,8 +146,6 @@ def two_way_fe(panel: DataFrame) -> dict[str, float] | None:
     The unit effect is taken out by distributed demeaning.  The year effect and the slope are then normal equations in one column
     for each year: sums of products by unit, added up by Spark, so the driver solves a system as large as there are years.
     Clusters' scores come from one more aggregate."""
-    from pyspark.sql import Window
-
     rows = panel.select("unit", "bn_root", F.col("fiscal_year").cast("int").alias("t"), (F.col("treated") * F.col("post")).cast("double").alias("x"), F.col("log_donations").cast("double").alias("y"), "treated")
     head = rows.agg(F.countDistinct("unit").alias("units"), F.countDistinct("treated").alias("arms"), F.count("*").alias("n"), F.countDistinct("bn_root").alias("g"), F.sort_array(F.collect_set("t")).alias("years")).first()
     if head["units"] < 4 or head["arms"] < 2:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +18,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A view that several parts of a query use: written when it is first asked for."""
+        if name not in self._made:
+            self._made[name] = written(make(), name)
+        return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -26,8 +35,15 @@ class Tables:
         rows = self.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice").join(o, "l_orderkey").join(self.customer.select("c_custkey", "c_nationkey"), "c_custkey").join(self.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
         return rows.select(F.col("s_nationkey").cast("long").alias("funder"), F.col("c_nationkey").cast("long").alias("recipient"), money(F.col("l_extendedprice")).alias("amount"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("source"))
 
+    def yearly_flows(self) -> DataFrame:
+        """The flows summed by funder, recipient, year and source, written once."""
+        return self._once("flows", lambda: self.flows().groupBy("funder", "recipient", "year", "source").agg(F.sum("amount").alias("amount"), F.count("*").alias("n")))
+
     def panel(self) -> DataFrame:
-        """Customers' yearly sums: receipts (urgent orders), donations (all other orders)."""
+        """Customers' yearly sums, written once: receipts (urgent orders), donations (all other orders)."""
+        return self._once("panel", self._panel)
+
+    def _panel(self) -> DataFrame:
         urgent = F.col("o_orderpriority") == "1-URGENT"
         return self.orders.groupBy(F.col("o_custkey").alias("bn_root"), F.year("o_orderdate").alias("fiscal_year")).agg(F.sum(F.when(urgent, money(F.col("o_totalprice")))).cast("double").alias("receipts"), F.sum(F.when(~urgent, money(F.col("o_totalprice")))).cast("double").alias("donations"))
 

@@ -86,7 +86,11 @@ def winsorized_median(t: Tables) -> DataFrame:
 
 
 def _cohorts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Treated and control units with covariates and buckets, of the years of the study."""
+    """Treated and control units with covariates and buckets, of the years of the study; each written once."""
+    return tuple(t._once(f"cohort-{i}", lambda i=i: _made_cohorts(t)[i]) for i in (0, 1))  # type: ignore[return-value]
+
+
+def _made_cohorts(t: Tables) -> tuple[DataFrame, DataFrame]:
     provinces = t.customer.select(F.col("c_custkey").alias("bn_root"), F.col("c_nationkey").alias("province"))
     events = study.treatment_events(t.receipts(), 100_000, _YEARS)
     pool = study.pool_events(study.never_treated(t.donations(), t.receipts()), _YEARS)
@@ -164,7 +168,7 @@ inter AS (SELECT h.bn, h.year, CAST(h.amount AS DOUBLE) AS hop1_amount, h.source
 
 
 def _flow_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = t.flows()
+    f = t.yearly_flows()
     hop1 = f.where(F.col("source").isin("1-URGENT", "2-HIGH")).groupBy(F.col("recipient").alias("bn_root"), F.col("recipient").alias("entity_id"), F.col("source").alias("source_dataset"), F.col("year").alias("fiscal_year")).agg(F.sum("amount").alias("amount"))
     regrants = f.groupBy(F.col("funder").alias("bn_root"), F.col("year").alias("fiscal_year")).agg(F.sum("amount").alias("amount"))
     # The bar is the mean of all regranters, as data sizes differ.
@@ -212,7 +216,7 @@ e AS (SELECT recipient AS intermediary, 'in' AS side, funder AS partner, amount
 k AS (SELECT *, row_number() OVER (PARTITION BY intermediary, side ORDER BY amount DESC, partner) AS rn FROM e)
 SELECT intermediary, side, CASE WHEN rn <= 4 THEN CAST(partner AS VARCHAR) ELSE 'other' END AS partner, round(sum(amount), 2) AS amount FROM k GROUP BY 1, 2, 3""")
 def regranting_network(t: Tables) -> DataFrame:
-    f = t.flows().groupBy("funder", "recipient").agg(F.sum("amount").cast("double").alias("amount"))
+    f = t.yearly_flows().groupBy("funder", "recipient").agg(F.sum("amount").cast("double").alias("amount"))
     return flow.regranting_network(f).withColumn("amount", F.round("amount", 2))
 
 
