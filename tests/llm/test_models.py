@@ -87,23 +87,56 @@ def test_language_of_odd_documents(spark, odd_documents, no_documents):
     got = sorted(((r.doc_id or 0, r.lang_pred, r.score) for r in langid.identify(odd_documents).collect()), key=repr)
     assert len(got) == odd_documents.count()
     und = {d for d, name, _ in got if name == "und"}
-    assert und == {2, 3, 4, 9} and all(s == 0 for d, name, s in got if name == "und")
+    assert und == {2, 3, 4, 9, 13} and all(s == 0 for d, name, s in got if name == "und")
     assert langid.identify(no_documents).count() == 0
     unlabelled = odd_documents.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
     kept = langid.keep_identified(odd_documents)
-    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 6, 8]
-
-
-def test_scores_are_the_kernel_machine():
-    """Weights folded into one matrix score as the kernel against all landmarks does."""
-    texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze", "el gato y el perro"] * 3
-    x, owner, _ = langid.presence([langid.normalised(t) for t in texts])
-    model = langid.fit(np.packbits(x, axis=1), [["en", "fr", "de", "es"][i % 4] for i in owner])
-    lang, score = model.predict(texts + [LONG, None])
-    assert lang[:4] == ["en", "fr", "de", "es"] and lang[-1] == "und" and (score[:12] > 0.5).all()
-    unit = x / np.sqrt(x.sum(1, keepdims=True, dtype=float))
-    assert np.allclose(model.segment_scores(x), unit @ model.weights + model.bias, atol=1e-4)
+    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 6, 6, 8, 11, 11, 12]
+
+
+def _grams(text: str) -> set:
+    b = langid.normalised(text)
+    x, _, _ = langid.presence([b])
+    assert len(x) == 1
+    return set(np.flatnonzero(x[0]).tolist())
+
+
+def test_scores_are_kernel_ridge_regression():
+    """Against dense kernel ridge regression over the landmarks, from the kernel's definition."""
+    r = random.Random(2)
+    words = {"en": "the cat and dog of this house was".split(), "fr": "le chat et chien de cette maison était".split(), "de": "der die und katze hund von diesem haus".split(), "es": "el gato y perro de esta casa era".split()}
+    texts = [(name, " ".join(r.choice(w) for _ in range(12))) for name, w in words.items() for _ in range(10)]
+    x, _, _ = langid.presence([langid.normalised(t) for _, t in texts])
+    marks = 16
+    model = langid.fit(np.packbits(x, axis=1), [name for name, _ in texts], landmarks=marks)
+    sets = [_grams(t) for _, t in texts]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    chosen = [sets[i * 10 + k] for k in range(marks // 4) for i in (2, 0, 3, 1)]  # languages in turn, by name: de, en, es, fr
+    names = sorted(words)
+    km = np.array([[kernel(a, b) for b in chosen] for a in chosen])
+    kn = np.array([[kernel(a, b) for b in chosen] for a in sets])
+    value, vector = np.linalg.eigh(km)
+    keep = value > 1e-6 * value.max()
+    root = vector[:, keep] / np.sqrt(value[keep])
+    f = kn @ root
+    target = np.array([[1.0 if name == n else -1.0 for n in names] for name, _ in texts])
+    # Ridge with an unpenalised bias; each language weighs as much as any other.
+    weight = np.full(len(texts), 1 / 10)
+    mean, level = f.mean(0), (target * weight[:, None]).sum(0) / weight.sum()
+    w = np.linalg.solve((f - mean).T @ ((f - mean) * weight[:, None]) + langid.RIDGE * np.eye(f.shape[1]), (f - mean).T @ ((target - level) * weight[:, None]))
+    want = (f - mean) @ w + level
+    _, got = model.margins([t for _, t in texts])
+    assert model.languages == names and np.allclose(got, want, atol=2e-3)
+    lang, score = model.predict([t for _, t in texts] + [LONG, None, "²"])
+    assert lang[:40] == [name for name, _ in texts] and lang[-2:] == ["und", "und"] and (score[:40] > 0.5).all()
+
+
+def test_leads_do_not_depend_on_the_number_of_languages():
+    texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze"]
+    x, _, _ = langid.presence([langid.normalised(t) for t in texts])
+    model = langid.fit(np.packbits(x, axis=1), ["en", "fr", "de"])
+    assert (model.lead([*texts, None, "½"]) > langid.LEAST_LEAD).tolist() == [True] * 3 + [False] * 2
 
 
 # --- URL filter -----------------------------------------------------------------------------------------------------------
@@ -163,6 +196,28 @@ def test_scores(spark, sf_dir, odd_documents, no_documents):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing)
 
 
+def test_scores_equal_interpolation_of_levels(spark):
+    """Against exact counts in place of probes: levels from counts, read as the middle of their range."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = {i: " ".join(r.choices(vocabulary, range(60, 0, -1), k=r.randint(0, 80))) for i in range(120)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in bloomlm.score(df, F.col("doc_id") % 5 == 0, load=0.001).collect()}  # a load at which no probe passes by chance
+    tokens = {i: [*t.split(), ""] for i, t in docs.items()}
+    one = Counter(w for i, t in tokens.items() if i % 5 for w in t)
+    # The token before a text's first is the end token.
+    two = Counter((a, b) for i, t in tokens.items() if i % 5 for a, b in zip(["", *t], t, strict=False))
+    middle = lambda n: math.floor(1.5 * 2 ** math.floor(math.log2(n))) if n else 0
+    n, v = sum(one.values()), len(one)
+    for i, t in tokens.items():
+        want = 0.0
+        for a, b in zip(["", *t], t, strict=False):
+            c, cb, cab = middle(one[a]), middle(one[b]), middle(two[a, b])
+            uni = (cb + 1) / (n + v + 1)
+            want += math.log10(bloomlm.LAMBDA * min(cab, c) / c + (1 - bloomlm.LAMBDA) * uni if c else uni)
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), i
+
+
 def test_filter_reads_counts_back(spark):
     text = "a a a a b c c " * 40
     df = spark.createDataFrame([(text,)], "text string")
@@ -239,6 +294,36 @@ def test_payloads():
                 webp.load([broken])
 
 
+def test_what_the_encoder_chooses():
+    """Back-references, palettes and predictors where they save bytes, each inverted by the vectorised reader and by decode."""
+    line = "the same line again, and no other than that one; "
+    made = {
+        webp.PLAIN: (line * 90 + " ".join(f"{i * 7919 % 10_007}" for i in range(500))).encode(), webp.PALETTED: b"0110" * 64, webp.FROM_LEFT: bytes((i * i // 7 + j * 3) % 256 for i in range(60) for j in range(64)),
+        webp.FROM_TOP: (columns := bytes(_R.integers(0, 256, 64, dtype=np.uint8))) + b"".join(bytes((x + 5 * k) % 256 for x in columns) for k in range(1, 60)),
+    }
+    pay = [x + b"\0" * (-len(x) % 64) for x in made.values()]
+    media = webp.store(pay)
+    assert [x.tobytes() for x in webp.load(media)] == pay
+    for kind, p, m in zip(made, pay, media, strict=True):
+        images = webp.images_of(m)
+        assert [webp._plan(x).kind for x in images] == [kind] * len(images)
+        assert b"".join(webp.decode(webp._file(x))[:, :, 1].tobytes() for x in images) == p
+        assert len(m) < len(p) * (0.3 if kind == webp.PLAIN else 0.6)
+    long = (line * 2000).encode()
+    assert len(webp.images_of(webp.store([long + b"\0" * (-len(long) % 64)])[0])) == -(-len(long) // webp.TILE)
+    place, length, far = webp._copies(np.frombuffer(pay[0][:4096], np.uint8), np.zeros(4096, np.int64), np.array([4096]))
+    assert length.sum() > 3000 and (far <= place).all() and all(pay[0][p : p + n] == (pay[0][p - d : p] * (n // d + 1))[:n] for p, n, d in zip(place, length, far, strict=True))
+
+
+def test_other_images_go_through_the_general_decoder():
+    """Images with a colour cache, cross-colour or other predictors, as another writer makes them."""
+    image = np.repeat(_R.integers(60, 70, (5, 64, 1)), 3, 2).astype(np.uint8)
+    image = np.concatenate([image, np.full((5, 64, 1), 255, np.uint8)], 2)
+    for transforms, cache in (((), 5), ((1,), 0), ((0,), 0), ((0, 1, 2), 4), ((2, 0), 0)):
+        data = webp.encode(image, transforms, cache_bits=cache, references=True, block=2)
+        assert (webp.load([data, data])[1] == image[:, :, 1].ravel()).all()
+
+
 def test_media_query(spark, sf_dir, odd_documents, no_documents):
     for docs, got in ((spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.op10_lossless_webp(spark, sf_dir)), (odd_documents, webp.round_trip(odd_documents))):
         want = Counter()

@@ -3,10 +3,10 @@
 ``decode`` reads any lossless WebP (VP8L) image: prefix codes in groups, back-references, colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms with pixel bundling.  ``encode`` writes images with any of these.
 
-A payload (text bytes, padded to a multiple of 64) is stored as the green samples of images 64 pixels wide, up to ``TILE`` bytes
-an image, one image file after the other.  Such images have one green code and constant other channels; those of a batch are
-written by vector operations and read in lockstep, one sample of every image at a time, through a table for each image.  Images
-of another kind go through ``decode``.
+A payload (text bytes, padded to a multiple of 64) is stored as the samples of gray images 64 pixels wide, up to ``TILE`` bytes an
+image: one image file, or the frames of an animation if there are several.  The images are written and read by vector operations:
+prefix codes and back-references of many images in lockstep, palettes, predictors and green as whole arrays.  Images
+with a colour cache, cross-colour or other predictors, which ``store`` never finds worth while, go through ``decode``.
 
 Media are written as a table in the shared folder and read back before features are computed.  The plan has no shuffle.
 
@@ -17,10 +17,10 @@ be of any length; damaged media raise ValueError; an empty table gives no rows;
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -85,32 +85,38 @@ class BitWriter:
 
 def code_lengths(counts: list[int], limit: int) -> list[int]:
     """Huffman code lengths of at most ``limit`` bits; counts are halved until they fit.  A single symbol has length 1."""
-    used = [s for s, n in enumerate(counts) if n]
+    used = sorted((n, s) for s, n in enumerate(counts) if n)
     out = [0] * len(counts)
-    if len(used) < 2:
-        for s in used:
+    m = len(used)
+    if m < 2:
+        for _, s in used:
             out[s] = 1
         return out
-    weight = {s: counts[s] for s in used}
+    weight = [n for n, _ in used]
     while True:
-        heap = [(n, s, None) for s, n in weight.items()]
-        heapq.heapify(heap)
-        tie = len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], tie, (a, b)))
-            tie += 1
-        stack, deepest = [(heap[0], 0)], 0
-        while stack:
-            (_, s, pair), depth = stack.pop()
-            if pair is None:
-                out[s] = depth
-                deepest = max(deepest, depth)
-            else:
-                stack += [(pair[0], depth + 1), (pair[1], depth + 1)]
-        if deepest <= limit:
+        # The two lightest of leaves and inner nodes, both of which come in order of weight.
+        w, parent, leaf, inner = weight + [0] * (m - 1), [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < m and (inner >= k or w[leaf] <= w[inner]):
+                    at, leaf = leaf, leaf + 1
+                else:
+                    at, inner = inner, inner + 1
+                total += w[at]
+                parent[at] = k
+            w[k] = total
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:m]) <= limit:
+            for (_, s), n in zip(used, depth, strict=False):
+                out[s] = n
             return out
-        weight = {s: n + 1 >> 1 for s, n in weight.items()}
+        weight = [n + 1 >> 1 for n in weight]
+
+
+_MIRRORED = [int(format(i, "015b")[::-1], 2) for i in range(1 << 15)]
 
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
@@ -119,7 +125,7 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - before
         before = n
-        out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
+        out[s] = (_MIRRORED[code] >> 15 - n, n)
         code += 1
     return out
 
@@ -168,19 +174,27 @@ def read_lengths(bits: BitReader, size: int) -> list[int]:
         if most > size:
             raise ValueError("too many code lengths")
     code, at, before = Prefix(first), 0, 8
+    table = [(code.only, 0)] * 128
+    for (n, word), s in code.table.items() if code.only is None else ():
+        table[word :: 1 << n] = [(s, n)] * (128 >> n)
     while at < size and most:
         most -= 1
-        s = code.read(bits)
+        word = bits.peek(14)
+        s, n = table[word & 127]
         if s < 16:
+            bits.skip(n)
             out[at] = s
             at += 1
             before = s or before
             continue
-        value, n = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
+        wide = (2, 3, 7)[s - 16]
+        bits.skip(n + wide)
+        run = (word >> n & (1 << wide) - 1) + (11 if s == 18 else 3)
+        if at + run > size:
             raise ValueError("code lengths run over")
-        out[at : at + n] = [value] * n
-        at += n
+        if s == 16:
+            out[at : at + run] = [before] * run
+        at += run
     return out
 
 
@@ -195,13 +209,8 @@ def put_lengths(bits: BitWriter, lengths: list[int]) -> None:
             bits.put(s, 8)
         return
     tokens: list[tuple[int, int, int]] = []  # symbol, extra, bits of it
-    i = 0
-    while i < len(lengths):
-        j, n = i, lengths[i]
-        while j < len(lengths) and lengths[j] == n:
-            j += 1
-        run = j - i
-        i = j
+    for n, same in groupby(lengths):
+        run = len(list(same))
         if n:
             tokens.append((n, 0, 0))
             run -= 1
@@ -555,142 +564,424 @@ def encode(image: np.ndarray, transforms: tuple[int, ...] = (), *, cache_bits: i
 
 
 # --- payloads, a batch at a time ------------------------------------------------------------------------------------------
-
-DEPTH = 10
+#
+# A tile is a gray image.  How it is written is decided tile by tile: as a palette image with several indices a pixel if it has few
+# values; predicted from the pixel above or to the left if that is estimated to save bytes; else with green subtracted alone, which
+# leaves nothing of red and blue.  Back-references are taken from word to word.
+
+#: Bits that one look-up sees, and the longest codes of green and of distances.
+DEPTH, LONGEST, FAR = 12, 11, 10
+GREEN = ALPHABET[0]
+PLAIN, PALETTED, FROM_LEFT, FROM_TOP = range(4)
+#: The least back-reference, and the bytes that find it.
+SHORTEST, SEEN = 12, 8
 _REVERSED = np.array([int(format(i, f"0{DEPTH}b")[::-1], 2) for i in range(1 << DEPTH)])
+_PLACES = np.arange(1 << DEPTH)
+_REVERSED_FAR = np.array([int(format(i, f"0{FAR}b")[::-1], 2) for i in range(1 << FAR)])
+_BASE = np.array([s + 1 if s < 4 else (2 + (s & 1) << (s - 2 >> 1)) + 1 for s in range(DISTANCES)])
+_EXTRA = np.array([max(0, s - 2 >> 1) for s in range(DISTANCES)])
+
+
+def _near(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distance of each near code (from 1), and the code of each distance that has one (0 for others)."""
+    far = np.array([0, *(max(1, dx + dy * width) for dx, dy in NEAR)])
+    code = np.zeros(int(far.max()) + 1, np.int64)
+    code[far[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    return far, code
+
+
+_NEAR_FAR, _NEAR_CODE = _near(WIDTH)
+
+
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def _copies(data: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references that don't overlap, in order: place, length, distance.  They begin at words whose eight first bytes the tile has
+    had before, and go on over the words that follow at the same distance."""
+    start = data == 0x20
+    start[1:] = start[:-1] & ~start[1:] | (np.diff(owner) > 0)
+    start[:1] = True
+    at = np.flatnonzero(start)
+    at = at[at + SEEN <= ends[owner[at]]]
+    none = np.zeros(0, np.int64)
+    if len(at) < 2:
+        return none, none, none
+    window = _windows(data)
+    order = np.lexsort((window[at], owner[at]))
+    same = (window[at[order[1:]]] == window[at[order[:-1]]]) & (owner[at[order[1:]]] == owner[at[order[:-1]]])
+    before = np.full(len(at), -1)
+    before[order[1:][same]] = at[order[:-1][same]]
+    hit = np.flatnonzero(before >= 0)
+    if not len(hit):
+        return none, none, none
+    place, far = at[hit], at[hit] - before[hit]
+    # A run of words at one distance: the next word begins within the eight bytes, or within sixteen that are the same.
+    gap = np.diff(place)
+    second = np.minimum(place[:-1] + SEEN, len(data) - 1)
+    on = (np.diff(far) == 0) & (owner[place[1:]] == owner[place[:-1]]) & ((gap <= SEEN) | (gap <= 2 * SEEN) & (window[second] == window[second - far[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], ~on]))
+    last = np.concatenate([first[1:], [len(place)]]) - 1
+    begin, end, far = place[first], place[last] + SEEN, far[first]
+    end[:-1] = np.minimum(end[:-1], begin[1:])
+    keep = end - begin >= SHORTEST
+    begin, end, far = begin[keep], end[keep], far[keep]
+    parts = -(-(end - begin) // 4096)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    place = np.repeat(begin, parts) + 4096 * nth
+    return place, np.minimum(4096, np.repeat(end, parts) - place), np.repeat(far, parts)
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix_of for each value."""
+    v = value - 1
+    high = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    bits = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << np.maximum(high - 1, 0)) - 1), bits
 
 
-def _head(bytes_here: int, counts: list[int]) -> tuple[int, int, list[int]]:
-    """The bits before the samples (as a number, and how many), and the green code's lengths."""
-    bits = BitWriter()
-    for value, n in ((0x2F, 8), (WIDTH - 1, 14), (bytes_here // WIDTH - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        bits.put(value, n)
-    lengths = code_lengths(counts, DEPTH)
-    put_lengths(bits, lengths + [0] * LENGTHS)
-    for only in (0, 0, 255, 0):
-        for value, n in ((1, 1), (0, 1), (1, 1), (only, 8)):
-            bits.put(value, n)
-    return int.from_bytes(bits.bytes(), "little"), 8 * sum(map(len, bits.done)) + bits.size, lengths
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits that an ideal code of each row's own counts takes."""
+    n = counts.sum(1, keepdims=True)
+    return (counts * np.log2(np.maximum(n, 1) / np.maximum(counts, 1))).sum(1)
 
 
-def store(payloads: list[bytes]) -> list[bytes]:
-    """The media of payloads whose lengths are positive multiples of 64."""
-    tiles = [p[i : i + TILE] for p in payloads for i in range(0, len(p), TILE)]
+def _streams(tiles: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """What is written of each tile: kinds, all bytes, their numbers, and the palettes."""
     data = np.frombuffer(b"".join(tiles), np.uint8)
     size = np.fromiter(map(len, tiles), np.int64, len(tiles))
-    owner = np.repeat(np.arange(len(tiles)), size)
-    counts = np.bincount(owner << 8 | data, minlength=256 * len(tiles)).reshape(-1, 256)
-    code, length = np.zeros((len(tiles), 256), np.uint64), np.zeros((len(tiles), 256), np.uint8)
-    heads = []
+    owner, base = np.repeat(np.arange(len(tiles)), size), np.cumsum(size) - size
+    count = lambda x: np.bincount(owner << 8 | x, minlength=256 * len(tiles)).reshape(-1, 256)
+    plain = count(data)
+    inside = np.arange(len(data)) - base[owner]
+    left = data - np.where(inside % WIDTH > 0, np.roll(data, 1), np.where(inside >= WIDTH, np.roll(data, WIDTH), 0)).astype(np.uint8)
+    top = data - np.where(inside >= WIDTH, np.roll(data, WIDTH), np.where(inside > 0, np.roll(data, 1), 0)).astype(np.uint8)
+    guess = np.stack([_entropy(plain) * 0.8, _entropy(count(left)) + 60, _entropy(count(top)) + 60])
+    kind = np.where((plain > 0).sum(1) <= 16, PALETTED, np.array([PLAIN, FROM_LEFT, FROM_TOP])[guess.argmin(0)])
+    out, palettes = np.where((kind == FROM_LEFT)[owner], left, np.where((kind == FROM_TOP)[owner], top, data)), []
+    if not (kind == PALETTED).any():
+        return kind, out, size, palettes
+    parts, sizes = [], size.copy()
+    for i, k in enumerate(kind.tolist()):
+        part = out[base[i] : base[i] + size[i]]
+        if k == PALETTED:
+            table = np.flatnonzero(plain[i])
+            palettes.append(table.tolist())
+            share = _bundle(len(table))
+            index = np.searchsorted(table, part).reshape(-1, 1 << share)
+            part = (index << (8 >> share) * np.arange(1 << share)).sum(1).astype(np.uint8)
+            sizes[i] = len(part)
+        parts.append(part)
+    return kind, np.concatenate(parts), sizes, palettes
+
+
+def _head(bytes_here: int, kind: int, palette: list[int], lengths: list[int], far: list[int]) -> tuple[int, int]:
+    """The bits before the samples, as a number, and how many."""
+    bits = BitWriter()
+    put = lambda *pairs: [bits.put(value, n) for value, n in pairs]
+    put((0x2F, 8), (WIDTH - 1, 14), (bytes_here // WIDTH - 1, 14), (0, 1), (0, 3))
+    if kind == PALETTED:
+        put((1, 1), (PALETTE, 2), (len(palette) - 1, 8))
+        steps = [b - a for a, b in zip([0, *palette[:-1]], palette, strict=True)]
+        _put_image(bits, [_join((0 if i else 255, x, x, x)) for i, x in enumerate(steps)], len(palette), False)
+    elif kind in (FROM_LEFT, FROM_TOP):
+        put((1, 1), (PREDICTOR, 2), (7, 3))
+        _put_image(bits, [0xFF000000 | (1 if kind == FROM_LEFT else 2) << 8], 1, False)
+    if kind != PALETTED:
+        put((1, 1), (SUBTRACT_GREEN, 2))
+    put((0, 1), (0, 1), (0, 1))
+    put_lengths(bits, lengths)
+    for only in (0, 0, 0 if kind in (FROM_LEFT, FROM_TOP) else 255):
+        put((1, 1), (0, 1), (1, 1), (only, 8))
+    put_lengths(bits, far)
+    return int.from_bytes(bits.bytes(), "little"), 8 * sum(map(len, bits.done)) + bits.size
+
+
+def _books(counts: np.ndarray, limit: int) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """For each row of counts its code lengths, and tables of codes and their bits (none for a single symbol)."""
+    every, code, bits = [], np.zeros(counts.shape, np.uint64), np.zeros(counts.shape, np.int64)
     for i, row in enumerate(counts.tolist()):
-        head, n, lengths = _head(len(tiles[i]), row)
-        heads.append((head, n))
+        lengths = code_lengths(row, limit)
+        every.append(lengths)
         book = canonical(lengths)
         if len(book) > 1:
             at = list(book)
-            code[i, at], length[i, at] = [c for c, _ in book.values()], [k for _, k in book.values()]
-    bits_head = np.fromiter((n for _, n in heads), np.int64, len(heads))
-    body = (counts * length).sum(1)
+            code[i, at], bits[i, at] = [c for c, _ in book.values()], [k for _, k in book.values()]
+    return every, code, bits
+
+
+def store(payloads: list[bytes]) -> list[bytes]:
+    """The media of payloads whose lengths are positive multiples of 64."""
+    tiles = [p[i : i + TILE] for p in payloads for i in range(0, len(p), TILE)]
+    if not tiles:
+        return []
+    kind, data, size, palettes = _streams(tiles)
+    owner, ends = np.repeat(np.arange(len(tiles)), size), np.cumsum(size)
+    place, length, far = _copies(data, owner, np.where(kind == PALETTED, 0, ends))
+    # Items in order: single samples, and copies where they begin.
+    covered = np.zeros(len(data) + 1, np.int64)
+    np.add.at(covered, place, 1)
+    np.add.at(covered, place + length, -1)
+    single = np.cumsum(covered[:-1]) == 0
+    single[place] = True
+    at = np.flatnonzero(single)
+    where, nth = owner[at], np.searchsorted(at, place)
+    symbol = data[at].astype(np.int64)
+    near = _NEAR_CODE[np.minimum(far, len(_NEAR_CODE) - 1)] * (far < len(_NEAR_CODE))
+    (sym, extra, n_extra), (far_sym, far_extra, far_n) = _prefixes(length), _prefixes(np.where(near > 0, near, far + len(NEAR)))
+    symbol[nth] = 256 + sym
+    lengths, code, bits = _books(np.bincount(where * GREEN + symbol, minlength=GREEN * len(tiles)).reshape(-1, GREEN), LONGEST)
+    far_lengths, far_code, far_bits = _books(np.bincount(where[nth] * DISTANCES + far_sym, minlength=DISTANCES * len(tiles)).reshape(-1, DISTANCES), FAR)
+    value, n = code[where, symbol], bits[where, symbol]
+    mine = where[nth]
+    for part, k in ((extra.astype(np.uint64), n_extra), (far_code[mine, far_sym], far_bits[mine, far_sym]), (far_extra.astype(np.uint64), far_n)):
+        value[nth] |= part << n[nth].astype(np.uint64)
+        n[nth] += k
+    colours = iter(palettes)
+    heads = [_head(len(t), k, next(colours) if k == PALETTED else [], x, y) for t, k, x, y in zip(tiles, kind.tolist(), lengths, far_lengths, strict=True)]
+    bits_head = np.fromiter((k for _, k in heads), np.int64, len(heads))
+    body = np.bincount(where, n, len(tiles)).astype(np.int64)
     total = bits_head + body
     words = (total + 63 >> 6) + 1
     base = (np.cumsum(words) - words) << 6
-    n = length[owner, data].astype(np.int64)
-    value = code[owner, data]
-    ends = np.cumsum(n)
-    at = ends - n + (base + bits_head - np.cumsum(body) + body)[owner]
+    stop = np.cumsum(n)
+    to = stop - n + (base + bits_head - np.cumsum(body) + body)[where]
     out = np.zeros(int(words.sum()), np.uint64)
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    word, shift = to >> 6, (to & 63).astype(np.uint64)
     if len(word):
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         out[word[first]] |= np.bitwise_or.reduceat(value << shift, first)
-        over = np.flatnonzero((at & 63) + n > 64)
+        over = np.flatnonzero((to & 63) + n > 64)
         out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
     raw = bytearray(out.tobytes())
     made: list[bytes] = []
     for i, (head, k) in enumerate(heads):
-        start = int(base[i]) >> 3
-        whole = -(-k // 8)
-        merged = int.from_bytes(raw[start : start + whole], "little") | head
-        raw[start : start + whole] = merged.to_bytes(whole, "little")
-        made.append(_file(bytes(raw[start : start + (int(total[i]) + 7) // 8])))
-    out_media, at_tile = [], 0
+        begin, whole = int(base[i]) >> 3, -(-k // 8)
+        merged = int.from_bytes(raw[begin : begin + whole], "little") | head
+        raw[begin : begin + whole] = merged.to_bytes(whole, "little")
+        made.append(bytes(raw[begin : begin + (int(total[i]) + 7) // 8]))
+    out_media, done = [], 0
     for p in payloads:
         k = -(-len(p) // TILE)
-        out_media.append(b"".join(made[at_tile : at_tile + k]))
-        at_tile += k
+        out_media.append(_file(made[done]) if k == 1 else _animation(made[done : done + k], [len(t) // WIDTH for t in tiles[done : done + k]]))
+        done += k
     return out_media
 
 
-def _tables(chunk: bytes) -> tuple[int, int, np.ndarray, int] | None:
-    """Samples, bit where they begin, decoding table and constant sample of an image of the simple kind; None for others."""
-    bits = BitReader(chunk)
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+
+def _animation(images: list[bytes], heights: list[int]) -> bytes:
+    """One file of several images of the common width, as its frames."""
+    three = lambda x: struct.pack("<I", x)[:3]
+    frames = [_chunk(b"ANMF", three(0) * 2 + three(WIDTH - 1) + three(h - 1) + three(100) + b"\2" + _chunk(b"VP8L", x)) for x, h in zip(images, heights, strict=True)]
+    head = _chunk(b"VP8X", b"\2\0\0\0" + three(WIDTH - 1) + three(max(heights) - 1)) + _chunk(b"ANIM", struct.pack("<IH", 0, 0))
+    body = b"WEBP" + head + b"".join(frames)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def images_of(data: bytes) -> list[bytes]:
+    """The lossless images of a file, in order: one, or an animation's frames."""
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    end = 8 + struct.unpack_from("<I", data, 4)[0]
+    if end > len(data):
+        raise ValueError("the file ends early")
+    out, at = [], 12
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if at + 8 + size > end:
+            raise ValueError("a chunk runs over")
+        if kind == b"VP8L":
+            out.append(data[at + 8 : at + 8 + size])
+        elif kind == b"ANMF":
+            at += 24  # into the frame
+            continue
+        at += 8 + size + (size & 1)
+    if not out:
+        raise ValueError("no lossless image")
+    return out
+
+
+class _Plan:
+    """How an image of the kinds that ``store`` writes is read; see _plan."""
+
+    __slots__ = ("kind", "size", "samples", "table", "at", "green", "far", "width")
+
+
+def _spread(lengths: list[int], depth: int) -> np.ndarray | None:
+    """Symbol | bits << 9 for each ``depth`` bits that may come next; None if a code is longer."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return np.full(1 << depth, used[0][1] if used else 0)
+    n, s = np.array(used).T
+    if n[-1] > depth:
+        return None
+    if (1 << depth - n).sum() != 1 << depth:
+        raise ValueError("not a complete prefix code")
+    return np.repeat(s | n << 9, 1 << depth - n)[_REVERSED if depth == DEPTH else _REVERSED_FAR]
+
+
+def _plan(chunk: bytes) -> _Plan | None:
+    """What _lockstep needs of an image; None if it has transforms, codes or a cache that _lockstep doesn't read."""
+    bits, plan = BitReader(chunk), _Plan()
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless image")
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
-    if bits.read(3) or bits.read(1) or bits.read(1) or bits.read(1):
+    if bits.read(3):
+        raise ValueError("an unknown version")
+    steps, plan.kind, plan.table, plan.width = [], PLAIN, None, width
+    while bits.read(1):
+        steps.append(bits.read(2))
+        if steps[-1] == PALETTE:
+            n = bits.read(8) + 1
+            table = np.array(_read_image(bits, n, 1, False))
+            plan.kind, plan.table, plan.width = PALETTED, np.cumsum(table >> 8 & 255) & 255, (width + (1 << _bundle(n)) - 1) >> _bundle(n)
+        elif steps[-1] == PREDICTOR:
+            block = 2 + bits.read(3)
+            modes = {p >> 8 & 15 for p in _read_image(bits, (width + (1 << block) - 1) >> block, (height + (1 << block) - 1) >> block, False)}
+            if modes not in ({1}, {2}):
+                return None
+            plan.kind = FROM_LEFT if modes == {1} else FROM_TOP
+        elif steps[-1] != SUBTRACT_GREEN:
+            return None
+    if steps not in ([], [SUBTRACT_GREEN], [PALETTE], [PREDICTOR, SUBTRACT_GREEN]) or width != WIDTH or bits.read(1) or bits.read(1):
         return None
-    green = read_lengths(bits, ALPHABET[0])
+    green = read_lengths(bits, GREEN)
     rest = [read_lengths(bits, n) for n in ALPHABET[1:]]
-    if any(green[256:]) or max(green) > DEPTH or any(sum(map(bool, x)) != 1 for x in rest) or not (rest[0][0] and rest[1][0]):
+    if any(sum(map(bool, x)) != 1 for x in rest[:3]):
         return None
-    used = sorted((n, s) for s, n in enumerate(green) if n)
-    if len(used) == 1:
-        return width * height, 0, np.full(1 << DEPTH, used[0][1], np.uint16), 0
-    n, s = np.array(used).T
-    spread = np.repeat(s | n << 8, 1 << DEPTH - n)
-    if len(spread) != 1 << DEPTH:
-        raise ValueError("not a complete prefix code")
-    return width * height, 8 * bits.at - bits.have, spread[_REVERSED].astype(np.uint16), 0
+    plan.green, plan.far = _spread(green, DEPTH), _spread(rest[3], FAR)
+    if plan.green is None or plan.far is None:
+        return None
+    # Two symbols a look-up where both fit: first | second << 9 | samples << 18 | bits << 20; a back-reference has no samples.
+    first, n = plan.green & 511, plan.green >> 9
+    after = plan.green[_PLACES >> n]
+    second, both = after & 511, n + (after >> 9)
+    two = (first < 256) & (second < 256) & (both <= DEPTH)
+    plan.green = (first | second << 9 | np.where(two, 2, first < 256) << 18 | np.where(two, both, n) << 20).astype(np.int32)
+    plan.size, plan.samples, plan.at = plan.width * height, width * height, 8 * bits.at - bits.have
+    return plan
+
+
+def _lockstep(chunks: list[bytes], plans: list[_Plan]) -> list[np.ndarray]:
+    """The green values of images, one look-up of every image at a time; a look-up gives two samples, one, or a back-reference."""
+    count = len(plans)
+    size = np.array([p.size for p in plans])
+    padded = [c + b"\0" * 72 for c in chunks]
+    ends = np.cumsum([len(c) for c in padded])
+    bits = _windows(np.frombuffer(b"".join(padded), np.uint8)).view(np.int64)
+    pos = (ends - np.array([len(c) for c in padded])) * 8 + np.array([p.at for p in plans])
+    room = size + 64
+    begin = np.cumsum(room) - room
+    w, end = begin.copy(), begin + size
+    out = np.zeros(int(room.sum()), np.uint8)
+    table = np.concatenate([p.green for p in plans])
+    far_table, width = np.stack([p.far for p in plans]).ravel(), np.array([p.width for p in plans])
+    nears = {k: _near(k)[0] for k in set(width.tolist()) - {WIDTH}}
+    live = np.flatnonzero(w < end)
+    refs: list[tuple] = []
+    turn = 0
+    while len(live):
+        # An image that is over runs on until the next clearing, into its 64 bytes of room.
+        for _ in range(16):
+            p = pos[live]
+            v = bits[p >> 3] >> (p & 7)
+            e = table[(live << DEPTH) + (v & (1 << DEPTH) - 1)]
+            to, samples, used = w[live], e >> 18 & 3, e >> 20
+            out[to] = e
+            out[to + 1] = e >> 9
+            to += samples
+            back = np.flatnonzero(samples == 0)
+            if len(back):
+                who, k = live[back], used[back]
+                x = v[back] >> k
+                sym = (e[back] & 511) - 256
+                extra = _EXTRA[sym]
+                length = _BASE[sym] + (x & (1 << extra) - 1)
+                x >>= extra
+                f = far_table[(who << FAR) + (x & (1 << FAR) - 1)]
+                far_sym, far_n = f & 511, f >> 9
+                far_extra = _EXTRA[far_sym]
+                far = _BASE[far_sym] + (x >> far_n & (1 << far_extra) - 1)
+                refs.append((who, to[back], length, far))
+                to[back] = np.minimum(to[back] + length, end[who])
+                used[back] = k + extra + far_n + far_extra
+            w[live] = to
+            pos[live] = p + used
+        live = live[w[live] < end[live]]
+        if (pos[live] > ends[live] * 8 - 64).any():
+            raise ValueError("an image ends early")
+    if refs:
+        who, place, length, far = (np.concatenate(x) for x in zip(*refs, strict=True))
+        mine = place < end[who]
+        who, place, length, far = who[mine], place[mine], length[mine], far[mine]
+        near = _NEAR_FAR[np.minimum(far, len(NEAR))]
+        for k, table_of in nears.items():
+            near = np.where(width[who] == k, table_of[np.minimum(far, len(NEAR))], near)
+        far = np.where(far > len(NEAR), far - len(NEAR), near)
+        if ((far > place - begin[who]) | (place + length > end[who])).any():
+            raise ValueError("a back-reference leaves the image")
+        source = np.arange(len(out))
+        spot = np.repeat(place - np.cumsum(length) + length, length) + np.arange(length.sum())
+        source[spot] = spot - np.repeat(far, length)
+        while True:  # a copy of a copy: twice as far each time
+            follow = source[source[spot]]
+            if (follow == source[spot]).all():
+                break
+            source[spot] = follow
+        out[spot] = out[source[spot]]
+    return [out[begin[i] : end[i]] for i in range(count)]
+
+
+def _restored(plan: _Plan, green: np.ndarray) -> np.ndarray:
+    """The samples of an image from its green values: transforms inverted."""
+    if plan.kind == PALETTED:
+        share = _bundle(len(plan.table))
+        index = green[:, None] >> ((8 >> share) * np.arange(1 << share)).astype(np.uint8) & (1 << (8 >> share)) - 1
+        table = np.zeros(256, np.uint8)
+        table[: len(plan.table)] = plan.table
+        return table[index.reshape(-1, plan.width << share)[:, :WIDTH].ravel()]
+    if plan.kind == PLAIN:
+        return green
+    x = green.reshape(-1, WIDTH).copy()
+    if plan.kind == FROM_TOP:
+        x[0] = np.cumsum(x[0], dtype=np.uint8)
+        return np.cumsum(x, 0, dtype=np.uint8).ravel()
+    x[:, 0] = np.cumsum(x[:, 0], dtype=np.uint8)
+    return np.cumsum(x, 1, dtype=np.uint8).ravel()
+
+
+#: Bytes of payload that are written, and of media that are read, at once.
+STORE_SLICE, LOAD_SLICE = 1_000_000, 4_000_000
 
 
 def load(media: list[bytes]) -> list[np.ndarray]:
     """The samples (green channel, in order) of each media value."""
-    owner, chunks = [], []
+    owner, chunks, plans = [], [], []
     for i, m in enumerate(media):
-        at = 0
-        while at < len(m):
-            chunk, size = chunk_of(m[at:] if at else m)
+        for chunk in images_of(m):
             owner.append(i)
             chunks.append(chunk)
-            at += size
-    plain, parts = [], [None] * len(chunks)
-    for k, chunk in enumerate(chunks):
-        simple = _tables(chunk)
-        if simple is None:
-            parts[k] = decode(_file(chunk))[:, :, 1].ravel()
-        else:
-            plain.append((simple[0], k, simple[1], simple[2]))
-    plain.sort(key=lambda x: -x[0])
-    if plain:
-        size = np.array([x[0] for x in plain])
-        bytes_ = [chunks[x[1]] + b"\0" * 8 for x in plain]
-        ends = np.cumsum([len(b) for b in bytes_])
-        buf = np.frombuffer(b"".join(bytes_), np.uint8).astype(np.uint32)
-        window = buf[:-3] | buf[1:-2] << np.uint32(8) | buf[2:-1] << np.uint32(16) | buf[3:] << np.uint32(24)
-        start = ends - np.array([len(b) for b in bytes_])
-        pos = start * 8 + np.array([x[2] for x in plain])
-        table = np.concatenate([x[3] for x in plain])
-        base = np.arange(len(plain)) << DEPTH
-        out = np.zeros((int(size[0]), len(plain)), np.uint8)
-        live = np.searchsorted(-size, -np.arange(size[0]), "left").tolist()
-        mask = np.uint32((1 << DEPTH) - 1)
-        limit = len(window) - 1
-        for step in range(int(size[0])):
-            k = live[step]
-            p = pos[:k]
-            seen = table[base[:k] + (window[np.minimum(p >> 3, limit)] >> (p & 7).astype(np.uint32) & mask)]
-            out[step, :k] = seen
-            p += seen >> 8
-        if (pos > ends * 8 - 64).any():
-            raise ValueError("an image ends early")
-        columns = np.ascontiguousarray(out.T)
-        for i, (n, k, _, _) in enumerate(plain):
-            parts[k] = columns[i, :n]
+            plans.append(_plan(chunk))
+    parts: list = [None] * len(chunks)
+    ready = [k for k, p in enumerate(plans) if p is not None]
+    for k, p in enumerate(plans):
+        if p is None:
+            parts[k] = decode(_file(chunks[k]))[:, :, 1].ravel()
+    for a in range(0, len(ready), 1024):
+        some = ready[a : a + 1024]
+        for k, green in zip(some, _lockstep([chunks[k] for k in some], [plans[k] for k in some]), strict=True):
+            parts[k] = _restored(plans[k], green)
     joined: list[list[np.ndarray]] = [[] for _ in media]
     for i, p in zip(owner, parts, strict=True):
         joined[i].append(p)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint8) for x in joined]
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in joined]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -711,7 +1002,7 @@ def store_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), STORE_SLICE):
                 part = batch.slice(a, b - a)
                 texts = utf8(part.column(1))
                 media = store([x + b"\0" * (-len(x) % 64 if x else 64) for x in texts])
@@ -731,7 +1022,7 @@ def read_documents(stored: DataFrame, *, with_samples: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for a, b in slices(batch.column(2)):
+            for a, b in slices(batch.column(2), LOAD_SLICE):
                 part = batch.slice(a, b - a)
                 media = part.column(2).to_pylist()
                 got = load(media)
