@@ -29,6 +29,20 @@ def test_ids_equal_the_library(library, kind):
             at += n
 
 
+def test_other_vocabularies():
+    """One with a normaliser and another rule for pre-tokens: texts go to the library whole, and the trie refuses it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other, coder = Tokenizer.from_file(path), tokens.Encoder(tokens.vocabulary(path=path))
+    texts = ["Hello  World, it's 2024!", "ÉCOLE\n\tx", "", "don't <|endoftext|> stop"]
+    ids, counts = coder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in other.encode(t, add_special_tokens=False).ids] and len(counts) == 4
+    with pytest.raises(ValueError):
+        bpe_trie.TrieEncoder(tokens.vocabulary(path=path))
+
+
 def test_trie_on_vocabulary_and_random_bytes(library):
     vocab = bpe_trie.Vocabulary(tokens.vocabulary())
     r = random.Random(1)

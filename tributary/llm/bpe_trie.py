@@ -136,9 +136,15 @@ def _vocabulary(source: str) -> Vocabulary:
 
 
 class TrieEncoder(Encoder):
-    """As Encoder, with encodings by the trie; the library only splits texts with unusual characters into pre-tokens."""
+    """As Encoder, with encodings by the trie; the library only splits texts with unusual characters into pre-tokens.
+
+    For byte-level vocabularies without a normaliser and without marks at the ends of words; others are refused."""
 
     def __init__(self, vocab: str, cache_bytes: int = 100_000_000):
+        spec = json.loads(vocab)
+        model = spec["model"]
+        if model.get("type") != "BPE" or spec.get("normalizer") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or "ByteLevel" not in json.dumps(spec.get("pre_tokenizer")):
+            raise ValueError("not a byte-level BPE vocabulary without a normaliser")
         self.vocab = _vocabulary(vocab)
         super().__init__(vocab, cache_bytes)
 

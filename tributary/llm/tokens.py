@@ -3,7 +3,8 @@
 A byte-level BPE encodes each pre-token on its own.  Texts are split into pre-tokens by vector operations on their bytes,
 Arrow numbers the distinct ones of a slice, and the library is asked once for each that is not in the cache; a text's ids are
 then gathered by number.  Texts with characters outside a range in which Unicode classes have long been stable, or with a
-special token's string, are given to the library whole; both ways give the library's own ids.
+special token's string, and all texts if the vocabulary has another rule for pre-tokens or a normaliser, are given to the library
+whole; both ways give the library's own ids.
 """
 
 from __future__ import annotations
@@ -89,7 +90,11 @@ class Encoder:
         self.library = Tokenizer.from_str(vocab)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [x["content"] for x in json.loads(vocab).get("added_tokens", [])]
+        spec = json.loads(vocab)
+        added = [x["content"] for x in spec.get("added_tokens", [])]
+        # ``boundaries`` knows one rule; texts of vocabularies with another one go to the library whole.
+        rule = spec.get("pre_tokenizer") or {}
+        self.own_rule = not spec.get("normalizer") and rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space") and rule.get("use_regex", True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
@@ -161,7 +166,7 @@ class Encoder:
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers in the cache of the pre-tokens of all texts, and how many each text has."""
-        odd = {i: self._whole(x) for i, x in enumerate(texts) if x and (not STABLE.fullmatch(x) or self.special and self.special.search(x))}
+        odd = {i: self._whole(x) for i, x in enumerate(texts) if x and (not self.own_rule or not STABLE.fullmatch(x) or self.special and self.special.search(x))}
         data = "\0".join(["" if x is None or i in odd else x for i, x in enumerate(texts)] + [""]).encode()
         buf = np.frombuffer(data, np.uint8)
         starts = boundaries(buf) if len(buf) else np.zeros(0, np.int64)
