@@ -52,6 +52,24 @@ def test_written_tables_can_be_forgotten(spark):
     assert not os.path.exists(place)
 
 
+def test_tables_on_the_way_are_removed(spark):
+    import os
+
+    from tributary.session import drop, settled, written
+
+    inner = []
+
+    def make():
+        inner.append(written(spark.range(4), "x"))
+        return inner[0].where("id > 1")
+
+    out = settled(spark, make, "y")
+    places = [df.inputFiles()[0].removeprefix("file://") for df in (inner[0], out)]
+    assert out.count() == 2 and [os.path.exists(p) for p in places] == [False, True]
+    drop(out)
+    assert not os.path.exists(places[1])
+
+
 def test_components_against_union_find(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 200), r.randint(0, 200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)]

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +51,13 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tributary/{spark.sparkContext.applicationId}"
 
 
+#: Where tables that ``settled`` removes lie below the application's folder.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
 
 
 #: Spark removes the shuffle files of a write when it is over; else they stay until the driver collects its garbage.
@@ -78,10 +84,33 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``make``, written; the tables that it wrote on its way are removed."""
+    inner = f"{_SCOPE.get()}/{name}-{uuid.uuid4().hex}"
+    token = _SCOPE.set(inner)
+    try:
+        df = make()
+    finally:
+        _SCOPE.reset(token)
+    out = written(df, name)
+    _remove(spark, _own_dir(spark) + inner)
+    return out
+
+
+def _remove(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a written table; results that still read it are void."""
+    for place in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, place)
+
+
 def forget(spark: SparkSession) -> None:
     """Remove all tables that this application has written with ``written``; results that still read them are void."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, _own_dir(spark))
 
 
 def ship(spark: SparkSession) -> None:
