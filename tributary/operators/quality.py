@@ -18,6 +18,12 @@ from .dedup import latest_amendment, positional_percentile, topk_per_group
 PROVINCES = ("AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT")
 TYPES = ("C", "G", "O")
 POLICY_DATE = "2025-12-01"
+#: Columns that are mandatory always, and from the policy's day on.
+ALWAYS = ("ref_number", "recipient_legal_name", "recipient_country", "recipient_city", "agreement_value", "agreement_type", "agreement_start_date", "description_en", "description_fr")
+FROM_POLICY = (
+    "recipient_type", "recipient_business_number", "recipient_postal_code", "federal_riding_number", "prog_name_en", "prog_name_fr", "prog_purpose_en", "prog_purpose_fr", "agreement_title_en",
+    "agreement_title_fr", "agreement_end_date", "expected_results_en", "expected_results_fr",
+)
 #: What a spreadsheet writes for an empty date.
 SPREADSHEET_NULL = "1899-12-30"
 
@@ -63,6 +69,14 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return one.select(F.explode(parts).alias("p"), "__n").select("p.*", F.try_divide(100.0 * F.col("p.filled"), F.col("__n")).alias("pct_filled"))
 
 
+def field_completeness(raw: DataFrame) -> DataFrame:
+    """completeness of all columns, with whether each is mandatory, conditional (mandatory from the policy's day on) or other; a
+    mandatory or conditional one that the table lacks is missing throughout."""
+    lacking = [c for c in (*ALWAYS, *FROM_POLICY) if c not in raw.columns]
+    every = completeness(raw.withColumns({c: F.lit(None).cast("string") for c in lacking}) if lacking else raw)
+    return every.withColumn("requirement", F.when(F.col("column").isin(*ALWAYS), "mandatory").when(F.col("column").isin(*FROM_POLICY), "conditional").otherwise("other"))
+
+
 def value_counts(df: DataFrame, column: str, top: int | None = None, where: Column | None = None) -> DataFrame:
     """How often each value occurs, null and blank together; the most frequent first, then by value."""
     rows = df if where is None else df.where(where)
@@ -168,6 +182,26 @@ def specimens(raw: DataFrame, condition: Column, order: Sequence[Column], n: int
     return flags(parse_agreements(latest(raw))).where(condition).orderBy(*order).limit(n)
 
 
+def specimen_jar(raw: DataFrame) -> DataFrame:
+    """Latest: the first few specimens of nine faults: category, dept, ref, recipient, value, note."""
+    p = flags(parse_agreements(latest(raw)))
+    v, ref = F.col("value"), F.col("ref").asc()
+    most, least = [v.desc_nulls_last(), ref], [v.asc_nulls_last(), ref]
+    each = lambda by: topk_per_group(p.where(F.col("baddate") & F.col("sd_raw").isNotNull()) if by == "sd_raw" else p.where("badprov"), [by], [F.coalesce(v, F.lit(0)).desc(), ref], 1)
+    start = F.substring(F.coalesce("desc_en", F.lit("")), 1, 90)
+    jar = (
+        ("nodesc", p.where((v > 10_000_000) & (F.col("desc_en").isNull() | (F.length("desc_en") < 15))), most, 4, F.coalesce("desc_en", F.lit("(no description at all)"))), ("neg", p.where(v < 0), least, 3, start),
+        ("dates", each("sd_raw"), [F.col("sd").asc(), ref], 4, F.col("sd_raw")), ("geo", each("prov"), [F.coalesce(v, F.lit(0)).desc(), ref], 4, F.concat(F.lit("province: '"), "prov", F.lit("'"))), ("batch", p.where(F.col("recipient").ilike("%batch report%")), most, 4, F.lit("")),
+        ("amend", p, [F.col("amendment").desc(), ref], 4, F.concat(F.col("amendment").cast("string"), F.lit(" amendments"))), ("placeholder", p.where(F.col("ed_raw").like("9999%")), most, 4, F.col("sd_raw")), ("nominal", p.where((v > 0) & (v < 10)), least, 4, start),
+        ("punct", p.where(F.col("desc_en").rlike("^[^a-zA-Z0-9]+$")), most, 4, F.col("desc_en")),
+    )
+    out = None
+    for name, rows, order, n, note in jar:
+        part = rows.orderBy(*order).limit(n).select(F.lit(name).alias("category"), "dept", "ref", "recipient", "value", note.alias("note"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def dashboard(raw: DataFrame) -> dict[str, DataFrame]:
     """Latest: hero totals, series by fiscal year, departments, facts, the biggest and the most amended."""
     p, every = flags(parse_agreements(latest(raw))), parse_agreements(raw)
@@ -187,6 +221,11 @@ def evidence_rows(classified: DataFrame, category: str, cap: int = 50) -> DataFr
     return classified.where(F.col("category") == category).groupBy("recipient").agg(F.sum("amount").alias("dollars"), F.count("*").alias("n")).orderBy(F.desc("dollars"), "recipient").limit(cap)
 
 
+def qualifying(evidence: DataFrame) -> DataFrame:
+    """Interventions (intervention_id, status) that get a page: those with any entry that is not unverified."""
+    return evidence.groupBy("intervention_id").agg(F.bool_or(~F.startswith(F.trim("status"), F.lit("unverified"))).alias("ok")).where("ok").select("intervention_id")
+
+
 def markdown(df: DataFrame, limit: int = 100) -> str:
     """A small result as a Markdown table."""
     rows = df.limit(limit).collect()

@@ -106,6 +106,23 @@ def link_variants(links: DataFrame) -> DataFrame:
     return links.groupBy("entity_id", "source_dataset", "raw_name", "match_method").agg(F.count("*").alias("n"), F.max("match_score").alias("match_score"))
 
 
+def grants_by_direction(grants: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every grant under both of its entities: entity_id, direction (received or given), the other side's id and name, and the grant."""
+    sides = F.array(
+        F.struct(F.col("recipient_entity_id").alias("entity_id"), F.lit("received").alias("direction"), F.col("funder_entity_id").alias("other_entity_id")),
+        F.struct(F.col("funder_entity_id").alias("entity_id"), F.lit("given").alias("direction"), F.col("recipient_entity_id").alias("other_entity_id")),
+    )
+    each = grants.withColumn("__s", F.explode(sides)).select("__s.*", *[c for c in grants.columns if c not in ("funder_entity_id", "recipient_entity_id")])
+    return each.join(entities.select(F.col("entity_id").alias("other_entity_id"), F.col("canonical_name").alias("other_name")), "other_entity_id")
+
+
+def profiles(entities: DataFrame, roles: DataFrame, financials: DataFrame) -> DataFrame:
+    """What a page's head shows of every entity: itself, its role ("no_flows" without grants) and its latest financials."""
+    out = entities.join(roles.select("entity_id", "total_given", "total_received", "role"), "entity_id", "left").join(financials.drop("bn_root"), "entity_id", "left")
+    zero = F.lit(0.0)
+    return out.withColumns({"total_given": F.coalesce("total_given", zero), "total_received": F.coalesce("total_received", zero), "role": F.coalesce("role", F.lit("no_flows"))})
+
+
 def timeline(grants: DataFrame, financials: DataFrame) -> DataFrame:
     """entity_id, fiscal_year, received, given, declared and identified government and foundation money, over the union of years."""
     received = grants.groupBy(F.col("recipient_entity_id").alias("entity_id"), "fiscal_year").agg(F.sum("amount_cad").alias("received"), F.sum(F.when(F.col("source_dataset").isin("federal_gc", "canada_council", "otf"), F.col("amount_cad"))).alias("gov_identified"), F.sum(F.when(F.col("source_dataset") == "t3010_qualified_donee", F.col("amount_cad"))).alias("foundation_identified"))

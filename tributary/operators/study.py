@@ -13,8 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import pct_change
-from .dedup import topk_per_group
+from ..functions.expr import money, normalize_bn, pct_change
+from .dedup import latest_by, topk_per_group
 
 WINDOW, MIN_OBS, MAX_CONTROLS, WINSOR = 3, 2, 5, 0.01
 
@@ -27,6 +27,17 @@ def yearly_receipts(grants: DataFrame, entities: DataFrame, sources: Sequence[st
     return rows.join(own, "recipient_entity_id").groupBy("bn_root", "fiscal_year").agg(F.sum("amount_cad").alias("amount"))
 
 
+def donations_panel(filings: DataFrame) -> DataFrame:
+    """Donations (line 4500) by number and year, of the latest filing of each year: bn_root, fiscal_year, donations."""
+    rows = filings.select(normalize_bn(F.col("BN")).alias("bn_root"), F.year(F.col("FPE").try_cast("date")).alias("fiscal_year"), money(F.col("4500")).alias("donations"), "source_year", "BN").where("bn_root is not null and fiscal_year is not null")
+    return latest_by(rows, ["bn_root", "fiscal_year"], [F.col("source_year").desc_nulls_last(), F.col("BN").asc(), F.col("donations").desc_nulls_last()]).select("bn_root", "fiscal_year", "donations")
+
+
+def unit_provinces(entities: DataFrame) -> DataFrame:
+    """One province for each number, that of its lowest entity, so that units aren't multiplied."""
+    return latest_by(entities.where("bn_root is not null"), ["bn_root"], [F.col("entity_id").asc()]).select("bn_root", "province")
+
+
 def treatment_events(receipts: DataFrame, threshold: float, years: Sequence[int]) -> DataFrame:
     """Units whose first year with receipts is one of these years and reaches the threshold: bn_root, Y."""
     first = receipts.groupBy("bn_root").agg(F.min_by("amount", "fiscal_year").alias("amount"), F.min("fiscal_year").alias("Y"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,3 +199,65 @@ def federal_records(t: Tables) -> DataFrame:
     rows = resolve.federal_records(_raw(t).withColumn("row_ord", F.lit(0)))
     out = rows.groupBy("funder_key", F.split_part("source_ref", F.lit("|"), F.lit(2)).alias("reference"), F.nullif(F.trim("name"), F.lit("")).alias("name"), "province")
     return out.agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("amount_cad"), F.lit(0.0)), 2).alias("amount"), F.count_if("allow_fuzzy").alias("fuzzy"))
+
+
+#: The agreements with more kinds of faults: values, recipients, end dates and descriptions by key.
+_ODD = _RAW.replace("raw AS (SELECT ' '", "raw0 AS (SELECT ' '").replace(
+    "\np AS (SELECT trim",
+    """
+raw AS (SELECT * REPLACE (CASE WHEN k % 61 = 0 THEN '-' || (k % 1000 + 1) WHEN k % 67 = 0 THEN '3.50' WHEN k % 71 = 0 THEN '20,000,' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') ELSE agreement_value END AS agreement_value,
+  CASE WHEN k % 73 = 0 THEN 'Batch Report | en lots' ELSE recipient_legal_name END AS recipient_legal_name, CASE WHEN k % 83 = 0 THEN ' ;- ' ELSE description_en END AS description_en), CASE WHEN k % 79 = 0 THEN '9999-12-31' END AS ed FROM raw0),
+p AS (SELECT trim""",
+)
+
+
+def _odd(t: Tables) -> DataFrame:
+    k = F.split_part("ref_number", F.lit("-"), F.lit(2)).cast("long")
+    value = F.when(k % 61 == 0, F.concat(F.lit("-"), (k % 1000 + 1).cast("string"))).when(k % 67 == 0, "3.50").when(k % 71 == 0, F.concat(F.lit("20,000,"), F.lpad((k % 1000).cast("string"), 3, "0"))).otherwise(F.col("agreement_value"))
+    return _raw(t).withColumns({
+        "agreement_value": value, "recipient_legal_name": F.when(k % 73 == 0, "Batch Report | en lots").otherwise(F.col("recipient_legal_name")), "description_en": F.when(k % 83 == 0, " ;- ").otherwise(F.col("description_en")),
+        "agreement_end_date": F.when(k % 79 == 0, "9999-12-31"),
+    })
+
+
+@query(f"""WITH {_ODD}, l AS (SELECT latest.*, raw.ed FROM latest JOIN raw USING (k, a)),
+d AS (SELECT *, row_number() OVER (PARTITION BY sd_raw ORDER BY coalesce(value, 0) DESC, ref) AS rn FROM l WHERE baddate AND sd_raw IS NOT NULL), g AS (SELECT *, row_number() OVER (PARTITION BY prov ORDER BY coalesce(value, 0) DESC, ref) AS rn FROM l WHERE badprov)
+SELECT category, dept, ref, recipient, CAST(value AS DOUBLE) AS value, note FROM (
+  (SELECT 'nodesc' AS category, dept, ref, recipient, value, coalesce(desc_en, '(no description at all)') AS note FROM l WHERE value > 10000000 AND (desc_en IS NULL OR length(desc_en) < 15) ORDER BY value DESC, ref LIMIT 4)
+  UNION ALL (SELECT 'neg', dept, ref, recipient, value, substr(coalesce(desc_en, ''), 1, 90) FROM l WHERE value < 0 ORDER BY value, ref LIMIT 3)
+  UNION ALL (SELECT 'dates', dept, ref, recipient, value, sd_raw FROM d WHERE rn = 1 ORDER BY sd, ref LIMIT 4)
+  UNION ALL (SELECT 'geo', dept, ref, recipient, value, 'province: ''' || prov || '''' FROM g WHERE rn = 1 ORDER BY coalesce(value, 0) DESC, ref LIMIT 4)
+  UNION ALL (SELECT 'batch', dept, ref, recipient, value, '' FROM l WHERE recipient ILIKE '%batch report%' ORDER BY value DESC NULLS LAST, ref LIMIT 4)
+  UNION ALL (SELECT 'amend', dept, ref, recipient, value, a || ' amendments' FROM l ORDER BY a DESC, ref LIMIT 4)
+  UNION ALL (SELECT 'placeholder', dept, ref, recipient, value, sd_raw FROM l WHERE ed LIKE '9999%' ORDER BY value DESC NULLS LAST, ref LIMIT 4)
+  UNION ALL (SELECT 'nominal', dept, ref, recipient, value, substr(coalesce(desc_en, ''), 1, 90) FROM l WHERE value > 0 AND value < 10 ORDER BY value, ref LIMIT 4)
+  UNION ALL (SELECT 'punct', dept, ref, recipient, value, desc_en FROM l WHERE regexp_matches(desc_en, '^[^a-zA-Z0-9]+$') ORDER BY value DESC NULLS LAST, ref LIMIT 4))""")
+def specimen_jar(t: Tables) -> DataFrame:
+    return doubles(quality.specimen_jar(_odd(t)), "value")
+
+
+@query(_LATEST + """, m AS (SELECT count(*) AS n, count(*) FILTER (trim(coalesce(recipient_legal_name, '')) = '') AS a, count(*) FILTER (recipient_business_number IS NULL) AS b, count(*) FILTER (amendment_number = '') AS c FROM raw)
+SELECT 'recipient_legal_name' AS "column", 'mandatory' AS requirement, a AS missing FROM m UNION ALL SELECT 'recipient_business_number', 'conditional', b FROM m UNION ALL SELECT 'amendment_number', 'other', c FROM m UNION ALL SELECT 'prog_purpose_fr', 'conditional', n FROM m""")
+def field_completeness(t: Tables) -> DataFrame:
+    out = quality.field_completeness(_raw(t))
+    return out.where(F.col("column").isin("recipient_legal_name", "recipient_business_number", "amendment_number", "prog_purpose_fr")).select("column", "requirement", "missing")
+
+
+def evidence_entries(t: Tables) -> DataFrame:
+    """Evidence entries of a YAML page (one for each region), their statuses, and whether they earn a page."""
+    lines = []
+    for r in sorted(t.region.collect()):  # a page
+        k = r["r_regionkey"]
+        status = ("verified_2024-01-02", "unverified", "editorial")[k % 3]
+        comment = f"  # seen {k}" if k % 2 == 0 else ""
+        lines.append(f"- id: {k}\n  name: {r['r_name']}\n  evidence:\n    - source: s{k}\n      status: {status}{comment}\n")
+    found = readers.interventions(t.spark, "".join(lines))
+    kinds = [(s, *readers.parse_status(s)) for (s,) in found.select("status").distinct().collect()]  # a few
+    parsed = found.join(readers.inline(t.spark, kinds, "status string, kind string, day string"), "status")
+    pages = quality.qualifying(found).withColumn("page", F.lit(True))
+    return parsed.join(pages, "intervention_id", "left").select("intervention_id", "name", "source", "kind", "day", "comment", F.coalesce("page", F.lit(False)).alias("page"))
+
+
+if find_spec("yaml"):
+    query("""SELECT CAST(r_regionkey AS VARCHAR) AS intervention_id, r_name AS name, 's' || r_regionkey AS source, CASE r_regionkey % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unverified' ELSE 'editorial' END AS kind, CASE WHEN r_regionkey % 3 = 0 THEN '2024-01-02' END AS day,
+  CASE WHEN r_regionkey % 2 = 0 THEN 'seen ' || r_regionkey END AS comment, r_regionkey % 3 <> 1 AS page FROM region""")(evidence_entries)

@@ -362,3 +362,61 @@ def sankey_layout(t: Tables) -> DataFrame:
 def largest_edges(t: Tables) -> DataFrame:
     d = t.flows().groupBy(F.col("funder").alias("intermediary_bn_root"), F.col("recipient")).agg(F.sum("amount").cast("double").alias("hop2_amount")).withColumn("donee_raw_name", F.col("recipient").cast("string"))
     return flow.largest_edges(d).select(F.col("intermediary_bn_root").alias("funder"), "recipient", F.round("hop2_amount", 2).alias("v"))
+
+
+_FILINGS = """l AS (SELECT o_custkey AS k, year(o_orderdate) AS y, CAST(o_totalprice AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey % 4 DESC, o_orderkey % 10000, o_totalprice DESC) AS rn FROM orders)"""
+
+
+@query(f"WITH {_FILINGS} SELECT lpad(CAST(k AS VARCHAR), 9, '0') AS bn_root, CAST(y AS BIGINT) AS fiscal_year, CAST(v AS DOUBLE) AS donations FROM l WHERE rn = 1")
+def donations_panel(t: Tables) -> DataFrame:
+    filings = t.orders.select(F.concat(F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("RR"), F.lpad((F.col("o_orderkey") % 10_000).cast("string"), 4, "0")).alias("BN"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("FPE"), money(F.col("o_totalprice")).cast("string").alias("4500"), (F.col("o_orderkey") % 4 + 2000).alias("source_year"))
+    return longs(study.donations_panel(filings), "fiscal_year")
+
+
+@query("""SELECT lpad(CAST(c_custkey % 400 AS VARCHAR), 9, '0') AS bn_root, arg_min('P' || c_nationkey, c_custkey) AS province FROM customer GROUP BY 1""")
+def unit_provinces(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    return study.unit_provinces(t.customer.select(k.alias("entity_id"), F.lpad((k % 400).cast("string"), 9, "0").alias("bn_root"), F.concat(F.lit("P"), F.col("c_nationkey").cast("string")).alias("province")))
+
+
+@query(f"""WITH {FLOWS}, {_ENT}, g AS (SELECT recipient + 100 AS entity_id, 'received' AS direction, funder AS other, source, amount FROM flows UNION ALL SELECT funder, 'given', recipient + 100, source, amount FROM flows)
+SELECT g.entity_id, direction, canonical_name AS other_name, source AS source_dataset, count(*) AS n, round(CAST(sum(amount) AS DOUBLE), 2) AS amount FROM g JOIN ent ON ent.entity_id = other GROUP BY 1, 2, 3, 4""")
+def grants_by_direction(t: Tables) -> DataFrame:
+    out = search.grants_by_direction(_grants(t), _entities(t))
+    return out.groupBy("entity_id", "direction", "other_name", "source_dataset").agg(F.count("*").alias("n"), F.round(F.sum("amount_cad"), 2).alias("amount"))
+
+
+@query(f"""WITH {_ROLES}, {_ENT}, fin AS (SELECT c_nationkey + 100 AS entity_id, sum(CAST(c_acctbal AS DECIMAL(18,2))) AS v FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1)
+SELECT ent.entity_id, canonical_name, round(coalesce(total_given, 0), 2) AS total_given, CASE WHEN roles.entity_id IS NULL THEN 'no_flows' WHEN total_given / (total_given + total_received) >= 0.9 THEN 'primarily_funder' WHEN total_given / (total_given + total_received) <= 0.1 THEN 'primarily_recipient' ELSE 'dual_role' END AS role, CAST(v AS DOUBLE) AS total_revenue
+FROM ent LEFT JOIN roles ON roles.entity_id = ent.entity_id LEFT JOIN fin ON fin.entity_id = ent.entity_id""")
+def entity_profiles(t: Tables) -> DataFrame:
+    n = F.col("c_nationkey")
+    fin = t.customer.groupBy(F.when(n % 2 == 0, n + 100).alias("entity_id")).agg(F.sum(money(F.col("c_acctbal"))).cast("double").alias("total_revenue"))
+    return search.profiles(_entities(t), _roles(t), fin).select("entity_id", "canonical_name", F.round("total_given", 2).alias("total_given"), "role", "total_revenue")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN '12345' WHEN 2 THEN 'abc' ELSE '' END AS bn FROM customer),
+known AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 4 = 0 AND c_custkey IN (SELECT s_suppkey FROM supplier))
+SELECT 'match_method' AS metric, 'exact_bn' AS "key", n FROM known WHERE n > 0 UNION ALL SELECT 'match_method', 'unmatched_new', (SELECT count(*) FROM customer) - n FROM known UNION ALL SELECT 'digit_gate_reject', 'all', 0
+UNION ALL SELECT 'bn_reject', CASE bn WHEN '12345' THEN '5 digits' ELSE 'non-numeric' END, count(*) FROM r WHERE bn IN ('12345', 'abc') GROUP BY 2""")
+def resolution_metrics(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    s = t.supplier
+    idents = s.select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("bn"), F.col("s_name").alias("name"), F.lit("c").alias("city"), F.lit("ON").alias("province"), F.lit(2020).alias("source_year"), F.col("s_suppkey").alias("ord"))
+    # Numbers of nine digits that no supplier has are each of one record, so that they make entities and match none.
+    number = F.when(k % 4 == 0, F.lpad(k.cast("string"), 9, "0")).when(k % 4 == 1, "12345").when(k % 4 == 2, "abc").otherwise(" ")
+    records = t.customer.select(k.alias("ord"), F.lit("s").alias("source_dataset"), F.concat(F.lit("Club "), k.cast("string")).alias("name"), number.alias("bn"), F.lit("ON").alias("province"), F.lit(False).alias("allow_fuzzy"))
+    return resolve.resolve(idents, t.nation.select(F.col("n_name").alias("code"), F.col("n_name").alias("title")), records).metrics
+
+
+@query(f"""WITH {_MATCHED} SELECT 'treated' AS arm, count(*) AS n FROM tr UNION ALL SELECT 'control', count(*) FROM matches""")
+def saved_panel(t: Tables) -> DataFrame:
+    """The study's table, written and read back."""
+    from ..session import scratch
+    from ..sources import readers, sinks
+
+    treated, controls = _cohorts(t)
+    stats = study.window_stats(treated.select("bn_root", "Y"), t.donations())
+    path = scratch(t.spark, "study-panel")
+    sinks.save_table(study.panel(treated, study.match_controls(treated, controls), controls, stats, treated.limit(0).select("bn_root", "Y")), path, ["arm"])
+    return readers.curated(t.spark, path).groupBy("arm").agg(F.count("*").alias("n"))
