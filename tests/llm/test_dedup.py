@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import texts_of
+from tests.llm.conftest import OTHER, SHARED, THIRD, texts_of
 from tributary.llm import cdc, probminhash, queries
 
 
@@ -47,7 +47,9 @@ def brute_classes(docs: dict[int, str], least: float = 0.8) -> dict[int, int]:
     return {k: find(k) for k in docs}
 
 
-def test_classes_equal_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_classes_equal_brute_force(spark, sf):
+    sf_dir = f"/root/testdata/sf{sf}"
     docs = dict(texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     assert {r.doc_id: r.class_id for r in queries.op7_probminhash_classes(spark, sf_dir).collect()} == brute_classes(docs)
 
@@ -73,10 +75,11 @@ def test_a_group_that_only_chains_hold_together(spark):
 
 def test_odd_documents_have_classes(odd_documents, no_documents):
     got = sorted(tuple(r) for r in probminhash.classes(odd_documents).select("doc_id", "class_id").distinct().collect())
-    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (8, 8), (9, 9)]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (8, 8), (9, 9), (11, 11), (12, 12), (13, 13)]
     kept = probminhash.keep_one(odd_documents)
     assert kept.columns == odd_documents.columns
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), *((True, i) for i in (1, 2, 3, 4, 5, 8, 9))]
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), *((True, i) for i in (1, 2, 3, 4, 5, 8, 9, 11, 11, 12, 13))]
+    assert {r.text for r in kept.where("doc_id = 11").collect()} == {SHARED, OTHER}
     assert probminhash.classes(no_documents).count() == 0 and probminhash.keep_one(no_documents).count() == 0
 
 
@@ -89,7 +92,7 @@ def test_large_buckets_are_compared_exactly(spark):
         own = [f"w{i}x{j}" for j in range(60)]
         docs[i], docs[i + 1] = " ".join(common + own), " ".join(common + own[: r.randint(52, 58)])
     df = spark.createDataFrame(list(docs.items()), "rep long, text string")
-    sets = probminhash._sets(df.withColumnRenamed("rep", "doc_id")).cache()
+    sets = probminhash._sets(df).cache()
     members = df.select(F.lit(1).alias("key"), "rep", F.size(F.split("text", " ")).cast("long").alias("n"), F.col("rep").alias("comp")).select("key", "rep", (F.col("n") - 4).alias("size"), "comp")
     got = {tuple(sorted(x)) for x in probminhash._rest(members, sets, 0.8, limit=10).collect()}
     assert got == {(i, i + 1) for i in range(0, 60, 2)}
@@ -122,7 +125,7 @@ def test_band_recall_with_repeated_lines(spark):
         docs[i], docs[i + 1] = " ".join(base + line * 50), " ".join(some(5) + base[5:] + line)
         a, b = shingle_set(docs[i]), shingle_set(docs[i + 1])
         assert 0.8 <= len(a & b) / len(a | b) < 0.9
-    keys = {x.doc_id: set(x.bands) for x in probminhash._scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    keys = {x.doc_id: set(x.bands) for x in probminhash._scan(probminhash._source(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", "text")).collect()}
     assert sum(not keys[i] & keys[i + 1] for i in range(0, 600, 2)) <= 2
 
 
@@ -141,7 +144,7 @@ def test_repeated_passages_are_found_and_others_left(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
     got = cdc.repeated_passages(df).collect()
     assert {x.doc_id for x in got} == planted
-    assert all(x.removed_words == (0 if x.doc_id % 2 == 0 else x.words) and x.words >= 20 for x in got)
+    assert all(x.removed_words == (0 if x.doc_id % 2 == 0 else x.words) for x in got)
     left = dict(texts_of(cdc.dedup(df)))
     assert all(left[k] == v for k, v in docs.items() if k not in planted or k % 2 == 0)
     for k in range(1, 80, 2):
@@ -192,6 +195,9 @@ def test_odd_documents_are_deduplicated(odd_documents, no_documents):
     assert got.columns == odd_documents.columns and got.schema["text"].dataType == odd_documents.schema["text"].dataType
     ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in got.collect())
     assert ids == sorted((r.doc_id is not None, r.doc_id or 0) for r in odd_documents.collect())
+    assert {r.text for r in got.where("doc_id = 11").collect()} == {SHARED, OTHER}
+    cut = got.where("doc_id = 12").first().text
+    assert cut.startswith("autre0 ") and len(cut) < len(THIRD) - 150 and set(cut.split()) <= set(THIRD.split())
     long = [r.text for r in got.where("doc_id = 5").collect()][0]
     assert long.endswith("fin") and len(long) < 54_000
     assert cdc.dedup(no_documents).count() == 0 and cdc.repeated_passages(no_documents).count() == 0
@@ -211,3 +217,30 @@ def test_hot_groups(spark, share):
     got = probminhash.classes(df).groupBy("class_id").count().orderBy(F.desc("count")).limit(2).collect()
     assert [r["count"] for r in got] == [int(n * share), 1]
     assert cdc.dedup(df).count() == n - int(n * share) + 1
+
+
+def test_a_lone_text_under_a_shared_id_is_left_alone(spark):
+    """Places found in one text never cut another text of the same doc_id."""
+    r = random.Random(3)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, alone = some(60), some(90)
+    df = spark.createDataFrame([(1, passage + " " + some(9)), (2, some(20) + " " + passage), (2, alone), (2, "é" * 50 + alone[:40])], "doc_id long, text string")
+    left = [x.text for x in cdc.dedup(df).where("doc_id = 2").collect()]
+    assert alone in left and "é" * 50 + alone[:40] in left and len(left) == 3 and min(map(len, left)) < 300
+
+
+def test_reported_passages_do_repeat(spark, sf_dir):
+    """Every reported passage's inner words occur in another text too, or twice in its own."""
+    docs = dict(texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    seen = defaultdict(int)
+    for v in docs.values():
+        w = v.split()
+        for i in range(len(w) - 4):
+            seen[tuple(w[i : i + 5])] += 1
+    wrong = []
+    for x in cdc.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect():
+        w = docs[x.doc_id].encode()[x.start : x.end].decode().split()
+        assert len(w) == x.words
+        if len(w) >= 9:
+            wrong.append(sum(seen[tuple(w[i : i + 5])] > 1 for i in range(len(w) - 4)) < 0.5 * (len(w) - 4))
+    assert wrong and sum(wrong) <= 0.02 * len(wrong)

@@ -5,19 +5,20 @@
    a random register, a register keeps its first arrival's element, and an element stops once its next arrival is later than
    the last register's first one.  Registers of two texts agree with the probability Jaccard similarity, which is the plain
    one of the sets for weights of 1.
-2. Equal texts are collapsed by digest; the rest goes on over distinct texts.
+2. Equal texts are collapsed by digest; the rest goes on over distinct texts, each known by a 64-bit hash (its node).
 3. ``BANDS`` bands of ``ROWS`` registers: texts of similarity 0.8 share a bucket with probability 0.9999.
-4. Verification by the exact Jaccard similarity of shingle sets.  Rounds: every text of a bucket is held against the bucket's
-   pivot (a random member, another one each round) unless both are connected already.  Buckets that still hold several components
-   after these rounds are finished exactly: the texts outside the bucket's largest component are held against all of its texts
+4. Verification by the exact Jaccard similarity of shingle sets (of 48-bit hashes).  Rounds: every text of a bucket is held against
+   the bucket's pivot (a random member, another one each round) unless both are connected already.  Buckets that still hold several
+   components are finished exactly: the texts outside the bucket's largest component are held against all of its texts
    in blocks of about ``BLOCK`` x ``BLOCK``, and a block gives links of a forest, not pairs.  Texts of buckets of more than
    ``LIMIT`` are first dealt by their rarest shingles, a prefix filter that loses no pair of the similarity.  Thus connectivity is
    that of all pairs in all buckets, while large groups of copies cost a few rounds.
 5. Connected components by distributed label propagation.  No link, component or digest is collected.
 
 Edge cases: rows with null doc_id are not classified; a null text is in a class of its own; empty texts and texts of white
-space are equal only to the same text; a text of less than five words is one shingle; rows that share a doc_id count as one; an
-empty table gives no rows; further columns are ignored (``keep_one`` carries them along).
+space are equal only to the same text; a text of less than five words is one shingle; rows that share a doc_id are classified by
+their own texts (equal rows count once), and a class that holds several texts of its lowest doc_id keeps the one of the lowest hash;
+an empty table gives no rows; further columns are ignored (``keep_one`` carries them along, whatever their names).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .common import id_and_text, mix, release, slices, utf8, written, Words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-ROUNDS, BLOCK, LIMIT = 3, 256, 1024
+ROUNDS, BLOCK, LIMIT = 2, 256, 1024
 U = np.uint64
 _PHI = U(0x9E3779B97F4A7C15)
 _PLACE = [U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,10 +92,10 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _scan(source: DataFrame) -> DataFrame:
-    """doc_id, a text digest (two longs), size (distinct shingles) and band keys of each document that has a text."""
+    """doc_id, node, a text digest (two longs), size (distinct shingles) and band keys of each (doc_id, text, node)."""
     import xxhash
 
-    schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -109,13 +110,14 @@ def _scan(source: DataFrame) -> DataFrame:
                 some = size > 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), ">i8").reshape(n, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))], schema.names)
+        release()
 
     return source.mapInArrow(run, schema)
 
 
 def _sets(source: DataFrame) -> DataFrame:
-    """rep, set: the sorted 48-bit shingle ids of each text, six bytes each."""
+    """rep, set: the sorted 48-bit shingle ids of each (rep, text), six bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -126,8 +128,9 @@ def _sets(source: DataFrame) -> DataFrame:
                 packed = np.ascontiguousarray(element.astype("<u8")[:, None].view(np.uint8)[:, :6])
                 edges = np.searchsorted(text, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["rep", "set"])
+        release()
 
-    return source.mapInArrow(run, T.StructType([T.StructField("rep", source.schema["doc_id"].dataType), T.StructField("set", T.BinaryType())]))
+    return source.mapInArrow(run, T.StructType([T.StructField("rep", source.schema["rep"].dataType), T.StructField("set", T.BinaryType())]))
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -168,40 +171,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the least node of its connected component) for links (a, b)."""
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, comp (the least node of its connected component) for links (a, b).  rows: a bound on the nodes, if one is known."""
+    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links", rows and 4 * rows)
+    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels", rows)
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["u"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         # Follow the label to its own label, which halves long paths.
         up = labels.select(F.col("node").alias("__n"), F.col("comp").alias("up"))
         step = step.join(up, F.col("comp") == F.col("__n"), "left").select("node", "old", F.least("comp", "up").alias("comp"))
-        step = written(step, "labels")
+        step = written(step, "labels", rows)
         labels = step.select("node", "comp")
         if step.where("comp <> old").isEmpty():
             return labels
 
 
-def _merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """labels (rep, comp) after links between comps."""
-    found = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return written(labels.join(found, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), name)
+    found = components(links, rows).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return written(labels.join(found, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps", rows)
 
 
-def _rest(members: DataFrame, sets: DataFrame, similarity: float, limit: int = LIMIT) -> DataFrame:
-    """Links (a, b) between components in buckets (key, rep, size, comp) that hold several.
+def _rest(members: DataFrame, sets: DataFrame, similarity: float, limit: int = LIMIT, rows: int | None = None) -> DataFrame:
+    """Links (a, b) between components in buckets (key, rep, size, comp) that hold several; but for buckets of two texts, which the
+    first round has compared.
 
     The texts of buckets of more than ``limit`` texts, which a passage common to very many texts makes, meet by prefixes instead
     of all with all: see _prefixes."""
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n"), "sizes")
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y and n > 2").select("key", "n"), "sizes", rows)
     small = members.join(sizes.where(F.col("n") <= limit).select("key"), "key")
     large = members.join(sizes.where(F.col("n") > limit).select("key"), "key")
-    own = written(large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp")), "large")
+    own = written(large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp")), "large", rows)
     columns = ["key", "rep", "size", "comp"]
     met = own.join(_prefixes(own.select("rep", "size"), sets, similarity), "rep")
-    return _blocks(written(small.select(*columns).unionByName(met.select(*columns)), "unresolved"), sets, similarity)
+    return _blocks(written(small.select(*columns).unionByName(met.select(*columns)), "unresolved"), sets, similarity, rows)
 
 
 def _prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,11 +232,11 @@ def _prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return first.select("rep", F.explode(F.slice("all", F.lit(1), F.col("length"))).alias("x")).select("x.key", "rep")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _blocks(members: DataFrame, sets: DataFrame, similarity: float, rows: int | None = None) -> DataFrame:
     """As _rest, for buckets as they are, exactly, in blocks."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     stats = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    stats = written(stats.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("cols")), "stats")
+    stats = written(stats.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("cols")), "stats", rows)
     m = members.join(stats, "key").join(sets, "rep")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -274,40 +278,61 @@ def _blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return every.union(odd).groupBy("key", "row", "col").applyInPandas(block, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
-    """doc_id, class_id (the lowest doc_id of its class), text_id (the lowest doc_id with an equal text)."""
-    source = id_and_text(docs, id_col, text_col).where("doc_id is not null")
-    seen = written(_scan(source.where("text is not null")), "signatures")
-    reps = written(seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
-    every = reps.select("rep", "size", F.explode("bands").alias("key"))
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, node) of the rows that have a doc_id; node: what a text is known by, null without one."""
+    return id_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("node", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+
+
+def _found(source: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """doc_id, node, comp (the class, by the least of its nodes), class_id, text_id of each row that has a text."""
+    texts = source.where("text is not null")
+    seen = written(_scan(texts), "signatures")
+    reps = written(seen.groupBy("node", "h1", "h2").agg(F.min("doc_id").alias("text_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
+    rows = reps.count()
+    every = reps.select(F.col("node").alias("rep"), "size", F.explode("bands").alias("key"))
     several = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(every.join(several, "key"), "buckets")
-    labels = buckets.select("rep", F.col("rep").alias("comp")).distinct()
-    sets = written(_sets(source.where("text is not null").join(labels.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")), "sets")
-    labels = written(labels, "comps")
+    buckets = written(every.join(several, "key"), "buckets", BANDS * rows)
+    labels = written(buckets.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "comps", rows)
+    chosen = reps.join(labels, reps["node"] == labels["rep"], "left_semi").select("node", F.col("text_id").alias("doc_id"))
+    sets = written(_sets(texts.join(chosen, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "text")), "sets")
 
     for turn in range(ROUNDS):
         m = buckets.join(labels, "rep")
         pivot = F.min_by(F.struct(F.col("rep").alias("a"), F.col("comp").alias("a_comp"), F.col("size").alias("a_size")), F.xxhash64("rep", F.lit(turn)))
         tops = m.groupBy("key").agg(pivot.alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "p.*")
         pairs = m.join(tops, "key").where("comp <> a_comp").where(_close("size", "a_size", similarity)).select("a", F.col("rep").alias("b"), "a_comp", F.col("comp").alias("b_comp")).distinct()
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "pairs", 4 * rows)
         links = pairs.join(_verified(pairs.select("a", "b"), sets, similarity), ["a", "b"]).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
-        links = written(links, "verified")
+        links = written(links, "verified", rows)
         if not links.isEmpty():
-            labels = _merged(labels, links, "comps")
-    links = written(_rest(buckets.join(labels, "rep"), sets, similarity, limit), "rest")
+            labels = _merged(labels, links, rows)
+    links = written(_rest(buckets.join(labels, "rep"), sets, similarity, limit, rows), "rest", rows)
     if not links.isEmpty():
-        labels = _merged(labels, links, "comps")
+        labels = _merged(labels, links, rows)
+
+    member = reps.select("node", "h1", "h2", "text_id").join(labels, reps["node"] == labels["rep"], "left")
+    heads = member.where("comp is not null").groupBy("comp").agg(F.min("text_id").alias("class_id"))
+    known = written(member.join(heads, "comp", "left").select("node", "h1", "h2", "text_id", F.coalesce("comp", "node").alias("comp"), F.coalesce("class_id", "text_id").alias("class_id")), "classes", rows)
+    return seen.select("doc_id", "node", "h1", "h2").join(known, ["node", "h1", "h2"]).select("doc_id", "node", "comp", "class_id", "text_id")
+
 
-    known = reps.join(labels, "rep", "left").select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("comp"))
-    found = seen.select("doc_id", "h1", "h2").join(written(known, "classes"), ["h1", "h2"]).select("doc_id", F.col("comp").alias("class_id"), F.col("rep").alias("text_id"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """doc_id, class_id (the lowest doc_id of its class), text_id (the lowest doc_id with an equal text)."""
+    source = _source(docs, id_col, text_col)
+    found = _found(source, similarity, limit).select("doc_id", "class_id", "text_id")
     alone = source.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"))
     return found.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all columns, that are their class's lowest doc_id (one row each), and those without a doc_id."""
-    kept = classes(docs, id_col, text_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(docs[id_col].isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """The documents, with all columns, that are their class's lowest doc_id (one row each), and all rows that have no doc_id or no
+    text."""
+    source = _source(docs, id_col, text_col)
+    found = written(_found(source, similarity, limit), "found")
+    first = found.where("doc_id = class_id").groupBy("comp").agg(F.min("node").alias("kept_node"), F.min("doc_id").alias("kept_id")).drop("comp")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names of our own, so that none can clash
+    own, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    plain = docs.toDF(*names)
+    one = plain.withColumn("kept_node", F.xxhash64(text.cast("string"))).withColumn("kept_id", own).where(own.isNotNull() & text.isNotNull())
+    one = one.join(first, ["kept_id", "kept_node"], "left_semi").dropDuplicates(["kept_id", "kept_node"]).select(*names)
+    return one.unionByName(plain.where(own.isNull() | text.isNull())).toDF(*docs.columns)
