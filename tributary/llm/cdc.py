@@ -33,8 +33,9 @@ from .common import BYTE_KEYS, SPACE, id_and_text, release, slices, spans_hash,
 WINDOW, MIN_WORDS, REACH = 12, 20, 32
 #: Bytes of text that are cut at once: a worker's memory is about a hundred times that.
 SLICE = 400_000
-#: Shorter chunks of a passage must come from the document that a neighbour comes from, or lie between longer ones.
-STRAY_WORDS = 8
+#: Shorter chunks of a passage must come from the document that a neighbour comes from, or lie between longer ones, or in a run of
+#: repeated chunks of at least ``LONG_RUN`` words.
+STRAY_WORDS, LONG_RUN = 8, 50
 #: Words of more bytes than this are cut inside, too.
 LONG_WORD = 64
 GEAR = (BYTE_KEYS >> np.uint64(32)).astype(np.uint32)
@@ -133,21 +134,29 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     run numbers the passages of a text; first: this is the digest's first occurrence, which stays."""
     every = written(chunks(docs, id_col, text_col), "chunks")
     seen = every.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("copies"))
-    repeated = written(seen.where("copies > 1"), "digests")
+    repeated = written(seen.where("copies > 1"), "digests", every.count() // 2)
     hits = every.join(repeated, "digest").drop("digest")
     order = Window.partitionBy("doc_id", "text").orderBy("seq")
     hits = hits.withColumn("before", F.lag("seq").over(order)).where("before is null or before <> seq")  # equal rows
     near = lambda f, step, c: F.when(f("seq").over(order) == F.col("seq") + step, f(c).over(order))
     beside = {f"{side}_{c}": near(f, step, c) for side, f, step in (("last", F.lag, -1), ("next", F.lead, 1)) for c in ("keeper", "words")}
     hits = hits.withColumns({"run": F.col("seq") - F.row_number().over(order), **beside})
-    total = F.sum("words").over(Window.partitionBy("doc_id", "text", "run"))
-    long = hits.withColumn("run_words", total).where(F.col("run_words") >= min_words)
-    # A short chunk whose first document is neither neighbour's is a common phrase beside the passage, unless long ones enclose it.
+    mine = Window.partitionBy("doc_id", "text", "run")
+    long = hits.withColumn("run_words", F.sum("words").over(mine)).where(F.col("run_words") >= min_words)
+    # A short chunk whose first document is neither neighbour's may be a common phrase beside the passage, unless long ones enclose it.
     alike = F.coalesce(F.col("keeper") == F.col("last_keeper"), F.lit(False)) | F.coalesce(F.col("keeper") == F.col("next_keeper"), F.lit(False))
     enclosed = F.coalesce(F.least("last_words", "next_words") >= STRAY_WORDS, F.lit(False)) & F.col("last_words").isNotNull() & F.col("next_words").isNotNull()
-    stray = (F.col("words") < STRAY_WORDS) & ~alike & ~enclosed
+    long = long.withColumn("core", F.when((F.col("words") >= STRAY_WORDS) | alike | enclosed, F.col("keeper")))
+    # Between core chunks it belongs to the passage if they come from one document, or if the run is a long one; so does all of a
+    # long run without any.
+    nearest = lambda at: F.last("core", ignorenulls=True).over(mine.orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    before, after = nearest(F.asc("seq")), nearest(F.desc("seq"))
+    long = long.withColumns({"core_before": before, "core_after": after, "cores": F.count("core").over(mine)})
+    between, whole = F.col("core_before").isNotNull() & F.col("core_after").isNotNull(), F.col("run_words") >= LONG_RUN
+    kept = F.col("core").isNotNull() | between & (whole | (F.col("core_before") == F.col("core_after"))) | whole & (F.col("cores") == 0)
     first = (F.col("doc_id") == F.col("keeper")) & ~F.col("again")
-    return long.where(~stray).select("doc_id", "text", "seq", "start", "end", "words", "copies", "run", first.alias("first"))
+    out = long.where(kept).withColumn("run", F.col("seq") - F.row_number().over(order))
+    return out.select("doc_id", "text", "seq", "start", "end", "words", "copies", "run", first.alias("first"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,7 +185,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mi
     spans = repeated_chunks(docs, id_col, text_col, min_words=min_words).where(~F.col("first"))
     cuts = spans.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     one = F.struct("text", F.flatten(F.transform("s", lambda x: F.array(x["start"], x["end"]))).alias("spans"))
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(one).alias("cuts"))  # more than one only where rows share a doc_id
+    cuts = written(cuts.groupBy("doc_id").agg(F.collect_list(one).alias("cuts")), "cuts")  # several only where rows share a doc_id
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text_col)
     plain = docs.toDF(*names)  # names of our own, so that none can clash
