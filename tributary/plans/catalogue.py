@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import domain, files, graph, match, relational, reports, texts
+from . import domain, files, graph, match, relational, reports, streams, texts
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "domain", "files", "graph", "match", "relational", "reports", "texts"]
+__all__ = ["ORACLES", "QUERIES", "domain", "files", "graph", "match", "relational", "reports", "streams", "texts"]
