@@ -305,13 +305,13 @@ def search_names(t: Tables) -> DataFrame:
     return marts.with_search_name(ents).select("entity_id", "search_name")
 
 
-@query("""WITH e AS (SELECT c_custkey AS entity_id, lpad(CAST(c_custkey % 500 AS VARCHAR), 9, '0') AS bn, md5(CAST(c_custkey % 50 AS VARCHAR)) AS name FROM customer),
+@query("""WITH e AS (SELECT c_custkey AS entity_id, lpad(CAST(c_custkey % 5000 AS VARCHAR), 9, '0') AS bn, md5(CAST(c_custkey % 50 AS VARCHAR)) AS name FROM customer),
 p AS (SELECT a.entity_id AS a, b.entity_id AS b, CASE WHEN hamming(a.bn, b.bn) = 1 THEN 'substitution' ELSE 'insertion_deletion' END AS edit FROM e a JOIN e b ON a.name = b.name AND a.entity_id < b.entity_id
   WHERE hamming(a.bn, b.bn) = 1 OR a.bn <> b.bn AND (substr(a.bn, 1, 8) = substr(b.bn, 2, 8) OR substr(a.bn, 2, 8) = substr(b.bn, 1, 8)))
 SELECT a, b, edit, CAST(100 AS DOUBLE) AS score, CAST(10 * (a % 7 + b % 7) AS DOUBLE) AS combined_flow FROM p""")
 def near_miss_numbers(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    ents = t.customer.select(k.alias("entity_id"), F.lpad((k % 500).cast("string"), 9, "0").alias("bn_root"), F.md5((k % 50).cast("string")).alias("canonical_name"))
+    ents = t.customer.select(k.alias("entity_id"), F.lpad((k % 5000).cast("string"), 9, "0").alias("bn_root"), F.md5((k % 50).cast("string")).alias("canonical_name"))
     roles = t.customer.select(k.alias("entity_id"), (k % 7 * 10).cast("double").alias("total_given"), F.lit(None).cast("double").alias("total_received"))
     return merges.near_miss_numbers(ents, roles).select("a", "b", "edit", "score", "combined_flow")
 
