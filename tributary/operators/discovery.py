@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.similarity import best_variant_score
+from ..session import written
 from .dedup import topk_per_group
 
 AUTO, FLOOR = 90.0, 75.0
@@ -48,9 +49,11 @@ def best_match(blocked: DataFrame, candidates: DataFrame, by_prefix: bool = Fals
     """blocked records with best_id, best_name, best_score, runner_up_score of the candidates in their block; on ties the first
     candidate in order."""
     cand = _levels(F.col("cand_postal"), F.col("cand_city"), F.col("cand_name"), by_prefix)
-    wide = candidates.select("cand_id", "ord", "cand_name", F.explode(F.array(*[F.struct(F.lit(n).alias("block_level"), v.alias("block_value")) for n, v in cand])).alias("k")).select("cand_id", "ord", "cand_name", "k.*").where("block_value is not null")
-    pairs = blocked.select("source_id", "block_level", "block_value", "legal_name", "trade_names").join(wide, ["block_level", "block_value"])
-    pairs = pairs.withColumns({"__l": _scoring_keys(F.col("legal_name"), F.col("trade_names")), "__r": _scoring_keys(F.col("cand_name"))})
+    # Keys are made for each record and each candidate, not for each pair.
+    wide = written(candidates.select("cand_id", "ord", "cand_name", _scoring_keys(F.col("cand_name")).alias("__r"), F.array(*[F.struct(F.lit(n).alias("block_level"), v.alias("block_value")) for n, v in cand]).alias("__k")), "candidate-keys")
+    wide = wide.select("cand_id", "ord", "cand_name", "__r", F.explode("__k").alias("k")).select("cand_id", "ord", "cand_name", "__r", "k.*").where("block_value is not null")
+    keyed = written(blocked.where(F.col("block_level") != NO_KEY).select("source_id", "block_level", "block_value", _scoring_keys(F.col("legal_name"), F.col("trade_names")).alias("__l")), "record-keys")
+    pairs = keyed.join(wide, ["block_level", "block_value"])
     scores = best_variant_score(pairs, ["source_id", "cand_id", "ord", "cand_name"], "__l", "__r")
     top = topk_per_group(scores, ["source_id"], [F.col("score").desc(), F.col("ord").asc()], 2, keep_rank="k")
     two = top.groupBy("source_id").agg(*[F.max(F.when(F.col("k") == 1, F.col(c))).alias(n) for c, n in (("cand_id", "best_id"), ("cand_name", "best_name"), ("score", "best_score"))], F.max(F.when(F.col("k") == 2, F.col("score"))).alias("runner_up_score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..functions.similarity import best_variant_score
 from ..functions.text import variant_keys, with_name_key
+from ..session import written
 from .components import connected_components
 
 
@@ -19,11 +20,11 @@ def near_miss_numbers(entities: DataFrame, roles: DataFrame, least: float = 90.0
     """Pairs of entities whose numbers are one edit apart and whose names score ``least`` or more, biggest combined flow first.
 
     A hundred neighbours of each number are generated and met by an equi-join; there is no comparison of all pairs."""
-    own = entities.where("bn_root is not null").select("entity_id", "bn_root", "canonical_name")
-    near = own.select("entity_id", "bn_root", "canonical_name", F.explode(expr.bn_neighbours(F.col("bn_root"))).alias("e")).select(F.col("entity_id").alias("a"), F.col("bn_root").alias("bn_a"), F.col("canonical_name").alias("name_a"), F.col("e.candidate").alias("bn_b"), F.col("e.edit").alias("edit"))
-    pairs = near.join(own.select(F.col("entity_id").alias("b"), F.col("bn_root").alias("bn_b"), F.col("canonical_name").alias("name_b")), "bn_b").where("a < b")
-    wide = pairs.withColumns({"va": variant_keys(F.col("name_a")), "vb": variant_keys(F.col("name_b"))})
-    good = best_variant_score(wide, ["a", "b"], "va", "vb").where(F.col("score") >= least)
+    # Keys are made for each entity, not for each pair.
+    own = written(entities.where("bn_root is not null").select("entity_id", "bn_root", "canonical_name", variant_keys(F.col("canonical_name")).alias("keys")), "numbered")
+    near = own.select("entity_id", "bn_root", "canonical_name", "keys", F.explode(expr.bn_neighbours(F.col("bn_root"))).alias("e")).select(F.col("entity_id").alias("a"), F.col("bn_root").alias("bn_a"), F.col("canonical_name").alias("name_a"), F.col("keys").alias("va"), F.col("e.candidate").alias("bn_b"), F.col("e.edit").alias("edit"))
+    pairs = near.join(own.select(F.col("entity_id").alias("b"), F.col("bn_root").alias("bn_b"), F.col("canonical_name").alias("name_b"), F.col("keys").alias("vb")), "bn_b").where("a < b")
+    good = best_variant_score(pairs, ["a", "b"], "va", "vb").where(F.col("score") >= least)
     flow = flow_of(roles)
     out = pairs.join(good, ["a", "b"]).join(flow.select(F.col("entity_id").alias("a"), F.col("flow").alias("flow_a")), "a", "left").join(flow.select(F.col("entity_id").alias("b"), F.col("flow").alias("flow_b")), "b", "left")
     both = F.coalesce("flow_a", F.lit(0.0)) + F.coalesce("flow_b", F.lit(0.0))
