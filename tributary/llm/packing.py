@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import id_and_text, slices
-from .tokens import TOKEN_SLICE, encoder, vocabulary
+from .tokens import encoder, vocabulary
 
+#: Bytes of text that are split at once, and of the worker's cache: less than other token operators take, since this one follows
+#: stages whose shuffles have filled the executors' memory.
+SLICE, CACHE = 2_500_000, 30_000_000
 TIERS = (1024, 512, 256, 128)
 #: Bits of a sequence or step number that count within a partition.
 LOCAL_BITS = 36
@@ -125,7 +128,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(sent.value)
+        coder = encoder(sent.value, CACHE)
         base = TaskContext.get().partitionId() << LOCAL_BITS
         sequences = steps = 0
         names: list = []  # of the block's documents: doc_id, ids
@@ -171,7 +174,7 @@ def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_t
 
         for batch in batches:
             kind = batch.column(0).type
-            for a, b in slices(batch.column(1), TOKEN_SLICE):
+            for a, b in slices(batch.column(1), SLICE):
                 part = batch.slice(a, b - a)
                 ids, counts = coder.encode(part.column(1).to_pylist())
                 edges = np.concatenate([[0], np.cumsum(counts)])

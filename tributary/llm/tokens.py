@@ -205,6 +205,6 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(vocab: str) -> Encoder:
+def encoder(vocab: str, cache_bytes: int = 50_000_000) -> Encoder:
     """The worker process's encoder: its cache serves one task after another."""
-    return Encoder(vocab)
+    return Encoder(vocab, cache_bytes)
