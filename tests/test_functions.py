@@ -137,3 +137,16 @@ def test_scores_only_distinct_pairs_and_keeps_the_bound(spark):
     df = spark.createDataFrame([("A B", "B A"), ("ABCD", "ABCE"), ("A", "ABCDEFGHIJ"), (None, "X"), ("ABCD", "ABCE")], "a string, b string")
     got = sorted((r.a, r.score) for r in similarity.scored(df, "a", "b", cutoff=60).collect())
     assert got == [("A B", 100.0), ("ABCD", 75.0), ("ABCD", 75.0)]
+
+
+def test_lcs_table_equals_single_lcs():
+    import random
+
+    rnd = random.Random(3)
+    for letters in ("ab", "abcdé 0\U0001f600"):
+        make = lambda: ["".join(rnd.choices(letters, k=n)) for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 300)]  # noqa: B023, E731
+        a, b = make() + make(), [*make(), "zz"]
+        assert similarity.lcs_table(a, b).tolist() == [[similarity.lcs(x, y) for y in b] for x in a]
+        assert similarity.lcs_table(a, b, room=64).tolist() == similarity.lcs_table(a, b).tolist()
+    assert similarity.ratio_table(["", "ab"], ["", "ba"]).tolist() == [[100.0, 0.0], [0.0, 50.0]]
+    assert similarity.lcs_table([], ["a"]).shape == (0, 1)

@@ -210,6 +210,47 @@ def test_discovery(spark):
     assert discovery.output_rows(discovery.discover(records, charities)).columns == list(discovery.OUTPUT_FIELDS)
 
 
+def test_best_match_scores_blocks_and_writes_no_pairs(spark, monkeypatch):
+    """Ties, equal names, trade names, names of over 64 letters; as every pair scored; no table grows with the pairs."""
+    from tributary.functions import similarity
+
+    rnd = random.Random(7)
+    name = lambda: " ".join("".join(rnd.choices("abcde", k=rnd.choice([3, 5, 40]))) for _ in range(rnd.choice([1, 2, 4])))
+    pool = [name() for _ in range(40)]
+    people = [(f"r{i}", rnd.choice(pool), rnd.sample(pool, i % 3), rnd.choice(["Laval", "Laval", "Ottawa"]), None, None) for i in range(90)]
+    chars = [(f"c{i}", rnd.choice([*pool, name(), "a/b c"]), rnd.choice(["laval", "ottawa"]), None, None, i // 2) for i in range(80)]
+    chars += [("none", "", "laval", None, None, -1), chars[0]]
+    counts = []
+
+    def spy(df, *rest, real=discovery.written):
+        out = real(df, *rest)
+        counts.append(out.count())
+        return out
+
+    for module in (discovery, similarity):
+        monkeypatch.setattr(module, "written", spy)
+    monkeypatch.setattr(discovery, "SIDE", 8, raising=False)
+    candidates = _charities(spark, chars)
+    got = {(r.source_id, r.city): (r.best_score, r.runner_up_score, r.best_id) for r in discovery.best_match(discovery.block_level(_records(spark, people), candidates), candidates).collect()}
+    assert len(got) == 90 and max(counts) <= len(people) + len(chars)
+
+    def keys(names):
+        rows_ = spark.createDataFrame([(x,) for x in sorted(set(names))], "n string").select("n", discovery._scoring_keys(F.col("n")).alias("k")).collect()
+        return {r.n: r.k for r in rows_}
+
+    key = keys([c[1] for c in chars] + pool)
+    score: dict = {}
+    for who, legal, trade, city, *_ in people:
+        for cand, other, place, _, _, order in chars:
+            if place == city.lower() and key[other]:
+                best = max(similarity.token_sort_ratio(x, y) for n in [legal, *trade] for x in key[n] for y in key[other])
+                score[who, order, cand] = max(best, score.get((who, order, cand), 0.0))
+    for who, city in got:
+        ranked = sorted(((-v, o, c) for (w, o, c), v in score.items() if w == who))
+        assert got[who, city][:2] == (-ranked[0][0], -ranked[1][0])
+        assert got[who, city][2] in [c for v, o, c in ranked if (v, o) == ranked[0][:2]]
+
+
 def test_collisions_and_low_confidence(spark):
     df = spark.createDataFrame([(1, "m", 7, 100.0, None), (2, "m", 7, 95.0, None), (3, "m", 8, 95.0, None), (4, "n", 8, 10.0, "x")], "i int, s string, e int, score double, f string")
     got = discovery.reconcile_collisions(df, "s", "m", "e", "f")
