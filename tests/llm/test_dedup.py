@@ -98,6 +98,29 @@ def test_large_buckets_are_compared_exactly(spark):
     assert got == {(i, i + 1) for i in range(0, 60, 2)}
 
 
+def test_a_large_bucket_with_few_texts_left_over_is_compared_directly(spark, monkeypatch):
+    """80 texts of one component and 3 others, of which one is near to it: 249 pairs, so nothing is dealt by prefixes at 20 x 20."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    docs = {i: " ".join([*base, f"x{i}"]) for i in range(80)} | {80: " ".join(base[:76]), 81: " ".join(f"y{i}" for i in range(60)), 82: " ".join(r.sample(base, 80))}
+    sets = probminhash._sets(spark.createDataFrame(list(docs.items()), "rep long, text string")).cache()
+    size = {x.rep: len(x.set) // 6 for x in sets.collect()}
+    members = spark.createDataFrame([(1, i, size[i], 0 if i < 80 else i) for i in docs], "key long, rep long, size long, comp long")
+    dealt = []
+    real = probminhash._prefixes
+    monkeypatch.setattr(probminhash, "_prefixes", lambda texts, *rest: dealt.append(texts.count()) or real(texts, *rest))
+    assert {tuple(sorted(x)) for x in probminhash._rest(members, sets, 0.8, limit=20).collect()} == {(0, 80)}
+    assert dealt == [0]
+    assert {tuple(sorted(x)) for x in probminhash._rest(members, sets, 0.8, limit=15).collect()} == {(0, 80)}
+    assert dealt == [0, 83]
+
+
+def test_of_buckets_of_the_same_texts_one_is_kept(spark):
+    held = {1: [5, 6], 2: [6, 5], 3: [5, 6, 7], 4: [8], 5: [6, 7], 6: [5, 6, 7], 7: [5, 7]}
+    every = spark.createDataFrame([(k, x) for k, xs in held.items() for x in xs], "key long, rep long").repartition(3)
+    assert sorted(x.key for x in probminhash._different(every).collect()) == [1, 3, 5, 7]
+
+
 def test_signatures_estimate_weighted_similarity():
     """Agreement of registers against the probability Jaccard similarity, computed from its definition."""
     r = np.random.default_rng(3)

@@ -6,12 +6,13 @@
    the last register's first one.  Registers of two texts agree with the probability Jaccard similarity, which is the plain
    one of the sets for weights of 1.
 2. Equal texts are collapsed by digest; the rest goes on over distinct texts, each known by a 64-bit hash (its node).
-3. ``BANDS`` bands of ``ROWS`` registers: texts of similarity 0.8 share a bucket with probability 0.9999.
+3. ``BANDS`` bands of ``ROWS`` registers: texts of similarity 0.8 share a bucket with probability 0.9999.  Of buckets that hold the same
+   texts one is kept.
 4. Verification by the exact Jaccard similarity of shingle sets (of 48-bit hashes).  Rounds: every text of a bucket is held against
    the bucket's pivot (a random member, another one each round) unless both are connected already.  Buckets that still hold several
    components are finished exactly: the texts outside the bucket's largest component are held against all of its texts
-   in blocks of about ``BLOCK`` x ``BLOCK``, and a block gives links of a forest, not pairs.  Texts of buckets of more than
-   ``LIMIT`` are first dealt by their rarest shingles, a prefix filter that loses no pair of the similarity.  Thus connectivity is
+   in blocks of about ``BLOCK`` x ``BLOCK``, and a block gives links of a forest, not pairs.  Texts of buckets that would compare more
+   than ``LIMIT`` x ``LIMIT`` pairs are first dealt by their rarest shingles, a prefix filter that loses no pair of the similarity.  Thus connectivity is
    that of all pairs in all buckets, while large groups of copies cost a few rounds.
 5. Connected components by distributed label propagation.  No link, component or digest is collected.
 
@@ -193,15 +194,24 @@ def _merged(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     return written(labels.join(found, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "comps", rows)
 
 
+def _different(every: DataFrame) -> DataFrame:
+    """key: one bucket of (key, rep) for each set of two or more texts.  Near copies share most of their bands, so most buckets
+    hold the same texts as others and would give the same pairs again.  A set is known by its number and its hashes' exclusive or."""
+    sets = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h")).where("n > 1")
+    return sets.groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
+
+
 def _rest(members: DataFrame, sets: DataFrame, similarity: float, limit: int = LIMIT, rows: int | None = None) -> DataFrame:
     """Links (a, b) between components in buckets (key, rep, size, comp) that hold several; but for buckets of two texts, which the
     first round has compared.
 
-    The texts of buckets of more than ``limit`` texts, which a passage common to very many texts makes, meet by prefixes instead
-    of all with all: see _prefixes."""
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y and n > 2").select("key", "n"), "sizes", rows)
-    small = members.join(sizes.where(F.col("n") <= limit).select("key"), "key")
-    large = members.join(sizes.where(F.col("n") > limit).select("key"), "key")
+    A bucket's texts outside its largest component meet all of its texts.  Where these are more than ``limit`` x ``limit`` pairs, which a
+    passage common to very many texts makes, texts meet by prefixes instead: see _prefixes."""
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = by.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
+    sizes = written(sizes.select("key", (F.col("n") * (F.col("n") - F.col("most")) > limit * limit).alias("large")), "sizes", rows)
+    small = members.join(sizes.where("not large").select("key"), "key")
+    large = members.join(sizes.where("large").select("key"), "key")
     own = written(large.groupBy("rep").agg(F.first("size").alias("size"), F.first("comp").alias("comp")), "large", rows)
     columns = ["key", "rep", "size", "comp"]
     met = own.join(_prefixes(own.select("rep", "size"), sets, similarity), "rep")
@@ -290,8 +300,7 @@ def _found(source: DataFrame, similarity: float, limit: int) -> DataFrame:
     reps = written(seen.groupBy("node", "h1", "h2").agg(F.min("doc_id").alias("text_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "texts")
     rows = reps.count()
     every = reps.select(F.col("node").alias("rep"), "size", F.explode("bands").alias("key"))
-    several = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(every.join(several, "key"), "buckets", BANDS * rows)
+    buckets = written(every.join(_different(every), "key"), "buckets", BANDS * rows)
     labels = written(buckets.select("rep").distinct().select("rep", F.col("rep").alias("comp")), "comps", rows)
     chosen = reps.join(labels, reps["node"] == labels["rep"], "left_semi").select("node", F.col("text_id").alias("doc_id"))
     sets = written(_sets(texts.join(chosen, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select(F.col("node").alias("rep"), "text")), "sets")
