@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 All stages but the last return the columns of ``documents``, whatever further ones there are and whatever their names; the last
 returns the pieces of packed sequences.
 
+The first stage identifies every text's language and writes it to ``lang`` in place of the label; the last packs each language by itself
+and returns it with each piece.
+
 Edge cases: a null or letterless text goes in the first stage.  Rows without a doc_id go through all stages: they are neither
 near-duplicates nor searched for passages.  Rows that share a doc_id are judged by their own texts; equal rows count once in near-dedup.
 Of a class of near-duplicates the lowest doc_id stays (of several texts of it, the one of the lowest hash), of a repeated passage the
@@ -21,7 +24,7 @@ from tributary.session import drop, settled
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter go."""
+    """Documents whose language is identified, with that language as their lang; those without a letter go."""
     return langid.keep_identified(docs)
 
 
@@ -37,8 +40,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in packed sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of all documents in packed sequences, each of one language (the one that the first stage identified)."""
+    return packing.pack_documents(docs, by="lang")
 
 
 STAGES = [("language ID", language_id), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("packing", pack)]

@@ -354,3 +354,32 @@ def test_pipeline(spark, sf_dir, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, sf_dir)
         assert (now.count() == 0) == (start is no_documents)
+
+
+def test_the_language_that_is_identified_shapes_the_packing(spark, sf_dir):
+    """Wrong and missing labels of held-out documents: the stage mends them, and no sequence holds two languages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 300")
+    right = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    wrong = docs.withColumn("lang", F.when(~langid.held_out(), F.col("lang")).when(F.col("doc_id") % 2 == 0, "xx"))
+    named = corpus_pipeline.language_id(spark, wrong, sf_dir)
+    got = {r.doc_id: r.lang for r in named.select("doc_id", "lang").collect()}
+    assert got.keys() == right.keys() and sum(got[k] == right[k] for k in got) / len(got) > 0.95
+    known = {r.doc_id: r.lang_pred for r in langid.identify(wrong).collect()}
+    assert got == known
+    pieces = corpus_pipeline.pack(spark, named, sf_dir).collect()
+    assert {(r.doc_id, r.lang) for r in pieces} == set(got.items()) and len(set(got.values())) > 1
+    assert len({(r.sequence_id, r.lang) for r in pieces}) == len({r.sequence_id for r in pieces})
+
+
+def test_packing_by_a_column_loses_nothing(spark, odd_documents, no_documents):
+    plain = lambda df: sorted(((r.doc_id or 0, r.doc_tokens, i) for r in df.collect() for i in range(r.start, r.start + r.length)))
+    for block in (50, 1_000_000):
+        pieces = packing.pack_documents(odd_documents.repartition(2), block_tokens=block, by="lang")
+        assert plain(pieces) == plain(packing.pack_documents(odd_documents))
+        full: dict = {}
+        for r in pieces.collect():
+            full.setdefault((r.sequence_id, r.window, r.lang), []).append((r.offset, r.length))
+        assert len(full) == len({k[0] for k in full}) and {k[2] for k in full} == {"en", "fr", "es", "ja", None}
+        for (_, window, _), held in full.items():
+            assert [at for at, _ in sorted(held)] == [sum(n for _, n in sorted(held)[:i]) for i in range(len(held))] and sum(n for _, n in held) == window
+    assert packing.pack_documents(no_documents, by="lang").count() == 0

@@ -102,9 +102,13 @@ class Model:
     def lead(self, texts: list[str | None]) -> np.ndarray:
         """How far the best language's value is above the runner-up's; -1 for a text that can't be judged.  It doesn't depend on how
         many languages there are; with one language it is that one's value above 0."""
+        return self.judge(texts)[1]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of each text, as ``predict``, and its lead."""
         known, value = self.margins(texts)
         two = np.sort(value, 1)[:, -2:]
-        return np.where(known, two[:, -1] - (two[:, 0] if value.shape[1] > 1 else 0.0), -1.0)
+        return [self.languages[b] if k else "und" for b, k in zip(value.argmax(1).tolist(), known, strict=True)], np.where(known, two[:, -1] - (two[:, 0] if value.shape[1] > 1 else 0.0), -1.0)
 
 
 def _groups(texts: list[bytes], segments: int = 256) -> Iterator[tuple[int, int]]:
@@ -205,17 +209,21 @@ LEAST_LEAD = 0.0
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_LEAD, **options) -> DataFrame:
     """The documents, with all columns, without those that have no language ("und") and those whose best language leads the runner-up
-    by less than ``least``."""
+    by less than ``least``.  The language column holds the language that was identified, in place of the label."""
     model = train(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, label = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             texts = batch.column(place)
             for a, b in slices(texts):
-                yield batch.slice(a, b - a).filter(pa.array(sent.value.lead(texts.slice(a, b - a).to_pylist()) >= least))
+                part = batch.slice(a, b - a)
+                names, lead = sent.value.judge(texts.slice(a, b - a).to_pylist())
+                keep = pa.array(lead >= least)
+                own = pa.array(names, pa.string()).filter(keep).cast(part.column(label).type)
+                yield part.filter(keep).set_column(label, part.schema.field(label), own)
         release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,9 @@ is carried to the next block, and the last remainder of a partition is cut into
 no padding is left.  There is no shuffle: the plan is a scan and one Arrow map, its memory is one block, a lost task is redone
 alone, and no document or source can overload a task since a task is an input split.
 
+With ``by``, a sequence holds documents of one value of that column only (a language, say): each value has windows and a last
+remainder of its own, and the block is that of all values together.
+
 Edge cases: a null or empty text is the end-of-document id alone; a null doc_id is kept as null; repeated rows are packed once
 each; an empty table gives no pieces; further columns are ignored.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, slices
+from .common import id_and_text, ship, slices
 from .tokens import encoder, vocabulary
 
 #: Bytes of text that are split at once, and of the worker's cache: less than other token operators take, since this one follows
@@ -111,40 +115,54 @@ def step_groups(windows: list[tuple[int, list[tuple[int, int, int]]]], step_toke
     return out
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end_id: int = 0, tiers: Sequence[int] = TIERS, step_tokens: int = 32_768, block_tokens: int = 1_000_000, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocab: str | None = None, end_id: int = 0, tiers: Sequence[int] = TIERS, step_tokens: int = 32_768, block_tokens: int = 1_000_000, with_ids: bool = False, by: str | None = None) -> DataFrame:
     """Pieces of all documents in packed sequences of at most ``max(tiers)`` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window (the sequence's length: all
-    sequences are full), step_group and, if ``with_ids``, the piece's token ids.
+    sequences are full), step_group, if ``with_ids``, the piece's token ids and, with ``by``, the value of that column that all of the
+    sequence's documents have (null is a value).
     """
     source = id_and_text(docs, id_col, text_col)
+    if by is not None:
+        ship(docs.sparkSession)
+        source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(by).cast("string").alias("by"))
     kind = source.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"))]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    if by is not None:
+        fields.append(T.StructField(by, T.StringType()))
     sent = docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
-    return source.mapInArrow(_packer(sent, end_id, tuple(tiers), step_tokens, block_tokens, with_ids), T.StructType(fields))
+    return source.mapInArrow(_packer(sent, end_id, tuple(tiers), step_tokens, block_tokens, with_ids, by), T.StructType(fields))
+
+
+@dataclass
+class _Open:
+    """Documents of one value that are not packed yet: the block's own, and those carried from earlier blocks."""
+
+    names: list = field(default_factory=list)
+    texts: list[np.ndarray] = field(default_factory=list)
+    carried: list[tuple[int, int, int]] = field(default_factory=list)
+    carry_names: list = field(default_factory=list)
+    carry_texts: list[np.ndarray] = field(default_factory=list)
+    held: int = 0
 
 
-def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int, with_ids: bool, by: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(sent.value, CACHE)
         base = TaskContext.get().partitionId() << LOCAL_BITS
         sequences = steps = 0
-        names: list = []  # of the block's documents: doc_id, ids
-        texts: list[np.ndarray] = []
-        carried: list[tuple[int, int, int]] = []
-        carry_names: list = []
-        carry_texts: list[np.ndarray] = []
-        held = 0
+        opened: dict[str | None, _Open] = {}
         kind = None
 
-        def flush(last: bool) -> pa.RecordBatch | None:
-            nonlocal sequences, steps, names, texts, carried, carry_names, carry_texts, held
+        def flush(value: str | None, last: bool) -> pa.RecordBatch | None:
+            nonlocal sequences, steps
+            now = opened[value]
             # Carried documents get numbers after the block's own.
-            n = len(texts)
-            windows, left = pack_lengths([(size, n + doc, start) for size, doc, start in carried], [len(x) for x in texts], tiers, last)
-            all_names, all_texts = names + carry_names, texts + carry_texts
+            n = len(now.texts)
+            windows, left = pack_lengths([(size, n + doc, start) for size, doc, start in now.carried], [len(x) for x in now.texts], tiers, last)
+            all_names, all_texts = now.names + now.carry_names, now.texts + now.carry_texts
             groups = step_groups(windows, step_tokens)
             who, cols, ids = [], [], []
             for (size, pieces), group in zip(windows, groups, strict=True):
@@ -160,17 +178,18 @@ def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_t
                 sequences += 1
             steps += max(groups, default=-1) + 1
             keep = sorted({doc for _, doc, _ in left})
-            carried = [(size, keep.index(doc), start) for size, doc, start in left]
-            carry_names, carry_texts = [all_names[d] for d in keep], [all_texts[d] for d in keep]
-            names, texts, held = [], [], 0
+            opened[value] = _Open(carried=[(size, keep.index(doc), start) for size, doc, start in left], carry_names=[all_names[d] for d in keep], carry_texts=[all_texts[d] for d in keep])
             if not who:
                 return None
             made = np.array(cols, np.int64).T
             arrays = [pa.array(who, kind), *(pa.array(c) for c in made)]
             if with_ids:
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids))))
-            keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"]
-            return pa.RecordBatch.from_arrays(arrays, keys[: len(arrays)])
+            keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"][: len(arrays)]
+            if by is not None:
+                arrays.append(pa.array([value] * len(who), pa.string()))
+                keys.append(by)
+            return pa.RecordBatch.from_arrays(arrays, keys)
 
         for batch in batches:
             kind = batch.column(0).type
@@ -179,14 +198,18 @@ def _packer(sent, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_t
                 ids, counts = coder.encode(part.column(1).to_pylist())
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 tail = np.array([end_id], np.uint32)
-                for name, i, j in zip(part.column(0).to_pylist(), edges[:-1], edges[1:], strict=True):
-                    names.append(name)
-                    texts.append(np.concatenate([ids[i:j], tail]))
-                held += int(edges[-1]) + len(counts)
-                if held >= block_tokens and (out := flush(False)) is not None:
-                    yield out
-        if kind is not None and (out := flush(True)) is not None:
-            yield out
+                values = part.column(2).to_pylist() if by is not None else [None] * len(counts)
+                for name, value, i, j in zip(part.column(0).to_pylist(), values, edges[:-1], edges[1:], strict=True):
+                    now = opened.setdefault(value, _Open())
+                    now.names.append(name)
+                    now.texts.append(np.concatenate([ids[i:j], tail]))
+                    now.held += int(j - i) + 1
+                while sum(x.held for x in opened.values()) >= block_tokens:
+                    if (out := flush(max(opened, key=lambda v: opened[v].held), False)) is not None:
+                        yield out
+        for value in [*opened]:
+            if (out := flush(value, True)) is not None:
+                yield out
 
     return run
 
